@@ -85,3 +85,38 @@ ORACLES["enrich_countries"] = f"WITH {X1} SELECT {r6(X1_DOUBLES)} FROM x1"
 ORACLES["unmatched_countries"] = f"""WITH {X1}
 SELECT country_region, country_key FROM mapped
 WHERE NOT EXISTS (SELECT 1 FROM d WHERE lower(trim(d.country)) = mapped.country_key)"""
+
+_TOT = "SELECT country_region, CAST(SUM(cases) AS BIGINT) AS total_cases, CAST(SUM(deaths) AS BIGINT) AS total_deaths FROM p"
+_NEW = "cases_since_prev_day"
+_ACTIVE = f"WHERE {_NEW} IS NOT NULL AND {_NEW} > 0"
+_SEL = ", ".join(_lit(s) for s in SELECTION)
+
+ORACLES.update({
+    "country_totals": f"WITH {P} {_TOT} GROUP BY 1",
+    "country_totals_one": f"WITH {P} {_TOT} WHERE lower(trim(country_region)) = lower(trim({_lit(ONE_COUNTRY)})) GROUP BY 1",
+    "country_totals_positive": f"WITH {P} {_TOT} GROUP BY 1 HAVING SUM(cases) > 0",
+    "row_count": f"WITH {P} SELECT COUNT(*) AS total_rows FROM p",
+    "rows_per_country": f"WITH {P} SELECT country_region, COUNT(*) AS total_records FROM p GROUP BY 1",
+    "date_range": f"WITH {P} SELECT MIN(date) AS start_date, MAX(date) AS end_date FROM p",
+    "completeness": f"""WITH {P} SELECT COUNT(*) AS total_rows, COUNT(cases) AS cases_not_null,
+        COUNT(deaths) AS deaths_not_null, COUNT(population) AS population_not_null FROM p""",
+    "completeness_new_cases": f"""WITH {P} SELECT COUNT(*) AS total_rows, COUNT({_NEW}) AS cases_not_null,
+        COUNT(deaths) AS deaths_not_null, COUNT(population) AS population_not_null FROM p""",
+    "new_case_stats_all": f"""WITH {P} SELECT country_region, round(AVG({_NEW}), 6) AS avg_new_cases,
+        MAX({_NEW}) AS max_new_cases, MIN({_NEW}) AS min_new_cases FROM p GROUP BY 1""",
+    "new_case_stats_active": f"""WITH {P} SELECT country_region, round(AVG({_NEW}), 6) AS avg_new_cases,
+        MAX({_NEW}) AS max_new_cases, MIN({_NEW}) AS min_new_cases FROM p {_ACTIVE} GROUP BY 1""",
+    "daily_new_all": f"WITH {P} SELECT date, CAST(SUM({_NEW}) AS BIGINT) AS total_new_cases FROM p GROUP BY 1",
+    "daily_new_active": f"WITH {P} SELECT date, CAST(SUM({_NEW}) AS BIGINT) AS total_new_cases FROM p {_ACTIVE} GROUP BY 1",
+    "daily_new_window": f"""WITH {P} SELECT date, CAST(SUM({_NEW}) AS BIGINT) AS total_new_cases FROM p
+        {_ACTIVE} AND date BETWEEN DATE '{WINDOW_START}' AND DATE '{WINDOW_END}' GROUP BY 1""",
+    "top_deaths": f"""WITH {P} SELECT country_region, CAST(SUM(deaths) AS BIGINT) AS total_deaths FROM p
+        GROUP BY 1 ORDER BY total_deaths DESC NULLS LAST, country_region LIMIT 10""",
+    "preview_totals": f"WITH {P} {_TOT} GROUP BY 1 ORDER BY total_cases DESC NULLS LAST, country_region LIMIT 5",
+    "country_list": f"WITH {X1} SELECT DISTINCT country_region FROM x1 WHERE country_region IS NOT NULL",
+    "axis_bound": f"WITH {X1} SELECT round(COALESCE(MAX(cfr_pct) * 1.2, 1.0), 6) AS axis_max FROM x1",
+    "selected_countries": f"WITH {X1} SELECT {r6(X1_DOUBLES)} FROM x1 WHERE country_region IN ({_SEL})",
+    "finite_rows": f"""WITH {X1} SELECT {r6(X1_DOUBLES)} FROM x1
+        WHERE population_density_calc IS NOT NULL AND isfinite(population_density_calc)
+          AND cases_per_million IS NOT NULL AND isfinite(cases_per_million)""",
+})

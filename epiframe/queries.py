@@ -49,3 +49,102 @@ def enrich_countries(spark, sf):
 @query
 def unmatched_countries(spark, sf):
     return enrichment.unmatched_countries(fx.panel(spark, sf), fx.dimension(spark, sf), fx.mapping(spark))
+
+
+# --- A1-A16, O1-O5 over the panel ----------------------------------------------
+
+@query
+def country_totals(spark, sf):
+    return agg.country_totals(fx.panel(spark, sf))
+
+
+@query
+def country_totals_one(spark, sf):
+    return agg.country_totals_for(fx.panel(spark, sf), ONE_COUNTRY)
+
+
+@query
+def country_totals_positive(spark, sf):
+    return agg.country_totals_positive(fx.panel(spark, sf))
+
+
+@query
+def row_count(spark, sf):
+    return agg.row_count(fx.panel(spark, sf))
+
+
+@query
+def rows_per_country(spark, sf):
+    return agg.rows_per_entity(fx.panel(spark, sf))
+
+
+@query
+def date_range(spark, sf):
+    return agg.date_range(fx.panel(spark, sf))
+
+
+@query
+def completeness(spark, sf):
+    return agg.completeness(fx.panel(spark, sf), ["cases", "deaths", "population"])
+
+
+@query
+def completeness_new_cases(spark, sf):
+    return agg.completeness(fx.panel(spark, sf),
+                            ["cases_not_null=cases_since_prev_day", "deaths", "population"])
+
+
+@query
+def new_case_stats_all(spark, sf):
+    return rounded(agg.value_stats(fx.panel(spark, sf)))
+
+
+@query
+def new_case_stats_active(spark, sf):
+    return rounded(agg.value_stats_active(fx.panel(spark, sf)))
+
+
+@query
+def daily_new_all(spark, sf):
+    return agg.daily_sum(fx.panel(spark, sf))
+
+
+@query
+def daily_new_active(spark, sf):
+    return agg.daily_sum_active(fx.panel(spark, sf))
+
+
+@query
+def daily_new_window(spark, sf):
+    return agg.daily_sum_window(fx.panel(spark, sf), WINDOW_START, WINDOW_END)
+
+
+@query
+def top_deaths(spark, sf):
+    return agg.top_deaths(fx.panel(spark, sf), 10)
+
+
+@query
+def preview_totals(spark, sf):
+    totals = agg.country_totals(fx.panel(spark, sf))
+    return agg.preview(totals, [F.desc_nulls_last("total_cases"), F.asc_nulls_last("country_region")], 5)
+
+
+@query
+def country_list(spark, sf):
+    return agg.distinct_sorted(_enriched(spark, sf), "country_region")
+
+
+@query
+def axis_bound(spark, sf):
+    return rounded(agg.axis_bound(_enriched(spark, sf), "cfr_pct"))
+
+
+@query
+def selected_countries(spark, sf):
+    return rounded(flt.select_entities(_enriched(spark, sf), SELECTION))
+
+
+@query
+def finite_rows(spark, sf):
+    return rounded(flt.finite_rows(_enriched(spark, sf), ["population_density_calc", "cases_per_million"]))
