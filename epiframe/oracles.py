@@ -120,3 +120,40 @@ ORACLES.update({
         WHERE population_density_calc IS NOT NULL AND isfinite(population_density_calc)
           AND cases_per_million IS NOT NULL AND isfinite(cases_per_million)""",
 })
+
+
+def _waves_sql(src: str) -> str:
+    """Run-level SQL for UP+ PLATEAU* DOWN+ over ``src``(country_region, date, x)."""
+    return f"""
+c AS (
+  SELECT country_region, date, x,
+         CASE WHEN x IS NULL OR LAG(x) OVER w IS NULL THEN 'NONE'
+              WHEN x > LAG(x) OVER w THEN 'UP' WHEN x = LAG(x) OVER w THEN 'PLATEAU' ELSE 'DOWN' END AS k
+  FROM {src} WINDOW w AS (PARTITION BY country_region ORDER BY date)),
+ch AS (
+  SELECT *, CASE WHEN k IS NOT DISTINCT FROM LAG(k) OVER w THEN 0 ELSE 1 END AS chg
+  FROM c WINDOW w AS (PARTITION BY country_region ORDER BY date)),
+r AS (SELECT *, SUM(chg) OVER (PARTITION BY country_region ORDER BY date ROWS UNBOUNDED PRECEDING) AS run FROM ch),
+g AS (SELECT country_region, run, MAX(k) AS k, MIN(date) AS d0, MAX(date) AS d1, SUM(x) AS s, MAX(x) AS mx
+      FROM r GROUP BY 1, 2),
+l AS (
+  SELECT *, LAG(k, 1) OVER w AS k1, LAG(k, 2) OVER w AS k2, LAG(d0, 1) OVER w AS a1, LAG(d0, 2) OVER w AS a2,
+         LAG(s, 1) OVER w AS s1, LAG(s, 2) OVER w AS s2, LAG(mx, 1) OVER w AS m1, LAG(mx, 2) OVER w AS m2
+  FROM g WINDOW w AS (PARTITION BY country_region ORDER BY run))
+SELECT country_region,
+       CASE WHEN k1 = 'UP' THEN a1 ELSE a2 END AS wave_start_date,
+       d1 AS wave_end_date,
+       CAST(CASE WHEN k1 = 'UP' THEN s + s1 ELSE s + s1 + s2 END AS BIGINT) AS total_cases_in_wave,
+       CASE WHEN k1 = 'UP' THEN greatest(mx, m1) ELSE greatest(mx, m1, m2) END AS peak_cases_in_wave
+FROM l WHERE k = 'DOWN' AND (k1 = 'UP' OR (k1 = 'PLATEAU' AND k2 = 'UP'))"""
+
+
+ORACLES.update({
+    "direction_class": f"""WITH {P} SELECT country_region, date, {_NEW},
+        CASE WHEN {_NEW} IS NULL OR LAG({_NEW}) OVER w IS NULL THEN NULL
+             WHEN {_NEW} > LAG({_NEW}) OVER w THEN 'UP' WHEN {_NEW} = LAG({_NEW}) OVER w THEN 'PLATEAU'
+             ELSE 'DOWN' END AS direction
+        FROM p WINDOW w AS (PARTITION BY country_region ORDER BY date)""",
+    "waves_country": f"WITH {P}, px AS (SELECT country_region, date, {_NEW} AS x FROM p), {_waves_sql('px')}",
+    "waves_user": f"WITH {U}, ux AS (SELECT country_region, date, {_NEW} AS x FROM u), {_waves_sql('ux')}",
+})

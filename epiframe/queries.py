@@ -148,3 +148,24 @@ def selected_countries(spark, sf):
 @query
 def finite_rows(spark, sf):
     return rounded(flt.finite_rows(_enriched(spark, sf), ["population_density_calc", "cases_per_million"]))
+
+
+# --- W1-W3 ------------------------------------------------------------------------
+
+from epiframe.operators import waves as wv  # noqa: E402
+
+
+@query
+def direction_class(spark, sf):
+    return wv.direction_class(fx.panel(spark, sf)).select(
+        "country_region", "date", "cases_since_prev_day", "direction")
+
+
+@query
+def waves_country(spark, sf):
+    return wv.waves(fx.panel(spark, sf))
+
+
+@query
+def waves_user(spark, sf):
+    return wv.waves(fx.user_panel(spark, sf))
