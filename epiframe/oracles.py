@@ -157,3 +157,38 @@ ORACLES.update({
     "waves_country": f"WITH {P}, px AS (SELECT country_region, date, {_NEW} AS x FROM p), {_waves_sql('px')}",
     "waves_user": f"WITH {U}, ux AS (SELECT country_region, date, {_NEW} AS x FROM u), {_waves_sql('ux')}",
 })
+
+from epiframe.queries import COMMENT_KEY, FANOUT, FETCH_KEYS  # noqa: E402
+
+_PRUNED = f"SELECT date, country_region, {_NEW}, deaths, population FROM p"
+_STATS_ACTIVE = f"""SELECT country_region, round(AVG({_NEW}), 6) AS avg_new_cases,
+        MAX({_NEW}) AS max_new_cases, MIN({_NEW}) AS min_new_cases FROM p {_ACTIVE} GROUP BY 1"""
+_DEATHS = f"WITH {P} SELECT country_region, CAST(SUM(deaths) AS BIGINT) AS total_deaths FROM p GROUP BY 1"
+
+C = """
+cm AS (
+  SELECT ' Nation_' || CAST(conv_id % 25 AS VARCHAR) || ' ' AS country_key, text AS comment_text,
+         role AS "user", CAST(NULL AS VARCHAR) AS source, 'turn ' || CAST(turn AS VARCHAR) AS additional_notes
+  FROM conversations)"""
+_CM = 'SELECT lower(trim(country_key)) AS country_key, comment_text, "user", source, additional_notes FROM cm'
+
+ORACLES.update({
+    "table_copy": f"WITH {P} SELECT * FROM p",
+    "pruned_copy": f"WITH {P} {_PRUNED}",
+    "active_copy": f"WITH {P} {_PRUNED} {_ACTIVE}",
+    "clustered_window": ORACLES["daily_new_window"],
+    "view_daily_new": ORACLES["daily_new_active"],
+    "view_deaths": _DEATHS,
+    "view_new_stats": f"WITH {P} {_STATS_ACTIVE}",
+    "stream_daily_new": ORACLES["daily_new_active"],
+    "stream_deaths": _DEATHS,
+    "stream_new_stats": f"WITH {P} {_STATS_ACTIVE}",
+    "comments_append": f"WITH {C} {_CM}",
+    "comments_for_key": f"""WITH {C}, s AS ({_CM})
+        SELECT *, COUNT(*) OVER () AS count FROM s WHERE country_key = lower(trim({_lit(COMMENT_KEY)}))""",
+    "comments_fanout": f"""WITH {C} SELECT lower(trim(k.c)) AS country_key, comment_text, "user", source, additional_notes
+        FROM cm, (VALUES {", ".join("(" + _lit(c) + ")" for c in FANOUT)}) k(c)""",
+    "comments_selected": f"""WITH {C}, s AS ({_CM}) SELECT * FROM s
+        WHERE country_key IN ({", ".join("lower(trim(" + _lit(k) + "))" for k in FETCH_KEYS)})""",
+    "stream_comments": f"WITH {C} {_CM}",
+})

@@ -169,3 +169,149 @@ def waves_country(spark, sf):
 @query
 def waves_user(spark, sf):
     return wv.waves(fx.user_panel(spark, sf))
+
+
+# --- S10-S19, T1: tables, layout, materialised aggregates, streaming upkeep ---------
+
+import uuid as _uuid  # noqa: E402
+
+from epiframe import schemas  # noqa: E402
+from epiframe.plans import warehouse as wh  # noqa: E402
+from epiframe.session import work_dir  # noqa: E402
+from epiframe.streaming.upkeep import run_complete_aggregate  # noqa: E402
+
+
+def _pruned(spark, sf, root):
+    return wh.pruned_copy(fx.panel(spark, sf), f"{root}/pruned")
+
+
+def _active(spark, sf, root):
+    return wh.active_copy(_pruned(spark, sf, root), f"{root}/active")
+
+
+@query
+def table_copy(spark, sf):
+    return wh.table_copy(fx.panel(spark, sf), work_dir(spark, "table_copy"))
+
+
+@query
+def pruned_copy(spark, sf):
+    return _pruned(spark, sf, work_dir(spark, "pruned_copy"))
+
+
+@query
+def active_copy(spark, sf):
+    return _active(spark, sf, work_dir(spark, "active_copy"))
+
+
+@query
+def clustered_window(spark, sf):
+    root = work_dir(spark, "clustered")
+    laid_out = wh.write_clustered(_active(spark, sf, root), f"{root}/clustered")
+    return agg.daily_sum_window(laid_out, WINDOW_START, WINDOW_END)
+
+
+@query
+def view_daily_new(spark, sf):
+    root = work_dir(spark, "view_daily_new")
+    return wh.materialise(wh.daily_new_body(_active(spark, sf, root)), f"{root}/mv")
+
+
+@query
+def view_deaths(spark, sf):
+    root = work_dir(spark, "view_deaths")
+    return wh.materialise(wh.deaths_body(_pruned(spark, sf, root)), f"{root}/mv")
+
+
+@query
+def view_new_stats(spark, sf):
+    root = work_dir(spark, "view_new_stats")
+    state = wh.materialise(wh.new_stats_state(_active(spark, sf, root)), f"{root}/mv")
+    return rounded(wh.new_stats_read(state))
+
+
+def _stream(spark, sf, name, body):
+    """Stage P as several files (micro-batches in date order), then keep the
+    aggregate current with the streaming job."""
+    root = work_dir(spark, name)
+    (fx.panel(spark, sf).repartitionByRange(4, "date").write.parquet(f"{root}/in"))
+    return run_complete_aggregate(spark, f"{root}/in", schemas.PANEL, body, f"{root}/out", f"{root}/ckpt")
+
+
+@query
+def stream_daily_new(spark, sf):
+    return _stream(spark, sf, "stream_daily_new", lambda s: wh.daily_new_body(flt.active_rows(s)))
+
+
+@query
+def stream_deaths(spark, sf):
+    return _stream(spark, sf, "stream_deaths", wh.deaths_body)
+
+
+@query
+def stream_new_stats(spark, sf):
+    state = _stream(spark, sf, "stream_new_stats", lambda s: wh.new_stats_state(flt.active_rows(s)))
+    return rounded(wh.new_stats_read(state))
+
+
+def _catalog(spark, sf):
+    root = work_dir(spark, "catalog")
+    db = wh.create_database(spark, f"epiframe_{_uuid.uuid4().hex[:10]}", f"{root}/db")
+    panel = fx.panel(spark, sf)
+    wh.table_copy(panel, f"{root}/ecdc_global", f"{db}.ecdc_global")
+    pruned = wh.pruned_copy(panel, f"{root}/ecdc_global_copy", f"{db}.ecdc_global_copy")
+    wh.active_copy(pruned, f"{root}/ecdc_global_active", f"{db}.ecdc_global_active")
+    return db
+
+
+@query
+def list_tables(spark, sf):
+    return wh.list_tables(spark, _catalog(spark, sf)).select("tableName", "isTemporary")
+
+
+@query
+def describe_table(spark, sf):
+    return wh.describe_table(spark, f"{_catalog(spark, sf)}.ecdc_global_copy")
+
+
+# --- S6-S9, T2: comments --------------------------------------------------------------
+
+from epiframe.plans import comments as cm  # noqa: E402
+from epiframe.streaming.comments import ingest  # noqa: E402
+
+COMMENT_KEY = " NATION_3 "
+FANOUT = ["Nation_1", "Nation_2"]
+FETCH_KEYS = ["Nation_1", " NATION_2", "nation_24"]
+_COMMENT_OUT = ["country_key", "comment_text", "user", "source", "additional_notes"]
+
+
+def _store(spark, sf, name):
+    return cm.add_comments(fx.comments(spark, sf).drop("timestamp"), f"{work_dir(spark, name)}/store")
+
+
+@query
+def comments_append(spark, sf):
+    return _store(spark, sf, "comments_append").select(*_COMMENT_OUT)
+
+
+@query
+def comments_for_key(spark, sf):
+    return cm.comments_for_key(_store(spark, sf, "comments_for_key"), COMMENT_KEY).select(*_COMMENT_OUT, "count")
+
+
+@query
+def comments_fanout(spark, sf):
+    posted = cm.fan_out(fx.comments(spark, sf).drop("timestamp"), FANOUT)
+    return cm.add_comments(posted, f"{work_dir(spark, 'comments_fanout')}/store").select(*_COMMENT_OUT)
+
+
+@query
+def comments_selected(spark, sf):
+    return cm.comments_for_keys(_store(spark, sf, "comments_selected"), FETCH_KEYS).select(*_COMMENT_OUT)
+
+
+@query
+def stream_comments(spark, sf):
+    root = work_dir(spark, "stream_comments")
+    fx.comments(spark, sf).drop("timestamp").repartition(4).write.json(f"{root}/in")
+    return ingest(spark, f"{root}/in", f"{root}/store", f"{root}/ckpt").select(*_COMMENT_OUT)
