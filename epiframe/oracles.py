@@ -192,3 +192,86 @@ ORACLES.update({
         WHERE country_key IN ({", ".join("lower(trim(" + _lit(k) + "))" for k in FETCH_KEYS)})""",
     "stream_comments": f"WITH {C} {_CM}",
 })
+
+from epiframe.queries import K, ROUNDS  # noqa: E402
+
+
+def _features_sql(src: str) -> str:
+    """``feat``(e, f0, f1) from ``src``(country_region, total_cases, total_deaths)."""
+    return f"""
+lg AS (SELECT country_region AS e, ln(1 + total_cases) AS f0, ln(1 + total_deaths) AS f1
+       FROM {src} WHERE total_cases IS NOT NULL AND total_deaths IS NOT NULL),
+st AS (SELECT avg(f0) AS m0, stddev_pop(f0) AS s0, avg(f1) AS m1, stddev_pop(f1) AS s1 FROM lg),
+feat AS (SELECT e, round((f0 - m0) / CASE WHEN s0 = 0 THEN 1 ELSE s0 END, 9) AS f0,
+                   round((f1 - m1) / CASE WHEN s1 = 0 THEN 1 ELSE s1 END, 9) AS f1 FROM lg, st),
+ranked AS (SELECT *, ROW_NUMBER() OVER (ORDER BY f0, f1, e) - 1 AS rn, COUNT(*) OVER () AS n FROM feat),
+c_0 AS (SELECT t.range AS cid, r.f0 AS c0, r.f1 AS c1 FROM ranked r JOIN range({K}) t
+        ON r.rn = ((2 * t.range + 1) * r.n) // (2 * {K}))"""
+
+
+def _assign_sql(i: int) -> str:
+    return f"""
+a_{i} AS (
+  SELECT e, f0, f1, cid FROM (
+    SELECT f.e, f.f0, f.f1, c.cid,
+           ROW_NUMBER() OVER (PARTITION BY f.e ORDER BY
+             round((f.f0 - c.c0) * (f.f0 - c.c0) + (f.f1 - c.c1) * (f.f1 - c.c1), 9), c.cid) AS q
+    FROM feat f, c_{i} c) WHERE q = 1)"""
+
+
+def _lloyd_sql(rounds: int) -> str:
+    parts = []
+    for i in range(rounds):
+        parts.append(_assign_sql(i))
+        parts.append(f"""
+c_{i + 1} AS (
+  SELECT c.cid, COALESCE(u.c0, c.c0) AS c0, COALESCE(u.c1, c.c1) AS c1
+  FROM c_{i} c LEFT JOIN (SELECT cid, round(avg(f0), 9) AS c0, round(avg(f1), 9) AS c1 FROM a_{i} GROUP BY cid) u
+  ON c.cid = u.cid)""")
+    parts.append(_assign_sql(rounds))
+    parts.append(f"""
+lab AS (SELECT cid, CAST(ROW_NUMBER() OVER (ORDER BY c0, c1, cid) - 1 AS INTEGER) AS cluster FROM c_{rounds})""")
+    return ",".join(parts)
+
+
+_TOT_POS = "tp AS (SELECT country_region, CAST(SUM(cases) AS BIGINT) AS total_cases, CAST(SUM(deaths) AS BIGINT) AS total_deaths FROM p GROUP BY 1 HAVING SUM(cases) > 0)"
+_CUST = """ct AS (SELECT CAST(o_custkey AS VARCHAR) AS country_region, COUNT(*) AS total_cases,
+             CAST(SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS total_deaths
+             FROM orders GROUP BY 1)"""
+_LABELS = f"{_TOT_POS}, {_features_sql('tp')}, {_lloyd_sql(ROUNDS)}"
+
+
+def _nan_null(expr: str, alias: str) -> str:
+    return f"CASE WHEN isnan({expr}) THEN NULL ELSE round({expr}, 6) END AS {alias}"
+
+
+_FIT = """pts AS (SELECT ln(1 + population_density_calc) AS x, ln(1 + cases_per_million) AS y FROM {src}
+          WHERE isfinite(population_density_calc) AND isfinite(cases_per_million)
+            AND population_density_calc > -1 AND cases_per_million > -1),
+fit AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, COUNT(*) AS n FROM pts)"""
+
+ORACLES.update({
+    "scaled_features": f"WITH {P}, {_TOT_POS}, {_features_sql('tp')} SELECT e AS country_region, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM feat",
+    "kmeans_step": f"""WITH {_CUST}, {_features_sql('ct')}, {_assign_sql(0)}
+        SELECT CAST(cid AS INTEGER) AS cluster, COUNT(*) AS members, round(round(avg(f0), 9), 6) AS c0,
+               round(round(avg(f1), 9), 6) AS c1 FROM a_0 GROUP BY cid""",
+    "cluster_countries": f"WITH {P}, {_LABELS} SELECT a.e AS country_region, l.cluster FROM a_{ROUNDS} a JOIN lab l USING (cid)",
+    "chart_clusters": f"""WITH {X1}, {_LABELS}
+        SELECT x1.country_region, round(x1.cases_per_million, 6) AS cases_per_million,
+               round(x1.deaths_per_million, 6) AS deaths_per_million, x1.population_2020,
+               CAST(l.cluster AS VARCHAR) AS cluster
+        FROM x1 JOIN a_{ROUNDS} a ON a.e = x1.country_region JOIN lab l USING (cid)""",
+    "density_fit": f"""WITH {X1}, {_FIT.format(src='x1')}
+        SELECT {_nan_null('slope', 'slope')}, {_nan_null('intercept', 'intercept')}, {_nan_null('r2', 'r2')}, n FROM fit""",
+    "chart_density": f"""WITH {X1}, sel AS (SELECT * FROM x1 WHERE country_region IN ({_SEL})), {_FIT.format(src='sel')}
+        SELECT country_region, round(population_density_calc, 6) AS population_density_calc,
+               round(cases_per_million, 6) AS cases_per_million,
+               round(exp(intercept + slope * ln(1 + COALESCE(population_density_calc, 0))) - 1, 6) AS fitted
+        FROM sel, fit""",
+    "chart_cases_deaths": f"""WITH {X1} SELECT country_region, round(cases_per_million, 6) AS cases_per_million,
+        round(deaths_per_million, 6) AS deaths_per_million, population_2020, round(cfr_pct, 6) AS cfr_pct
+        FROM x1 WHERE country_region IN ({_SEL}) AND cases_per_million > 0 AND deaths_per_million > 0""",
+    "chart_cfr_top20": f"""WITH {X1} SELECT country_region, round(cfr_pct, 6) AS cfr_pct, printf('%.2f%%', cfr_pct) AS cfr_label,
+        (SELECT round(COALESCE(MAX(cfr_pct) * 1.2, 1.0), 6) FROM x1) AS axis_max
+        FROM x1 ORDER BY cfr_pct DESC NULLS LAST, country_region LIMIT 20""",
+})

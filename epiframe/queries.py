@@ -315,3 +315,71 @@ def stream_comments(spark, sf):
     root = work_dir(spark, "stream_comments")
     fx.comments(spark, sf).drop("timestamp").repartition(4).write.json(f"{root}/in")
     return ingest(spark, f"{root}/in", f"{root}/store", f"{root}/ckpt").select(*_COMMENT_OUT)
+
+
+# --- M1-M5, F1-F3, F5 -------------------------------------------------------------------
+
+from epiframe.operators import cluster as km  # noqa: E402
+from epiframe.operators import regression as rg  # noqa: E402
+from epiframe.plans import charts  # noqa: E402
+
+K = 3
+ROUNDS = 10
+
+
+def _country_features(spark, sf):
+    return km.features(agg.country_totals_positive(fx.panel(spark, sf)))
+
+
+def _customer_features(spark, sf):
+    return km.features(fx.customer_totals(spark, sf))
+
+
+def _country_labels(spark, sf):
+    labels, _ = km.lloyd(_country_features(spark, sf), K, ROUNDS)
+    return labels
+
+
+@query
+def scaled_features(spark, sf):
+    return rounded(_country_features(spark, sf))
+
+
+@query
+def kmeans_step(spark, sf):
+    return rounded(km.one_step(_customer_features(spark, sf), K))
+
+
+@query
+def cluster_countries(spark, sf):
+    return _country_labels(spark, sf).select("country_region", "cluster")
+
+
+@query
+def chart_clusters(spark, sf):
+    return rounded(charts.clusters(_enriched(spark, sf), _country_labels(spark, sf)))
+
+
+@query
+def cluster_ml(spark, sf):
+    return km.kmeans_ml(_customer_features(spark, sf), K).select("country_region", "cluster")
+
+
+@query
+def density_fit(spark, sf):
+    return rounded(rg.fit_loglog(_enriched(spark, sf)))
+
+
+@query
+def chart_density(spark, sf):
+    return rounded(charts.density_curve(_enriched(spark, sf), SELECTION))
+
+
+@query
+def chart_cases_deaths(spark, sf):
+    return rounded(charts.cases_vs_deaths(_enriched(spark, sf), SELECTION))
+
+
+@query
+def chart_cfr_top20(spark, sf):
+    return rounded(charts.cfr_top(_enriched(spark, sf), None, 20))
