@@ -275,3 +275,47 @@ ORACLES.update({
         (SELECT round(COALESCE(MAX(cfr_pct) * 1.2, 1.0), 6) FROM x1) AS axis_max
         FROM x1 ORDER BY cfr_pct DESC NULLS LAST, country_region LIMIT 20""",
 })
+
+from epiframe.queries import HORIZON  # noqa: E402
+from epiframe.operators.forecast import Z80  # noqa: E402
+
+
+def _forecast_sql(where: str = "") -> str:
+    return f"""
+h AS (SELECT country_region AS e, date AS ds, COALESCE(CAST(cases AS DOUBLE), 0) AS y FROM p
+      WHERE date IS NOT NULL {where}),
+h1 AS (SELECT *, date_diff('day', MIN(ds) OVER (PARTITION BY e), ds) AS t, dayofweek(ds) AS dow FROM h),
+h2 AS (SELECT *, regr_intercept(y, t) OVER (PARTITION BY e) AS a, regr_slope(y, t) OVER (PARTITION BY e) AS b,
+              COUNT(*) OVER (PARTITION BY e) AS n, AVG(t) OVER (PARTITION BY e) AS tbar,
+              VAR_POP(t) OVER (PARTITION BY e) * COUNT(*) OVER (PARTITION BY e) AS sxx,
+              MIN(ds) OVER (PARTITION BY e) AS t0 FROM h1),
+h3 AS (SELECT *, AVG(y - a - b * t) OVER (PARTITION BY e, dow) AS s FROM h2),
+h4 AS (SELECT *, STDDEV_POP(y - a - b * t - s) OVER (PARTITION BY e) AS sigma FROM h3),
+prm AS (SELECT e, MAX(ds) AS last_ds, ANY_VALUE(a) AS a, ANY_VALUE(b) AS b, ANY_VALUE(n) AS n,
+               ANY_VALUE(tbar) AS tbar, ANY_VALUE(sxx) AS sxx, ANY_VALUE(sigma) AS sigma, ANY_VALUE(t0) AS t0
+        FROM h4 GROUP BY e),
+seas AS (SELECT DISTINCT e, dow, s FROM h4),
+fut AS (SELECT prm.*, CAST(prm.last_ds + CAST(g.i AS INTEGER) AS DATE) AS ds FROM prm, generate_series(1, {HORIZON}) g(i)),
+fut1 AS (SELECT f.*, date_diff('day', f.t0, f.ds) AS t, seas.s FROM fut f
+         LEFT JOIN seas ON seas.e = f.e AND seas.dow = dayofweek(f.ds)),
+rows AS (SELECT e, ds, t, a, b, s, n, tbar, sxx, sigma, FALSE AS is_future FROM h4
+         UNION ALL SELECT e, ds, t, a, b, s, n, tbar, sxx, sigma, TRUE FROM fut1),
+pred AS (SELECT e, ds, is_future, a + b * t + COALESCE(s, 0) AS yhat,
+                {Z80} * sigma * sqrt(1 + 1.0 / NULLIF(n, 0) + (t - tbar) * (t - tbar) / NULLIF(sxx, 0)) AS spread
+         FROM rows)"""
+
+
+_PRED_COLS = "round(yhat, 6) AS yhat, round(yhat - spread, 6) AS yhat_lower, round(yhat + spread, 6) AS yhat_upper"
+_HIST_ONE = f"SELECT date AS ds, COALESCE(CAST(cases AS DOUBLE), 0) AS y FROM p WHERE lower(trim(country_region)) = lower(trim({_lit(ONE_COUNTRY)}))"
+
+ORACLES.update({
+    "history_one": f"WITH {P} {_HIST_ONE}",
+    "history_with_count": f"WITH {P}, s AS ({_HIST_ONE}) SELECT *, COUNT(*) OVER () AS count FROM s",
+    "future_frame": f"""WITH {P}, h AS (SELECT country_region, date AS ds FROM p WHERE date IS NOT NULL),
+        l AS (SELECT country_region, MAX(ds) AS last_ds FROM h GROUP BY 1)
+        SELECT country_region, ds, FALSE AS is_future FROM h
+        UNION ALL SELECT country_region, CAST(last_ds + CAST(g.i AS INTEGER) AS DATE), TRUE FROM l, generate_series(1, {HORIZON}) g(i)""",
+    "forecast_all": f"WITH {P}, {_forecast_sql()} SELECT e AS country_region, ds, {_PRED_COLS}, is_future FROM pred",
+    "chart_forecast": f"""WITH {P}, {_forecast_sql(f"AND country_region = {_lit(SELECTION[0])}")}
+        SELECT pred.ds, {_PRED_COLS}, h.y FROM pred LEFT JOIN h ON h.e = pred.e AND h.ds = pred.ds""",
+})

@@ -383,3 +383,48 @@ def chart_cases_deaths(spark, sf):
 @query
 def chart_cfr_top20(spark, sf):
     return rounded(charts.cfr_top(_enriched(spark, sf), None, 20))
+
+
+# --- M6-M9, J5, F4, S20, A16 -------------------------------------------------------------
+
+from epiframe.operators import forecast as fc  # noqa: E402
+from epiframe.operators.joins import overlay_actuals  # noqa: E402
+from epiframe.sources.records import to_records  # noqa: E402
+
+HORIZON = 30
+
+
+def _history_one(spark, sf):
+    return fc.history(fx.panel(spark, sf), ONE_COUNTRY)
+
+
+@query
+def history_one(spark, sf):
+    return _history_one(spark, sf).select("ds", "y").orderBy("ds")
+
+
+@query
+def history_with_count(spark, sf):
+    return agg.with_count(_history_one(spark, sf).select("ds", "y")).orderBy("ds")
+
+
+@query
+def chart_history_json(spark, sf):
+    return to_records(_history_one(spark, sf).select("ds", "y").orderBy("ds"))
+
+
+@query
+def future_frame(spark, sf):
+    return fc.future_dates(fc.history(fx.panel(spark, sf)), HORIZON)
+
+
+@query
+def forecast_all(spark, sf):
+    return rounded(fc.forecast(fc.history(fx.panel(spark, sf)), HORIZON))
+
+
+@query
+def chart_forecast(spark, sf):
+    hist = fc.history(fx.panel(spark, sf), SELECTION[0])
+    out = overlay_actuals(fc.forecast(hist, HORIZON), hist, ["country_region", "ds"])
+    return rounded(out.select("ds", "yhat", "yhat_lower", "yhat_upper", "y").orderBy("ds"))
