@@ -121,6 +121,14 @@ def axis_bound(df: DataFrame, column: str, factor: float = 1.2, fallback: float
                              F.lit(fallback)).alias(alias))
 
 
+def scalar_row(one_row: DataFrame) -> Column:
+    """A one-row aggregate as a struct-valued scalar subquery.  Every field
+    read from it refers to the same subquery, which AQE executes once
+    (``ReusedSubquery``) — the way to attach global statistics to every row
+    without a cross join or a single-partition window."""
+    return one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns])).scalar()
+
+
 def with_count(df: DataFrame, alias: str = "count") -> DataFrame:
     """The result cardinality beside every row, computed as a scalar
     subquery (one global aggregate, no window over a single partition)."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from epiframe.functions.numeric import finite
+from epiframe.operators.aggregates import scalar_row
 
 
 def log_features(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -22,10 +23,10 @@ def standardise(df: DataFrame, columns: list[str], places: int | None = None) ->
     rows.  A zero deviation scales by 1 (the value becomes 0)."""
     stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns],
                    *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
+    row = scalar_row(stats)
     out = {}
     for c in columns:
-        mean = stats.select(f"_m_{c}").scalar()
-        sd = stats.select(f"_s_{c}").scalar()
+        mean, sd = row[f"_m_{c}"], row[f"_s_{c}"]
         scaled = (F.col(c) - mean) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
         out[c] = F.round(scaled, places) if places is not None else scaled
     return df.withColumns(out)
@@ -44,7 +45,7 @@ def predict_loglog(df: DataFrame, coefficients: DataFrame, x: str = "population_
                    out: str = "fitted") -> DataFrame:
     """M5: fitted = exp(intercept + slope * ln(1 + coalesce(x, 0))) - 1 for every
     row; NULL everywhere when the fit has no coefficients."""
-    slope = coefficients.select("slope").scalar()
-    intercept = coefficients.select("intercept").scalar()
+    row = scalar_row(coefficients.select("slope", "intercept"))
+    slope, intercept = row["slope"], row["intercept"]
     lx = F.log1p(F.coalesce(F.col(x).cast("double"), F.lit(0.0)))
     return df.withColumn(out, F.expm1(intercept + slope * lx))

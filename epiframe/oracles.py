@@ -319,3 +319,83 @@ ORACLES.update({
     "chart_forecast": f"""WITH {P}, {_forecast_sql(f"AND country_region = {_lit(SELECTION[0])}")}
         SELECT pred.ds, {_PRED_COLS}, h.y FROM pred LEFT JOIN h ON h.e = pred.e AND h.ds = pred.ds""",
 })
+
+from epiframe.queries import TOP_VALUE_COLUMNS  # noqa: E402
+
+# Spark type names of the enriched table's columns, in order.
+X1_TYPES = [("country_region", "string"), ("total_cases", "bigint"), ("total_deaths", "bigint"),
+            ("population_2020", "bigint"), ("area_km2", "bigint")] + [(c, "double") for c in X1_DOUBLES]
+X1_NUMERIC = [c for c, _ in X1_TYPES[1:]]
+P_COLS = ["country_region", "date", "cases", "deaths", "cases_since_prev_day", "population"]
+
+
+def _union(parts: list[str]) -> str:
+    return "\nUNION ALL ".join(parts)
+
+
+def _numeric_sql(c: str) -> str:
+    x = f"CAST({c} AS DOUBLE)"
+    return f"""SELECT '{c}' AS column_name, COUNT({x}) AS n,
+        CAST(SUM(CASE WHEN {x} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
+        CAST(SUM(CASE WHEN {x} = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zeros,
+        CAST(SUM(CASE WHEN {x} < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative,
+        round(MIN({x}), 6) AS min, round(MAX({x}), 6) AS max, round(AVG({x}), 6) AS mean,
+        round(STDDEV_SAMP({x}), 6) AS std,
+        round(quantile_disc({x}, 0.25), 6) AS p25, round(quantile_disc({x}, 0.5), 6) AS p50,
+        round(quantile_disc({x}, 0.75), 6) AS p75,
+        round(CASE WHEN VAR_POP({x}) = 0 THEN NULL
+                   ELSE AVG(POWER({x} - (SELECT AVG(CAST({c} AS DOUBLE)) FROM x1), 3)) / POWER(VAR_POP({x}), 1.5) END, 6) AS skewness,
+        round(CASE WHEN VAR_POP({x}) = 0 THEN NULL
+                   ELSE AVG(POWER({x} - (SELECT AVG(CAST({c} AS DOUBLE)) FROM x1), 4)) / POWER(VAR_POP({x}), 2) - 3 END, 6) AS kurtosis
+        FROM x1"""
+
+
+def _hist_sql(c: str) -> str:
+    x = f"CAST({c} AS DOUBLE)"
+    return f"""SELECT '{c}' AS column_name, b AS bin, round(lo + b * w, 6) AS lo, round(lo + (b + 1) * w, 6) AS hi, COUNT(*) AS freq
+        FROM (SELECT CASE WHEN w = 0 THEN 0 ELSE LEAST(CAST(FLOOR(({x} - lo) / w) AS INTEGER), 9) END AS b, lo, w
+              FROM x1, (SELECT MIN({x}) AS lo, (MAX({x}) - MIN({x})) / 10.0 AS w FROM x1) s WHERE {x} IS NOT NULL)
+        GROUP BY b, lo, w"""
+
+
+def _corr_sql() -> str:
+    cols = X1_NUMERIC
+    num = ", ".join(f"CAST({c} AS DOUBLE) AS c{i}" for i, c in enumerate(cols))
+    complete = " AND ".join(f"c{i} IS NOT NULL" for i in range(len(cols)))
+    ranks = ", ".join(f"rank() OVER (ORDER BY c{i}) + (COUNT(*) OVER (PARTITION BY c{i}) - 1) / 2.0 AS r{i}"
+                      for i in range(len(cols)))
+    parts = []
+    for i, a in enumerate(cols):
+        for j in range(i + 1, len(cols)):
+            b = cols[j]
+            pe = f"(SELECT corr(c{i}, c{j}) FROM num)"
+            sp = f"(SELECT corr(r{i}, r{j}) FROM rk)"
+            parts.append(f"""SELECT '{a}' AS column_a, '{b}' AS column_b,
+                CASE WHEN isnan({pe}) THEN NULL ELSE round({pe}, 6) END AS pearson,
+                CASE WHEN isnan({sp}) THEN NULL ELSE round({sp}, 6) END AS spearman""")
+    return f"""num AS (SELECT {num} FROM x1), rk AS (SELECT {ranks} FROM num WHERE {complete})
+        {_union(parts)}"""
+
+
+_TOPV = _union([f"""SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS freq
+                   FROM p WHERE {c} IS NOT NULL GROUP BY 2""" for c in TOP_VALUE_COLUMNS])
+_MISSING = _union([f"""SELECT '{c}' AS column_name, CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
+                      round(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) * 100.0 / COUNT(*), 6) AS pct_missing FROM p"""
+                   for c in P_COLS])
+
+ORACLES.update({
+    "profile_info": f"""WITH {X1} {_union([f"SELECT '{c}' AS column_name, '{t}' AS data_type, COUNT({c}) AS non_null, {i} AS position FROM x1"
+                                            for i, (c, t) in enumerate(X1_TYPES)])}""",
+    "profile_overview": f"""WITH {P} SELECT COUNT(*) AS n_rows, CAST({len(P_COLS)} AS BIGINT) AS n_columns,
+        CAST(SUM({" + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in P_COLS)}) AS BIGINT) AS missing_cells,
+        (SELECT CAST(COALESCE(SUM(k - 1), 0) AS BIGINT) FROM (SELECT COUNT(*) AS k FROM p GROUP BY {", ".join(P_COLS)})) AS duplicate_rows
+        FROM p""",
+    "profile_numeric": f"WITH {X1} {_union([_numeric_sql(c) for c in X1_NUMERIC])}",
+    "profile_top_values": f"""WITH {P}, cnt AS ({_TOPV}),
+        rk AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY freq DESC, value) AS INTEGER) AS rank,
+                      COUNT(*) OVER (PARTITION BY column_name) AS n_distinct FROM cnt)
+        SELECT * FROM rk WHERE rank <= 5""",
+    "profile_histogram": f"WITH {X1} {_union([_hist_sql(c) for c in X1_NUMERIC])}",
+    "profile_corr": f"WITH {X1}, {_corr_sql()}",
+    "profile_missing": f"WITH {P} {_MISSING}",
+})

@@ -428,3 +428,45 @@ def chart_forecast(spark, sf):
     hist = fc.history(fx.panel(spark, sf), SELECTION[0])
     out = overlay_actuals(fc.forecast(hist, HORIZON), hist, ["country_region", "ds"])
     return rounded(out.select("ds", "yhat", "yhat_lower", "yhat_upper", "y").orderBy("ds"))
+
+
+# --- E1-E8 ----------------------------------------------------------------------------------
+
+from epiframe.operators import profile as pf  # noqa: E402
+
+TOP_VALUE_COLUMNS = ["country_region", "date", "deaths"]
+
+
+@query
+def profile_info(spark, sf):
+    return pf.column_info(_enriched(spark, sf))
+
+
+@query
+def profile_overview(spark, sf):
+    return pf.overview(fx.panel(spark, sf))
+
+
+@query
+def profile_numeric(spark, sf):
+    return rounded(pf.numeric_summary(_enriched(spark, sf)))
+
+
+@query
+def profile_top_values(spark, sf):
+    return pf.top_values(fx.panel(spark, sf), TOP_VALUE_COLUMNS, 5)
+
+
+@query
+def profile_histogram(spark, sf):
+    return rounded(pf.histogram(_enriched(spark, sf)))
+
+
+@query
+def profile_corr(spark, sf):
+    return rounded(pf.correlations(_enriched(spark, sf)))
+
+
+@query
+def profile_missing(spark, sf):
+    return rounded(pf.missing(fx.panel(spark, sf)))
