@@ -54,3 +54,12 @@ def finite(c) -> Column:
 def pct_label(c) -> Column:
     """Two-decimal percent label, e.g. 12.34%."""
     return F.format_string("%.2f%%", _col(c))
+
+
+def pearson(x, y) -> Column:
+    """Pearson correlation over rows where both are non-null; NULL when either
+    side is constant (built-in ``corr`` raises DIVIDE_BY_ZERO there under ANSI)."""
+    xs, ys = _col(x), _col(y)
+    both = xs.isNotNull() & ys.isNotNull()
+    px, py = F.when(both, xs), F.when(both, ys)
+    return F.try_divide(F.covar_pop(px, py), F.stddev_pop(px) * F.stddev_pop(py))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from epiframe.functions.numeric import pearson
 from epiframe.operators.aggregates import scalar_row
 from epiframe.operators.ranking import grouped_average_ranks
 from epiframe.session import ensure_checkpoint_dir
@@ -20,13 +21,27 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 QUANTILE_ACCURACY = 100_000
 
 
+def _num(c: str):
+    """The column as double with NaN treated as missing (NULL)."""
+    x = F.col(f"`{c}`").cast("double")
+    return F.nanvl(x, F.lit(None).cast("double"))
+
+
+def _missing(f: T.StructField):
+    """NULL, or NaN for floating columns (pandas' notion of missing)."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        return c.isNull() | F.isnan(c)
+    return c.isNull()
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
 
 
 def column_info(df: DataFrame) -> DataFrame:
     """(column_name, data_type, non_null) in column order."""
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    counts = df.agg(*[F.count(F.when(~_missing(f), F.lit(1))).alias(f"n{i}") for i, f in enumerate(df.schema.fields)])
     structs = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
                         F.col(f"n{i}").alias("non_null"), F.lit(i).alias("position"))
                for i, f in enumerate(df.schema.fields)]
@@ -36,7 +51,7 @@ def column_info(df: DataFrame) -> DataFrame:
 def overview(df: DataFrame) -> DataFrame:
     """n_rows, n_columns, missing_cells, duplicate_rows."""
     cols = [F.col(f"`{c}`") for c in df.columns]
-    missing = sum((F.sum(F.when(c.isNull(), 1).otherwise(0)) for c in cols), F.lit(0))
+    missing = sum((F.sum(F.when(_missing(f), 1).otherwise(0)) for f in df.schema.fields), F.lit(0))
     base = df.agg(F.count(F.lit(1)).alias("n_rows"), missing.cast("bigint").alias("missing_cells"))
     dups = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
             .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("d")))
@@ -50,7 +65,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     columns = columns or numeric_columns(df)
     aggs, structs = [], []
     for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
+        x = _num(c)
         named = {
             "n": F.count(x), "n_missing": F.sum(F.when(x.isNull(), 1).otherwise(0)).cast("bigint"),
             "n_zeros": F.sum(F.when(x == 0, 1).otherwise(0)).cast("bigint"),
@@ -92,14 +107,14 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -
     column in bin 0.  Two scans: min/max, then one pass emitting every
     row's (column, bin) pairs."""
     columns = columns or numeric_columns(df)
-    stats = df.agg(*[F.min(F.col(f"`{c}`").cast("double")).alias(f"lo{i}") for i, c in enumerate(columns)],
-                   *[F.max(F.col(f"`{c}`").cast("double")).alias(f"hi{i}") for i, c in enumerate(columns)])
+    stats = df.agg(*[F.min(_num(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
+                   *[F.max(_num(c)).alias(f"hi{i}") for i, c in enumerate(columns)])
     row = scalar_row(stats)
     structs = []
     for i, c in enumerate(columns):
         lo, hi = row[f"lo{i}"], row[f"hi{i}"]
         width = (hi - lo) / F.lit(float(bins))
-        x = F.col(f"`{c}`").cast("double")
+        x = _num(c)
         b = F.when(width == 0, F.lit(0)).otherwise(
             F.least(F.floor((x - lo) / width).cast("int"), F.lit(bins - 1)))
         structs.append(F.struct(F.lit(c).alias("column_name"), F.when(x.isNotNull(), b).alias("bin"),
@@ -122,7 +137,7 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     # (reliable checkpoint in the shared folder) instead of recomputing the
     # upstream plan for each.
     ensure_checkpoint_dir(df.sparkSession)
-    num = (df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    num = (df.select(*[_num(c).alias(f"c{i}") for i, c in enumerate(columns)])
            .withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True))
     complete = num.dropna()
     # All columns are ranked together in long format: (row, column index, value).
@@ -131,19 +146,19 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     ranks = grouped_average_ranks(long, "_k", "_v", "_r")
     per_row = (long.join(ranks, ["_k", "_v"]).groupBy("_row")
                .agg(*[F.max(F.when(F.col("_k") == i, F.col("_r"))).alias(f"r{i}") for i in range(len(columns))]))
-    spearman = scalar_row(per_row.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"s{n}") for n, (i, j) in enumerate(pairs)]))
-    pearson = num.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"p{n}") for n, (i, j) in enumerate(pairs)])
+    spearman = scalar_row(per_row.agg(*[pearson(f"r{i}", f"r{j}").alias(f"s{n}") for n, (i, j) in enumerate(pairs)]))
+    linear = num.agg(*[pearson(f"c{i}", f"c{j}").alias(f"p{n}") for n, (i, j) in enumerate(pairs)])
     structs = [F.struct(F.lit(columns[i]).alias("column_a"), F.lit(columns[j]).alias("column_b"),
                         F.col(f"p{n}").alias("pearson"), spearman[f"s{n}"].alias("spearman"))
                for n, (i, j) in enumerate(pairs)]
-    return pearson.select(F.inline(F.array(*structs)))
+    return linear.select(F.inline(F.array(*structs)))
 
 
 def missing(df: DataFrame) -> DataFrame:
     """(column_name, n_missing, pct_missing) per column."""
     aggs = [F.count(F.lit(1)).alias("_n")] + [
-        F.sum(F.when(F.col(f"`{c}`").isNull(), 1).otherwise(0)).cast("bigint").alias(f"m{i}")
-        for i, c in enumerate(df.columns)]
+        F.sum(F.when(_missing(f), 1).otherwise(0)).cast("bigint").alias(f"m{i}")
+        for i, f in enumerate(df.schema.fields)]
     structs = [F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("n_missing"),
                         (F.try_divide(F.col(f"m{i}").cast("double"), F.col("_n").cast("double")) * 100.0)
                         .alias("pct_missing"))

@@ -271,7 +271,7 @@ ORACLES.update({
     "chart_cases_deaths": f"""WITH {X1} SELECT country_region, round(cases_per_million, 6) AS cases_per_million,
         round(deaths_per_million, 6) AS deaths_per_million, population_2020, round(cfr_pct, 6) AS cfr_pct
         FROM x1 WHERE country_region IN ({_SEL}) AND cases_per_million > 0 AND deaths_per_million > 0""",
-    "chart_cfr_top20": f"""WITH {X1} SELECT country_region, round(cfr_pct, 6) AS cfr_pct, printf('%.2f%%', cfr_pct) AS cfr_label,
+    "chart_cfr_top20": f"""WITH {X1} SELECT country_region, round(cfr_pct, 6) AS cfr_pct, printf('%.2f%%', round(cfr_pct, 2)) AS cfr_label,
         (SELECT round(COALESCE(MAX(cfr_pct) * 1.2, 1.0), 6) FROM x1) AS axis_max
         FROM x1 ORDER BY cfr_pct DESC NULLS LAST, country_region LIMIT 20""",
 })

@@ -1,0 +1,68 @@
+import math
+
+import numpy as np
+import pandas as pd
+
+from epiframe.operators import profile as pf
+from epiframe.operators.ranking import global_row_number, grouped_average_ranks
+
+
+def _pdf():
+    rnd = np.random.default_rng(11)
+    x = rnd.integers(0, 6, 40).astype(float)
+    y = x * 2 + rnd.normal(0, 1, 40)
+    z = rnd.integers(-3, 3, 40).astype(float)
+    df = pd.DataFrame({"x": x, "y": y, "z": z})
+    df.loc[3, "y"] = np.nan
+    return df
+
+
+def test_numeric_summary_against_pandas(spark):
+    pdf = _pdf()
+    rows = {r.column_name: r for r in pf.numeric_summary(spark.createDataFrame(pdf)).collect()}
+    for c in ["x", "y", "z"]:
+        s = pdf[c].dropna()
+        r = rows[c]
+        assert r.n == len(s) and r.n_missing == pdf[c].isna().sum()
+        assert math.isclose(r.mean, s.mean()) and math.isclose(r.std, s.std(ddof=1))
+        assert r.n_zeros == (s == 0).sum() and r.n_negative == (s < 0).sum()
+        m = s - s.mean()
+        assert math.isclose(r.skewness, (m ** 3).mean() / (m ** 2).mean() ** 1.5, rel_tol=1e-9)
+        assert math.isclose(r.kurtosis, (m ** 4).mean() / (m ** 2).mean() ** 2 - 3, rel_tol=1e-9)
+        assert r.p50 == s.quantile(0.5, interpolation="lower") or r.p50 in set(s)
+
+
+def test_spearman_with_ties_against_pandas(spark):
+    pdf = _pdf().dropna()
+    rows = {(r.column_a, r.column_b): r for r in pf.correlations(spark.createDataFrame(pdf)).collect()}
+    for (a, b), r in rows.items():
+        assert math.isclose(r.pearson, pdf[a].corr(pdf[b]), rel_tol=1e-9)
+        # Spearman = Pearson of average ranks (pandas rank() averages ties)
+        assert math.isclose(r.spearman, pdf[a].rank().corr(pdf[b].rank()), rel_tol=1e-9)
+
+
+def test_ranks(spark):
+    df = spark.createDataFrame([(v,) for v in [5, 1, 3, 3, 9, 1, 1]], "v long")
+    assert sorted(r.row_index for r in global_row_number(df, ["v"], partitions=3).collect()) == list(range(7))
+    long = df.selectExpr("'a' AS k", "v")
+    got = {r.v: r.rank for r in grouped_average_ranks(long, "k", "v").collect()}
+    want = pd.Series([5, 1, 3, 3, 9, 1, 1]).rank()
+    assert got == {v: w for v, w in zip([5, 1, 3, 3, 9, 1, 1], want)}
+
+
+def test_histogram_top_values_missing_overview(spark):
+    pdf = _pdf()
+    sdf = spark.createDataFrame(pdf)
+    h = pf.histogram(sdf, ["x"], 5).collect()
+    assert sum(r.freq for r in h) == 40 and max(r.bin for r in h) == 4
+    const = spark.createDataFrame([(2.0,), (2.0,)], "c double")
+    assert [(r.bin, r.freq) for r in pf.histogram(const).collect()] == [(0, 2)]
+    top = pf.top_values(sdf, ["x"], 2).orderBy("rank").collect()
+    vc = pdf["x"].value_counts()
+    assert top[0].freq == vc.max() and top[0].n_distinct == pdf["x"].nunique()
+    miss = {r.column_name: r.n_missing for r in pf.missing(sdf).collect()}
+    assert miss == {"x": 0, "y": 1, "z": 0}
+    ov = pf.overview(spark.createDataFrame([(1, None), (1, None), (2, 3)], "a long, b long")).first()
+    assert (ov.n_rows, ov.n_columns, ov.missing_cells, ov.duplicate_rows) == (3, 2, 2, 1)
+    info = pf.column_info(sdf).collect()
+    assert [(r.column_name, r.data_type, r.non_null) for r in info] == [("x", "double", 40), ("y", "double", 39), ("z", "double", 40)]
