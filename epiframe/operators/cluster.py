@@ -12,8 +12,8 @@ centres (k <= 10) travel to the driver between rounds, like any k-means.
 ``ml`` uses ``pyspark.ml.clustering.KMeans`` for very large entity counts.
 
 Labels are canonical: 0..k-1 by ascending centre (first feature, then
-second).  The features frame is checkpointed into the shared checkpoint
-folder before iterating, so a lost executor does not replay the lineage.
+second).  The features frame is written to the shared checkpoint folder
+before iterating, so a lost executor does not replay the lineage.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from epiframe.operators.ranking import global_row_number
 from epiframe.operators.regression import log_features, standardise
-from epiframe.session import ensure_checkpoint_dir
+from epiframe.session import materialise
 
 PLACES = 9
 K_MIN, K_MAX = 2, 10
@@ -86,8 +86,7 @@ def lloyd(feats: DataFrame, k: int = 3, rounds: int = 10, entity: str = "country
     """Returns (labels DataFrame(entity, f0, f1, cluster), final centres)."""
     if not K_MIN <= k <= K_MAX:
         raise ValueError(f"k must be in [{K_MIN}, {K_MAX}], got {k}")
-    ensure_checkpoint_dir(feats.sparkSession)
-    feats = feats.checkpoint(eager=True)
+    feats = materialise(feats, "kmeans_features")
     centres = seeds(feats, k, entity)
     if not centres:
         return assign(feats, [(0.0, 0.0)]).limit(0), []

@@ -13,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from epiframe.functions.numeric import pearson
-from epiframe.operators.aggregates import scalar_row
 from epiframe.operators.ranking import grouped_average_ranks
-from epiframe.session import ensure_checkpoint_dir
+from epiframe.session import materialise
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 QUANTILE_ACCURACY = 100_000
@@ -59,26 +58,35 @@ def overview(df: DataFrame) -> DataFrame:
                        dups.select("d").scalar().alias("duplicate_rows"))
 
 
+def _long(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Unpivot ``columns`` to (_k, _x): column index and value as double
+    (NaN -> NULL).  Generated inside the scan's stage, so it feeds the
+    partial aggregation directly and never shuffles the expanded rows."""
+    structs = [F.struct(F.lit(i).alias("_k"), _num(c).alias("_x")) for i, c in enumerate(columns)]
+    return df.select(*(keep or []), F.inline(F.array(*structs)))
+
+
+def _name(columns: list[str], idx: str = "_k"):
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(idx) + 1)
+
+
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per numeric column — count, missing, zeros, negatives, min, max,
-    mean, std, p25, p50, p75, skewness, kurtosis (excess)."""
+    mean, std, p25, p50, p75, skewness, kurtosis (excess).  One grouped
+    aggregate over the unpivoted values, one group per column."""
     columns = columns or numeric_columns(df)
-    aggs, structs = [], []
-    for i, c in enumerate(columns):
-        x = _num(c)
-        named = {
-            "n": F.count(x), "n_missing": F.sum(F.when(x.isNull(), 1).otherwise(0)).cast("bigint"),
-            "n_zeros": F.sum(F.when(x == 0, 1).otherwise(0)).cast("bigint"),
-            "n_negative": F.sum(F.when(x < 0, 1).otherwise(0)).cast("bigint"),
-            "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.stddev_samp(x),
-            "p25": F.percentile_approx(x, 0.25, QUANTILE_ACCURACY),
-            "p50": F.percentile_approx(x, 0.5, QUANTILE_ACCURACY),
-            "p75": F.percentile_approx(x, 0.75, QUANTILE_ACCURACY),
-            "skewness": F.skewness(x), "kurtosis": F.kurtosis(x),
-        }
-        aggs += [e.alias(f"{k}{i}") for k, e in named.items()]
-        structs.append(F.struct(F.lit(c).alias("column_name"), *[F.col(f"{k}{i}").alias(k) for k in named]))
-    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+    x = F.col("_x")
+    return (_long(df, columns).groupBy("_k").agg(
+        F.count(x).alias("n"), F.sum(F.when(x.isNull(), 1).otherwise(0)).cast("bigint").alias("n_missing"),
+        F.sum(F.when(x == 0, 1).otherwise(0)).cast("bigint").alias("n_zeros"),
+        F.sum(F.when(x < 0, 1).otherwise(0)).cast("bigint").alias("n_negative"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.percentile_approx(x, 0.25, QUANTILE_ACCURACY).alias("p25"),
+        F.percentile_approx(x, 0.5, QUANTILE_ACCURACY).alias("p50"),
+        F.percentile_approx(x, 0.75, QUANTILE_ACCURACY).alias("p75"),
+        F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"))
+        .select(_name(columns).alias("column_name"), "n", "n_missing", "n_zeros", "n_negative", "min", "max",
+                "mean", "std", "p25", "p50", "p75", "skewness", "kurtosis"))
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
@@ -104,54 +112,50 @@ def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:
     """Equal-width bins over [min, max] per column: (column_name, bin, lo,
     hi, freq) for non-empty bins; the max falls in the last bin, a constant
-    column in bin 0.  Two scans: min/max, then one pass emitting every
-    row's (column, bin) pairs."""
+    column in bin 0.  Two passes: min/max per column, then (column, bin)
+    counts; the per-column bounds table has one row per column."""
     columns = columns or numeric_columns(df)
-    stats = df.agg(*[F.min(_num(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
-                   *[F.max(_num(c)).alias(f"hi{i}") for i, c in enumerate(columns)])
-    row = scalar_row(stats)
-    structs = []
-    for i, c in enumerate(columns):
-        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
-        width = (hi - lo) / F.lit(float(bins))
-        x = _num(c)
-        b = F.when(width == 0, F.lit(0)).otherwise(
-            F.least(F.floor((x - lo) / width).cast("int"), F.lit(bins - 1)))
-        structs.append(F.struct(F.lit(c).alias("column_name"), F.when(x.isNotNull(), b).alias("bin"),
-                                lo.alias("_lo"), width.alias("_w")))
-    pairs = df.select(F.inline(F.array(*structs))).dropna(subset=["bin"])
-    return (pairs.groupBy("column_name", "bin")
-            .agg(F.count(F.lit(1)).alias("freq"), F.first("_lo").alias("_lo"), F.first("_w").alias("_w"))
-            .select("column_name", "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("lo"),
-                    (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("hi"), "freq"))
+    long = _long(df, columns).filter(F.col("_x").isNotNull())
+    bounds = long.groupBy("_k").agg(F.min("_x").alias("_lo"),
+                                    ((F.max("_x") - F.min("_x")) / F.lit(float(bins))).alias("_w"))
+    x, lo, w = F.col("_x"), F.col("_lo"), F.col("_w")
+    b = F.when(w == 0, F.lit(0)).otherwise(F.least(F.floor((x - lo) / w).cast("int"), F.lit(bins - 1)))
+    return (long.join(F.broadcast(bounds), "_k").withColumn("bin", b)
+            .groupBy("_k", "bin").agg(F.count(F.lit(1)).alias("freq"), F.first("_lo").alias("_lo"),
+                                      F.first("_w").alias("_w"))
+            .select(_name(columns).alias("column_name"), "bin", (lo + F.col("bin") * w).alias("lo"),
+                    (lo + (F.col("bin") + 1) * w).alias("hi"), "freq"))
+
+
+def _pairs_long(df: DataFrame, prefix: str, pairs: list[tuple[int, int]]) -> DataFrame:
+    structs = [F.struct(F.lit(n).alias("_pair"), F.col(f"{prefix}{i}").alias("_a"), F.col(f"{prefix}{j}").alias("_b"))
+               for n, (i, j) in enumerate(pairs)]
+    return df.select(F.inline(F.array(*structs)))
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Every column pair (a before b): Pearson over pairwise-complete rows,
     Spearman (Pearson of average ranks) over rows complete in all columns.
-    Two aggregates (one per row set); the Spearman row is attached as a
-    single reused scalar subquery."""
+    Each is one grouped aggregate over (pair, a, b) rows, one group per pair;
+    the two 1-row-per-pair results meet in a join on the pair id."""
     columns = columns or numeric_columns(df)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    # The numeric projection feeds both aggregates: materialise it once
-    # (reliable checkpoint in the shared folder) instead of recomputing the
-    # upstream plan for each.
-    ensure_checkpoint_dir(df.sparkSession)
-    num = (df.select(*[_num(c).alias(f"c{i}") for i, c in enumerate(columns)])
-           .withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True))
-    complete = num.dropna()
-    # All columns are ranked together in long format: (row, column index, value).
-    long = complete.select("_row", F.inline(F.array(*[
+    # The numeric projection feeds both aggregates: materialise it once in
+    # the shared checkpoint folder instead of recomputing the upstream plan.
+    num = materialise(df.select(*[_num(c).alias(f"c{i}") for i, c in enumerate(columns)])
+                      .withColumn("_row", F.monotonically_increasing_id()), "profile_corr")
+    linear = _pairs_long(num, "c", pairs).groupBy("_pair").agg(pearson("_a", "_b").alias("pearson"))
+    # Ranks of all columns at once, over the rows complete in every column.
+    long = num.dropna().select("_row", F.inline(F.array(*[
         F.struct(F.lit(i).alias("_k"), F.col(f"c{i}").alias("_v")) for i in range(len(columns))])))
     ranks = grouped_average_ranks(long, "_k", "_v", "_r")
     per_row = (long.join(ranks, ["_k", "_v"]).groupBy("_row")
                .agg(*[F.max(F.when(F.col("_k") == i, F.col("_r"))).alias(f"r{i}") for i in range(len(columns))]))
-    spearman = scalar_row(per_row.agg(*[pearson(f"r{i}", f"r{j}").alias(f"s{n}") for n, (i, j) in enumerate(pairs)]))
-    linear = num.agg(*[pearson(f"c{i}", f"c{j}").alias(f"p{n}") for n, (i, j) in enumerate(pairs)])
-    structs = [F.struct(F.lit(columns[i]).alias("column_a"), F.lit(columns[j]).alias("column_b"),
-                        F.col(f"p{n}").alias("pearson"), spearman[f"s{n}"].alias("spearman"))
-               for n, (i, j) in enumerate(pairs)]
-    return linear.select(F.inline(F.array(*structs)))
+    ranked = _pairs_long(per_row, "r", pairs).groupBy("_pair").agg(pearson("_a", "_b").alias("spearman"))
+    names = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b")) for i, j in pairs])
+    return (linear.join(ranked, "_pair", "left")
+            .select(F.element_at(names, F.col("_pair") + 1)["a"].alias("column_a"),
+                    F.element_at(names, F.col("_pair") + 1)["b"].alias("column_b"), "pearson", "spearman"))
 
 
 def missing(df: DataFrame) -> DataFrame:

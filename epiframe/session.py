@@ -54,3 +54,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/epiframe/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df, name: str):
+    """Cut lineage: write ``df`` as Parquet under the shared checkpoint folder
+    and return it read back.  One job (a reliable ``checkpoint`` computes the
+    plan twice unless cached), survives executor loss, and later scans still
+    get column pruning and filter pushdown."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
