@@ -61,10 +61,13 @@ def write_clustered(df: DataFrame, path: str, keys: list[str] | None = None,
                     name: str | None = None, files: int | None = None) -> DataFrame:
     """Clustered layout.  Range-partition on the keys and sort within
     each file, so every file (and row group) covers a narrow key range and a
-    date predicate skips the rest via Parquet min/max statistics."""
+    date predicate skips the rest via Parquet min/max statistics.  Without an
+    explicit ``files`` count AQE sizes the partitions from the data (and a
+    hot key range is split across files because the sort keys continue past
+    the first one)."""
     keys = keys or ["date", "country_region"]
-    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    laid_out = ranged.sortWithinPartitions(*keys)
     return save_table(laid_out, path, name)
 
 

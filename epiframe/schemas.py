@@ -42,8 +42,8 @@ DIMENSION = T.StructType([
 ])
 
 MAPPING_CSV = T.StructType([
-    T.StructField("snowflake_name", T.StringType(), True),
-    T.StructField("csv_name", T.StringType(), True),
+    T.StructField("source_name", T.StringType(), True),
+    T.StructField("target_name", T.StringType(), True),
 ])
 
 ENRICHED = T.StructType([

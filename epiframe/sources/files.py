@@ -49,11 +49,12 @@ def read_population(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """S3: name-mapping CSV -> (src_key, dim_key), both normalised."""
+    """S3: name-mapping CSV -> (src_key, dim_key), both normalised.  The two
+    columns are read by position (fact-table name, dimension name)."""
     return mapping_keys(_csv(spark, path, schemas.MAPPING_CSV))
 
 
-def mapping_keys(raw: DataFrame, src: str = "snowflake_name", dst: str = "csv_name") -> DataFrame:
+def mapping_keys(raw: DataFrame, src: str = "source_name", dst: str = "target_name") -> DataFrame:
     return raw.select(norm(src).alias("src_key"), norm(dst).alias("dim_key"))
 
 

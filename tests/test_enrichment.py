@@ -23,7 +23,7 @@ def test_enrich_hand_table(spark):
         ("alpha", "X", 1_000_000, 100), ("BETA", "X", 0, 0), ("gamma", "Y", None, 10),
         ("Delta ", "Y", 2_000_000, None), ("Target Name", "Z", 500_000, 50)],
         "country string, continent string, population_2020 long, area_km2 long")
-    mapping = mapping_keys(spark.createDataFrame([("mapped ", "target name")], "snowflake_name string, csv_name string"))
+    mapping = mapping_keys(spark.createDataFrame([("mapped ", "target name")], "source_name string, target_name string"))
     out = {r["country_region"]: r for r in enrich(panel, dim, mapping).collect()}
     assert set(out) == {"Alpha", "\tBeta ", "Gamma", "Delta", "Mapped"}
     a = out["Alpha"]
@@ -43,7 +43,7 @@ def test_mapping_fan_out_and_unmatched(spark):
                                 "country string, continent string, population_2020 long, area_km2 long")
     # a duplicated source name in the mapping fans the row out, as a left join does
     mapping = mapping_keys(spark.createDataFrame([("dup", "one"), ("DUP", "two"), ("lost", "nowhere")],
-                                                 "snowflake_name string, csv_name string"))
+                                                 "source_name string, target_name string"))
     assert sorted(r.population_2020 for r in enrich(panel, dim, mapping).collect()) == [10, 20]
     lost = unmatched_countries(panel, dim, mapping).collect()
     assert [(r.country_region, r.country_key) for r in lost] == [("Lost", "nowhere")]
@@ -52,5 +52,5 @@ def test_mapping_fan_out_and_unmatched(spark):
 def test_empty_input(spark):
     empty = _panel(spark, []).limit(0)
     dim = spark.createDataFrame([], "country string, continent string, population_2020 long, area_km2 long")
-    mapping = mapping_keys(spark.createDataFrame([], "snowflake_name string, csv_name string"))
+    mapping = mapping_keys(spark.createDataFrame([], "source_name string, target_name string"))
     assert enrich(empty, dim, mapping).count() == 0

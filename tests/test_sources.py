@@ -29,7 +29,7 @@ def test_population_csv_coerces_and_keys(spark, tmp_dir):
 
 def test_mapping_csv(spark, tmp_dir):
     p = _write(os.path.join(tmp_dir, "map.csv"),
-               'snowflake_name,csv_name\n"Korea, Republic of",South Korea\nCôte d\'Ivoire , Cote d\'Ivoire\n')
+               'source_name,target_name\n"Korea, Republic of",South Korea\nCôte d\'Ivoire , Cote d\'Ivoire\n')
     got = sorted(tuple(r) for r in read_mapping(spark, p).collect())
     assert got == [("côte d'ivoire", "cote d'ivoire"), ("korea, republic of", "south korea")]
 
