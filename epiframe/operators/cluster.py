@@ -31,9 +31,12 @@ K_MIN, K_MAX = 2, 10
 def features(totals: DataFrame, entity: str = "country_region",
              columns: tuple[str, str] = ("total_cases", "total_deaths")) -> DataFrame:
     """P17 + M1: (entity, f0, f1) = standardised ln(1+x), rounded to 9 places;
-    rows with a missing feature are dropped."""
+    rows with a missing feature are dropped.  Writes the entity-level log
+    totals to the shared folder (one job)."""
     logged = log_features(totals, {"f0": columns[0], "f1": columns[1]}).select(entity, "f0", "f1").dropna()
-    return standardise(logged, ["f0", "f1"], PLACES)
+    # Standardising reads its input twice (statistics, then rows): store the
+    # entity-level values once rather than recomputing them from the facts.
+    return standardise(materialise(logged, "kmeans_logged"), ["f0", "f1"], PLACES)
 
 
 def seed_ranks(n: int, k: int) -> list[int]:

@@ -12,9 +12,8 @@ country.  Here every entity is fitted in one job with native aggregates:
 
 Every window is partitioned by the entity (weekday windows by entity and
 weekday), so history rows are shuffled once; a task holds one entity's
-series, bounded by its number of dates.  Future rows come from one
-per-entity aggregate (whose weekday map has at most 7 entries) exploded
-over the horizon.
+series, bounded by its number of dates.  Future rows are exploded from each
+entity's last fitted row in the same pass (no union, no second scan).
 """
 
 from __future__ import annotations
@@ -61,32 +60,44 @@ def _predict(df: DataFrame, seasonal) -> DataFrame:
              .withColumn("yhat_upper", F.col("yhat") + spread)
 
 
+def _extend(df: DataFrame, horizon: int, entity: str) -> DataFrame:
+    """Every row once (step 0); each entity's last row also ``horizon`` more
+    times (steps 1..horizon) — history and future rows in one pass, no union
+    and no second scan of the input."""
+    steps = F.when(F.col("ds") == F.col("_last"), F.sequence(F.lit(0), F.lit(horizon))).otherwise(F.array(F.lit(0)))
+    return (df.withColumn("_last", F.max("ds").over(Window.partitionBy(entity)))
+            .withColumn("_step", F.explode(steps))
+            .withColumn("ds", F.date_add("ds", F.col("_step")))
+            .withColumn("is_future", F.col("_step") > 0))
+
+
 def future_dates(hist: DataFrame, horizon: int = HORIZON_DEFAULT, entity: str = "country_region") -> DataFrame:
     """M8: history dates plus ``horizon`` days after each entity's last date."""
     _check_horizon(horizon)
-    last = hist.groupBy(entity).agg(F.max("ds").alias("_last"))
-    fut = last.select(entity, F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon)))
-                      .alias("ds"), F.lit(True).alias("is_future"))
-    return hist.select(entity, "ds", F.lit(False).alias("is_future")).unionByName(fut)
+    return _extend(hist.select(entity, "ds"), horizon, entity).select(entity, "ds", "is_future")
 
 
-def forecast(hist: DataFrame, horizon: int = HORIZON_DEFAULT, entity: str = "country_region") -> DataFrame:
+def forecast(hist: DataFrame, horizon: int = HORIZON_DEFAULT, entity: str = "country_region",
+             with_actuals: bool = False) -> DataFrame:
     """M7 + M9: (entity, ds, yhat, yhat_lower, yhat_upper, is_future) for every
     history date and ``horizon`` future days of every entity.  No clipping at
-    zero; an entity with a single date has no slope, so its yhat is NULL."""
+    zero; an entity with a single date has no slope, so its yhat is NULL.
+    The weekday effects travel as a per-entity map (at most 7 entries) so
+    future rows are generated from the fitted rows in the same pass.
+    ``with_actuals`` keeps the observed ``y`` beside each history row (NULL
+    for the future) — J5 without joining the history back."""
     _check_horizon(horizon)
-    fitted = _fit(hist, entity)
-    past = _predict(fitted, F.col("_s")).select(entity, "ds", "yhat", "yhat_lower", "yhat_upper",
-                                                 F.lit(False).alias("is_future"))
-    params = fitted.groupBy(entity).agg(
-        *[F.first(c).alias(c) for c in ("_a", "_b", "_n", "_tbar", "_sxx", "_sigma", "_t0")],
-        F.max("ds").alias("_last"),
-        F.map_from_entries(F.collect_set(F.struct("_dow", "_s"))).alias("_seas"))
-    fut = (params.withColumn("ds", F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon))))
-           .withColumn("_t", F.datediff("ds", "_t0")).withColumn("_dow", F.dayofweek("ds") - 1))
-    future = _predict(fut, F.try_element_at("_seas", F.col("_dow"))).select(
-        entity, "ds", "yhat", "yhat_lower", "yhat_upper", F.lit(True).alias("is_future"))
-    return past.unionByName(future)
+    fitted = _fit(hist, entity).withColumn(
+        "_seas", F.map_from_entries(F.collect_set(F.struct("_dow", "_s")).over(Window.partitionBy(entity))))
+    grown = (_extend(fitted, horizon, entity)
+             .withColumn("_t", F.col("_t") + F.col("_step"))
+             .withColumn("_dow", F.dayofweek("ds") - 1))
+    seasonal = F.when(F.col("_step") == 0, F.col("_s")).otherwise(F.try_element_at("_seas", F.col("_dow")))
+    out = _predict(grown, seasonal)
+    cols = [entity, "ds", "yhat", "yhat_lower", "yhat_upper", "is_future"]
+    if with_actuals:
+        return out.select(*cols, F.when(~F.col("is_future"), F.col("y")).alias("y"))
+    return out.select(*cols)
 
 
 def _check_horizon(h: int) -> None:

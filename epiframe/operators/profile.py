@@ -91,22 +91,19 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """E5: per column, the k most frequent non-null values (ties by value),
-    with their rank and the column's distinct count.  Each top-k is a
-    ``TakeOrderedAndProject`` (k rows per task), never a full sort."""
-    parts = []
-    for c in columns:
-        counts = (df.select(F.col(f"`{c}`").cast("string").alias("value")).dropna()
-                  .groupBy("value").agg(F.count(F.lit(1)).alias("freq")))
-        distinct = counts.select(F.count(F.lit(1))).scalar()
-        top = counts.orderBy(F.desc("freq"), F.asc("value")).limit(k)
-        # the window runs over the k rows left after the limit
-        ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("freq"), F.asc("value"))))
-        parts.append(ranked.select(F.lit(c).alias("column_name"), "value", "freq", "rank",
-                                   distinct.alias("n_distinct")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    with their rank and the column's distinct count.  One pass: values are
+    unpivoted to (column, value) and counted; ``row_number() <= k`` per
+    column is planned with a partial ``WindowGroupLimit`` before the
+    shuffle, so each task ships at most k rows per column."""
+    structs = [F.struct(F.lit(i).alias("_k"), F.col(f"`{c}`").cast("string").alias("value"))
+               for i, c in enumerate(columns)]
+    counts = (df.select(F.inline(F.array(*structs))).filter(F.col("value").isNotNull())
+              .groupBy("_k", "value").agg(F.count(F.lit(1)).alias("freq")))
+    order = Window.partitionBy("_k").orderBy(F.desc("freq"), F.asc("value"))
+    top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    distinct = counts.groupBy("_k").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return (top.join(F.broadcast(distinct), "_k")
+            .select(_name(columns).alias("column_name"), "value", "freq", "rank", "n_distinct"))
 
 
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:

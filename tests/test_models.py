@@ -98,3 +98,15 @@ def test_history_coercion(spark):
 def test_ml_path_runs(spark):
     out = km.kmeans_ml(km.features(_totals(spark)), 3)
     assert out.select(F.countDistinct("cluster")).first()[0] <= 3 and out.count() == 60
+
+
+def test_actuals_overlay_join_and_carried(spark):
+    from epiframe.operators.joins import overlay_actuals
+    base = dt.date(2021, 3, 1)
+    hist = spark.createDataFrame([("A", base + dt.timedelta(days=i), float(i)) for i in range(10)],
+                                 "country_region string, ds date, y double")
+    joined = overlay_actuals(fc.forecast(hist, 5), hist, ["country_region", "ds"])
+    carried = fc.forecast(hist, 5, with_actuals=True)
+    key = lambda r: (r.ds, r.y, r.is_future)
+    assert sorted(map(key, joined.collect())) == sorted(map(key, carried.collect()))
+    assert carried.filter("is_future AND y IS NULL").count() == 5
