@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from epiframe.operators.guards import require_columns
 from epiframe.operators.ranking import global_row_number
 from epiframe.operators.regression import log_features, standardise
 from epiframe.session import materialise
@@ -33,6 +34,7 @@ def features(totals: DataFrame, entity: str = "country_region",
     """P17 + M1: (entity, f0, f1) = standardised ln(1+x), rounded to 9 places;
     rows with a missing feature are dropped.  Writes the entity-level log
     totals to the shared folder (one job)."""
+    require_columns(totals, entity, *columns)
     logged = log_features(totals, {"f0": columns[0], "f1": columns[1]}).select(entity, "f0", "f1").dropna()
     # Standardising reads its input twice (statistics, then rows): store the
     # entity-level values once rather than recomputing them from the facts.

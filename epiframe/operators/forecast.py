@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from epiframe.operators.filters import for_entity
+from epiframe.operators.guards import require_columns
 
 Z80 = 1.2815515594600038  # two-sided 80 % normal quantile
 HORIZON_MIN, HORIZON_MAX, HORIZON_DEFAULT = 7, 60, 30
@@ -30,6 +31,7 @@ def history(df: DataFrame, country: str | None = None, entity: str = "country_re
             date: str = "date", value: str = "cases") -> DataFrame:
     """M6 + P4-P6: (entity, ds, y); dates coerced (bad -> row dropped), values
     coerced to double with NULL -> 0.  ``country`` picks one entity (P9)."""
+    require_columns(df, entity, date, value)
     rows = for_entity(df, country, entity) if country is not None else df
     out = rows.select(F.col(entity).alias(entity), F.col(date).try_cast("date").alias("ds"),
                       F.coalesce(F.col(value).try_cast("double"), F.lit(0.0)).alias("y"))
@@ -87,6 +89,7 @@ def forecast(hist: DataFrame, horizon: int = HORIZON_DEFAULT, entity: str = "cou
     ``with_actuals`` keeps the observed ``y`` beside each history row (NULL
     for the future) — J5 without joining the history back."""
     _check_horizon(horizon)
+    require_columns(hist, entity, "ds", "y")
     fitted = _fit(hist, entity).withColumn(
         "_seas", F.map_from_entries(F.collect_set(F.struct("_dow", "_s")).over(Window.partitionBy(entity))))
     grown = (_extend(fitted, horizon, entity)

@@ -76,7 +76,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     aggregate over the unpivoted values, one group per column."""
     columns = columns or numeric_columns(df)
     x = F.col("_x")
-    return (_long(df, columns).groupBy("_k").agg(
+    stats = (_long(df, columns).groupBy("_k").agg(
         F.count(x).alias("n"), F.sum(F.when(x.isNull(), 1).otherwise(0)).cast("bigint").alias("n_missing"),
         F.sum(F.when(x == 0, 1).otherwise(0)).cast("bigint").alias("n_zeros"),
         F.sum(F.when(x < 0, 1).otherwise(0)).cast("bigint").alias("n_negative"),
@@ -84,9 +84,14 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
         F.percentile_approx(x, 0.25, QUANTILE_ACCURACY).alias("p25"),
         F.percentile_approx(x, 0.5, QUANTILE_ACCURACY).alias("p50"),
         F.percentile_approx(x, 0.75, QUANTILE_ACCURACY).alias("p75"),
-        F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"))
-        .select(_name(columns).alias("column_name"), "n", "n_missing", "n_zeros", "n_negative", "min", "max",
-                "mean", "std", "p25", "p50", "p75", "skewness", "kurtosis"))
+        F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis")))
+    # every column gets a row, also on an empty input (the key list is
+    # bounded by the number of columns)
+    keys = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("_k"))
+    counts = {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in ("n", "n_missing", "n_zeros", "n_negative")}
+    return (F.broadcast(keys).join(stats, "_k", "left")
+            .select(_name(columns).alias("column_name"), *counts.values(), "min", "max",
+                    "mean", "std", "p25", "p50", "p75", "skewness", "kurtosis"))
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:

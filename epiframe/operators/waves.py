@@ -26,6 +26,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from epiframe.operators.guards import require_columns
+
 UP, PLATEAU, DOWN = "UP", "PLATEAU", "DOWN"
 _NONE = "NONE"
 
@@ -41,6 +43,7 @@ def direction_class(df: DataFrame, entity: str = "country_region", order: str =
                     value: str = "cases_since_prev_day", out: str = "direction") -> DataFrame:
     """UP / PLATEAU / DOWN versus the previous row of the entity; NULL
     when this or the previous value is NULL (and on the first row)."""
+    require_columns(df, entity, order, value)
     w = Window.partitionBy(entity).orderBy(order)
     return df.withColumn(out, _class(F.col(value), F.lag(value).over(w)))
 
@@ -49,6 +52,7 @@ def waves(df: DataFrame, entity: str = "country_region", order: str = "date",
           value: str = "cases_since_prev_day") -> DataFrame:
     """W2 + W3: one row per wave with (entity, wave_start_date, wave_end_date,
     total_cases_in_wave, peak_cases_in_wave)."""
+    require_columns(df, entity, order, value)
     w = Window.partitionBy(entity).orderBy(order)
     rows = df.select(entity, order, value)
     cls = F.coalesce(_class(F.col(value), F.lag(value).over(w)), F.lit(_NONE))
