@@ -106,3 +106,80 @@ def forecast(hist: DataFrame, horizon: int = HORIZON_DEFAULT, entity: str = "cou
 def _check_horizon(h: int) -> None:
     if not 1 <= h <= 3660:
         raise ValueError(f"horizon must be a positive number of days, got {h}")
+
+
+# --- level 2: changepoint trend + Fourier seasonality, per entity -------------------
+
+FORECAST_SCHEMA = ("{entity} string, ds date, yhat double, yhat_lower double, yhat_upper double, "
+                   "is_future boolean")
+
+
+def _changepoint_fit(pdf, horizon: int, n_changepoints: int, changepoint_range: float,
+                     changepoint_penalty: float, seasonality_penalty: float, entity: str):
+    """Fit one entity's series (pandas, bounded by its number of dates)."""
+    import numpy as np
+    import pandas as pd
+
+    pdf = pdf.sort_values("ds")
+    name = pdf[entity].iloc[0]
+    ds = pd.to_datetime(pdf["ds"]).to_numpy()
+    y = pdf["y"].to_numpy(dtype=float)
+    future = pd.date_range(ds[-1] + np.timedelta64(1, "D"), periods=horizon, freq="D").to_numpy()
+    all_ds = np.concatenate([ds, future])
+    n = len(y)
+    out = pd.DataFrame({entity: name, "ds": pd.to_datetime(all_ds).date,
+                        "is_future": np.r_[np.zeros(n, bool), np.ones(horizon, bool)]})
+    if n < 2:
+        out["yhat"] = out["yhat_lower"] = out["yhat_upper"] = np.nan
+        return out[[entity, "ds", "yhat", "yhat_lower", "yhat_upper", "is_future"]]
+    days = (all_ds - ds[0]) / np.timedelta64(1, "D")
+    span = max(days[n - 1], 1.0)
+    t = days / span
+    # changepoints at evenly spaced history rows inside the first part of the series
+    k = min(n_changepoints, max(n - 2, 0))
+    cps = t[np.linspace(0, int((n - 1) * changepoint_range), k + 2).astype(int)[1:-1]] if k else np.array([])
+    cols = [np.ones_like(t), t] + [np.maximum(t - c, 0.0) for c in cps]
+    penalties = [0.0, 0.0] + [changepoint_penalty] * len(cps)
+    for period, order in ((7.0, 3), (365.25, 10)):
+        if days[n - 1] >= period:           # only seasonalities the history covers
+            for j in range(1, order + 1):
+                arg = 2.0 * np.pi * j * days / period
+                cols += [np.sin(arg), np.cos(arg)]
+                penalties += [seasonality_penalty] * 2
+    X = np.column_stack(cols)
+    scale = max(np.abs(y).max(), 1.0)
+    A = np.vstack([X[:n], np.diag(np.sqrt(penalties))])
+    b = np.r_[y / scale, np.zeros(len(penalties))]
+    beta = np.linalg.lstsq(A, b, rcond=None)[0] * scale
+    fit = X @ beta
+    sigma = float(np.std(y - fit[:n]))
+    spread = Z80 * sigma
+    out["yhat"] = fit
+    out["yhat_lower"] = fit - spread
+    out["yhat_upper"] = fit + spread
+    return out[[entity, "ds", "yhat", "yhat_lower", "yhat_upper", "is_future"]]
+
+
+def forecast_changepoints(hist: DataFrame, horizon: int = HORIZON_DEFAULT, entity: str = "country_region",
+                          n_changepoints: int = 25, changepoint_range: float = 0.8,
+                          changepoint_penalty: float = 0.01, seasonality_penalty: float = 0.1) -> DataFrame:
+    """M7 (level 2): per entity, least squares with a piecewise-linear trend
+    (ridge-penalised slope changes at up to ``n_changepoints`` points in the
+    first ``changepoint_range`` of the history) plus weekly and yearly
+    Fourier terms (only when the history spans the period), and an 80 %
+    band from the residual spread.  Rows: every history date and
+    ``horizon`` future days, as ``forecast``.
+
+    Runs as ``groupBy(entity).applyInPandas``: one shuffle by entity, each
+    group is one entity's series (bounded by its number of dates), fitted
+    with numpy inside the task."""
+    _check_horizon(horizon)
+    require_columns(hist, entity, "ds", "y")
+    schema = FORECAST_SCHEMA.format(entity=entity)
+    rows = hist.select(F.col(entity).cast("string").alias(entity), "ds", F.col("y").cast("double"))
+
+    def fit(pdf):
+        return _changepoint_fit(pdf, horizon, n_changepoints, changepoint_range,
+                                changepoint_penalty, seasonality_penalty, entity)
+
+    return rows.groupBy(entity).applyInPandas(fit, schema)

@@ -478,3 +478,8 @@ def profile_corr(spark, sf):
 @query
 def profile_missing(spark, sf):
     return rounded(pf.missing(fx.panel(spark, sf)))
+
+
+@query
+def forecast_changepoints(spark, sf):
+    return rounded(fc.forecast_changepoints(fc.history(fx.panel(spark, sf)), HORIZON))

@@ -110,3 +110,21 @@ def test_actuals_overlay_join_and_carried(spark):
     key = lambda r: (r.ds, r.y, r.is_future)
     assert sorted(map(key, joined.collect())) == sorted(map(key, carried.collect()))
     assert carried.filter("is_future AND y IS NULL").count() == 5
+
+
+def test_changepoint_forecast_follows_a_kink(spark):
+    base = dt.date(2021, 1, 1)
+    # slope 2 for 60 days, then slope -1; plus a weekly pattern
+    ys = [(2 * i if i < 60 else 120 - (i - 60)) + [0, 3, 1, 0, -2, -1, -1][i % 7] for i in range(120)]
+    rows = [("K", base + dt.timedelta(days=i), float(v)) for i, v in enumerate(ys)] + [("S", base, 5.0)]
+    hist = spark.createDataFrame(rows, "country_region string, ds date, y double")
+    out = fc.forecast_changepoints(hist, 14).filter("country_region = 'K'").orderBy("ds").collect()
+    assert len(out) == 134 and sum(r.is_future for r in out) == 14
+    past = [r.yhat for r in out if not r.is_future]
+    rmse = (sum((a - b) ** 2 for a, b in zip(past, ys)) / len(ys)) ** 0.5
+    assert rmse < 3.0                                                # close fit on both sides of the kink
+    fut = [r.yhat for r in out if r.is_future]
+    assert fut[-1] < fut[0]                                          # keeps the latest (downward) slope
+    assert all(r.yhat_lower <= r.yhat <= r.yhat_upper for r in out)
+    single = fc.forecast_changepoints(hist, 3).filter("country_region = 'S'").collect()
+    assert len(single) == 4 and all(r.yhat is None for r in single)
