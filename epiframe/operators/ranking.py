@@ -44,31 +44,6 @@ def global_row_number(df: DataFrame, order: list, name: str = "row_index",
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 
-def rank_table(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
-    """(value, average rank) for each distinct non-null value of ``column``:
-    tied values share the mean of their 1-based positions.  Computed on the
-    distinct values (count per value, prefix sum of the counts)."""
-    name = name or f"{column}_rank"
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
-    before = prefix_sum_before(counts, [column], "_c", "_b")
-    return before.select(column, (F.col("_b") + (F.col("_c") + F.lit(1)) / F.lit(2.0)).alias(name))
-
-
-def average_rank(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
-    """``df`` with the average rank of ``column`` joined on (NULL -> NULL)."""
-    return df.join(rank_table(df, column, name), column, "left")
-
-
-def with_average_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Average ranks of several columns ``{column: rank_name}``.  Every rank
-    table is built from ``df`` itself (not from the previous join), so the
-    plan grows linearly with the number of columns."""
-    out = df
-    for column, name in columns.items():
-        out = out.join(rank_table(df, column, name), column, "left")
-    return out
-
-
 def grouped_average_ranks(long: DataFrame, group: str, value: str, name: str = "rank") -> DataFrame:
     """(group, value, average rank of value within its group) for long-format
     input — e.g. many columns unpivoted to (column, value) — in one pass:

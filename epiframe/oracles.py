@@ -399,3 +399,16 @@ ORACLES.update({
     "profile_corr": f"WITH {X1}, {_corr_sql()}",
     "profile_missing": f"WITH {P} {_MISSING}",
 })
+
+
+# Catalog metadata and JSON export: the expected rows follow from the tables
+# the query writes (three copies of the panel) and from the panel's columns.
+ORACLES.update({
+    "chart_history_json": f"""WITH {P}, s AS ({_HIST_ONE})
+        SELECT to_json(struct_pack(ds := ds, y := y)) AS record FROM s""",
+    "list_tables": """SELECT * FROM (VALUES ('ecdc_global', FALSE), ('ecdc_global_copy', FALSE),
+        ('ecdc_global_active', FALSE)) t(tableName, isTemporary)""",
+    "describe_table": """SELECT * FROM (VALUES ('date', 'date', CAST(NULL AS VARCHAR)),
+        ('country_region', 'string', NULL), ('cases_since_prev_day', 'bigint', NULL),
+        ('deaths', 'bigint', NULL), ('population', 'bigint', NULL)) t(col_name, data_type, comment)""",
+})

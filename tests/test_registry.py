@@ -13,7 +13,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tests.conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "orders", "events", "conversations"]
-ROWS_ONLY = {"list_tables", "describe_table", "cluster_ml", "chart_history_json", "forecast_changepoints"}
+ROWS_ONLY = {"cluster_ml", "forecast_changepoints"}
 
 
 def _canon(v):

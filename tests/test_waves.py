@@ -54,7 +54,7 @@ def test_hand_patterns(spark, values):
 def test_random_against_regex(spark):
     rnd = random.Random(7)
     seqs = []
-    for _ in range(60):
+    for _ in range(400):
         n = rnd.randint(0, 25)
         seqs.append([rnd.choice([None, 0, 1, 2, 3, 3, 4]) if rnd.random() < 0.9 else None for _ in range(n)])
     base = dt.date(2020, 1, 1)
