@@ -7,7 +7,11 @@ semantics directly in SQL.
 
 from __future__ import annotations
 
-from epiframe.queries import ONE_COUNTRY, SELECTION, WINDOW_END, WINDOW_START
+from epiframe.operators.forecast import Z80
+from epiframe.queries import (
+    COMMENT_KEY, FANOUT, FETCH_KEYS, HORIZON, K, ONE_COUNTRY, ROUNDS, SELECTION, TOP_VALUE_COLUMNS,
+    WINDOW_END, WINDOW_START,
+)
 
 P = """
 p_daily AS (
@@ -158,7 +162,6 @@ ORACLES.update({
     "waves_user": f"WITH {U}, ux AS (SELECT country_region, date, {_NEW} AS x FROM u), {_waves_sql('ux')}",
 })
 
-from epiframe.queries import COMMENT_KEY, FANOUT, FETCH_KEYS  # noqa: E402
 
 _PRUNED = f"SELECT date, country_region, {_NEW}, deaths, population FROM p"
 _STATS_ACTIVE = f"""SELECT country_region, round(AVG({_NEW}), 6) AS avg_new_cases,
@@ -193,8 +196,6 @@ ORACLES.update({
     "stream_comments": f"WITH {C} {_CM}",
 })
 
-from epiframe.queries import K, ROUNDS  # noqa: E402
-
 
 def _features_sql(src: str) -> str:
     """``feat``(e, f0, f1) from ``src``(country_region, total_cases, total_deaths)."""
@@ -276,9 +277,6 @@ ORACLES.update({
         FROM x1 ORDER BY cfr_pct DESC NULLS LAST, country_region LIMIT 20""",
 })
 
-from epiframe.queries import HORIZON  # noqa: E402
-from epiframe.operators.forecast import Z80  # noqa: E402
-
 
 def _forecast_sql(where: str = "") -> str:
     return f"""
@@ -320,7 +318,6 @@ ORACLES.update({
         SELECT pred.ds, {_PRED_COLS}, h.y FROM pred LEFT JOIN h ON h.e = pred.e AND h.ds = pred.ds""",
 })
 
-from epiframe.queries import TOP_VALUE_COLUMNS  # noqa: E402
 
 # Spark type names of the enriched table's columns, in order.
 X1_TYPES = [("country_region", "string"), ("total_cases", "bigint"), ("total_deaths", "bigint"),

@@ -7,15 +7,28 @@ Doubles are rounded to 6 places here, never inside operators.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from epiframe import fixtures as fx
+from epiframe import schemas
 from epiframe.operators import aggregates as agg
+from epiframe.operators import cluster as km
 from epiframe.operators import filters as flt
+from epiframe.operators import forecast as fc
+from epiframe.operators import profile as pf
+from epiframe.operators import regression as rg
+from epiframe.operators import waves as wv
+from epiframe.plans import charts
+from epiframe.plans import comments as cm
 from epiframe.plans import enrichment
-from epiframe.session import materialise
+from epiframe.plans import warehouse as wh
+from epiframe.session import materialise, work_dir
+from epiframe.sources.records import to_records
+from epiframe.streaming.comments import ingest
+from epiframe.streaming.upkeep import run_complete_aggregate
 
 # Parameters of the registered queries (fixed inputs of the checks).
 ONE_COUNTRY = "  Nation_7 "
@@ -161,8 +174,6 @@ def finite_rows(spark, sf):
 
 # --- W1-W3 ------------------------------------------------------------------------
 
-from epiframe.operators import waves as wv  # noqa: E402
-
 
 @query
 def direction_class(spark, sf):
@@ -182,13 +193,6 @@ def waves_user(spark, sf):
 
 # --- S10-S19, T1: tables, layout, materialised aggregates, streaming upkeep ---------
 
-import uuid as _uuid  # noqa: E402
-
-from epiframe import schemas  # noqa: E402
-from epiframe.plans import warehouse as wh  # noqa: E402
-from epiframe.session import work_dir  # noqa: E402
-from epiframe.streaming.upkeep import run_complete_aggregate  # noqa: E402
-
 
 def _pruned(spark, sf, root):
     return wh.pruned_copy(fx.panel(spark, sf), f"{root}/pruned")
@@ -265,7 +269,7 @@ def stream_new_stats(spark, sf):
 
 def _catalog(spark, sf):
     root = work_dir(spark, "catalog")
-    db = wh.create_database(spark, f"epiframe_{_uuid.uuid4().hex[:10]}", f"{root}/db")
+    db = wh.create_database(spark, f"epiframe_{uuid.uuid4().hex[:10]}", f"{root}/db")
     panel = fx.panel(spark, sf)
     wh.table_copy(panel, f"{root}/ecdc_global", f"{db}.ecdc_global")
     pruned = wh.pruned_copy(panel, f"{root}/ecdc_global_copy", f"{db}.ecdc_global_copy")
@@ -285,8 +289,6 @@ def describe_table(spark, sf):
 
 # --- S6-S9, T2: comments --------------------------------------------------------------
 
-from epiframe.plans import comments as cm  # noqa: E402
-from epiframe.streaming.comments import ingest  # noqa: E402
 
 COMMENT_KEY = " NATION_3 "
 FANOUT = ["Nation_1", "Nation_2"]
@@ -328,9 +330,6 @@ def stream_comments(spark, sf):
 
 # --- M1-M5, F1-F3, F5 -------------------------------------------------------------------
 
-from epiframe.operators import cluster as km  # noqa: E402
-from epiframe.operators import regression as rg  # noqa: E402
-from epiframe.plans import charts  # noqa: E402
 
 K = 3
 ROUNDS = 10
@@ -396,8 +395,6 @@ def chart_cfr_top20(spark, sf):
 
 # --- M6-M9, J5, F4, S20, A16 -------------------------------------------------------------
 
-from epiframe.operators import forecast as fc  # noqa: E402
-from epiframe.sources.records import to_records  # noqa: E402
 
 HORIZON = 30
 
@@ -440,7 +437,6 @@ def chart_forecast(spark, sf):
 
 # --- E1-E8 ----------------------------------------------------------------------------------
 
-from epiframe.operators import profile as pf  # noqa: E402
 
 TOP_VALUE_COLUMNS = ["country_region", "date", "deaths"]
 
