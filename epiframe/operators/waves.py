@@ -29,7 +29,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from epiframe.operators.guards import require_columns
 
 UP, PLATEAU, DOWN = "UP", "PLATEAU", "DOWN"
-_NONE = "NONE"
+# Inside ``waves`` the classes are small integers (hash-aggregatable, cheap
+# to compare): 0 = no class, 1 = up, 2 = plateau, 3 = down.
+_N, _U, _P, _D = 0, 1, 2, 3
 
 
 def _class(value: Column, prev: Column) -> Column:
@@ -48,6 +50,11 @@ def direction_class(df: DataFrame, entity: str = "country_region", order: str =
     return df.withColumn(out, _class(F.col(value), F.lag(value).over(w)))
 
 
+def _code(value: Column, prev: Column) -> Column:
+    return (F.when(value.isNull() | prev.isNull(), F.lit(_N))
+            .when(value > prev, F.lit(_U)).when(value == prev, F.lit(_P)).otherwise(F.lit(_D)))
+
+
 def waves(df: DataFrame, entity: str = "country_region", order: str = "date",
           value: str = "cases_since_prev_day") -> DataFrame:
     """W2 + W3: one row per wave with (entity, wave_start_date, wave_end_date,
@@ -55,8 +62,7 @@ def waves(df: DataFrame, entity: str = "country_region", order: str = "date",
     require_columns(df, entity, order, value)
     w = Window.partitionBy(entity).orderBy(order)
     rows = df.select(entity, order, value)
-    cls = F.coalesce(_class(F.col(value), F.lag(value).over(w)), F.lit(_NONE))
-    marked = rows.withColumn("_cls", cls)
+    marked = rows.withColumn("_cls", _code(F.col(value), F.lag(value).over(w)))
     changed = F.when(F.lag("_cls").over(w).eqNullSafe(F.col("_cls")), 0).otherwise(1)
     runs_of_rows = marked.withColumn(
         "_run", F.sum(changed).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -67,9 +73,9 @@ def waves(df: DataFrame, entity: str = "country_region", order: str = "date",
     lagged = runs.select(
         "*",
         *[F.lag(c, i).over(wr).alias(f"{c}{i}") for c in ("_cls", "_first", "_sum", "_max") for i in (1, 2)])
-    two = F.col("_cls1") == UP
-    three = (F.col("_cls1") == PLATEAU) & (F.col("_cls2") == UP)
-    return (lagged.filter((F.col("_cls") == DOWN) & (two | three))
+    two = F.col("_cls1") == _U
+    three = (F.col("_cls1") == _P) & (F.col("_cls2") == _U)
+    return (lagged.filter((F.col("_cls") == _D) & (two | three))
             .select(
                 F.col(entity),
                 F.when(two, F.col("_first1")).otherwise(F.col("_first2")).alias("wave_start_date"),
