@@ -23,6 +23,29 @@ SCALE_CONF = {
 }
 
 
+MB = 1024 * 1024
+
+
+def scale_settings(input_bytes: int, target_partition_bytes: int = 256 * MB,
+                   min_partitions: int = 8) -> dict[str, str]:
+    """Shuffle and scan sizing for an input of ``input_bytes``.
+
+    AQE can coalesce shuffle partitions but never split them, so the
+    initial count must come from the data: one partition per
+    ``target_partition_bytes`` of input (for 100 TB at 256 MB that is
+    about 400k), which AQE then merges toward the advisory size.  Scan
+    splits use the same target, so a task's input and its shuffle output
+    both fit comfortably in executor memory and spill only in rare cases."""
+    n = max(min_partitions, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "epiframe", extra: dict | None = None) -> SparkSession:
     builder = (SparkSession.builder.master(master).appName(app_name)

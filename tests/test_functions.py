@@ -27,3 +27,11 @@ def test_finite_and_label(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (-float("inf"),), (1.005,), (None,)], "x double")
     assert [r[0] for r in df.select(finite("x")).collect()] == [None, None, None, 1.005, None]
     assert spark.range(1).select(pct_label(F.lit(12.3456))).first()[0] == "12.35%"
+
+
+def test_scale_settings():
+    from epiframe.session import MB, scale_settings
+    big = scale_settings(100 * 1024 ** 4)          # 100 TB
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * MB)
+    assert big["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == str(256 * MB)
+    assert scale_settings(1)["spark.sql.shuffle.partitions"] == "8"
