@@ -15,14 +15,21 @@ def for_entity(df: DataFrame, value: str, entity: str = "country_region") -> Dat
     return df.filter(key_equals(entity, value))
 
 
+IN_LIST_MAX = 1000
+
+
 def select_entities(df: DataFrame, selection: list[str] | None,
                     entity: str = "country_region") -> DataFrame:
     """P10: keep rows whose entity is in the selection; empty selection = all.
-    The list is a literal IN-set (pushed to the scan); it is the user's pick,
-    so it stays small."""
+    A short list is a literal IN-set (pushed to the Parquet scan); a long one
+    becomes a left-semi join, which the planner broadcasts by its size."""
     if not selection:
         return df
-    return df.filter(F.col(entity).isin(list(selection)))
+    picked = list(dict.fromkeys(selection))
+    if len(picked) <= IN_LIST_MAX:
+        return df.filter(F.col(entity).isin(picked))
+    keys = df.sparkSession.createDataFrame([(k,) for k in picked], f"`{entity}` string")
+    return df.join(keys, entity, "left_semi")
 
 
 def active_rows(df: DataFrame, value: str = "cases_since_prev_day") -> DataFrame:
@@ -30,11 +37,19 @@ def active_rows(df: DataFrame, value: str = "cases_since_prev_day") -> DataFrame
     return df.filter(F.col(value).isNotNull() & (F.col(value) > 0))
 
 
+MONTH = "month"
+
+
 def in_date_range(df: DataFrame, start: str, end: str, date: str = "date") -> DataFrame:
-    """Closed range start <= date <= end with literal dates."""
-    lo = F.lit(_dt.date.fromisoformat(start))
-    hi = F.lit(_dt.date.fromisoformat(end))
-    return df.filter(F.col(date).between(lo, hi))
+    """Closed range start <= date <= end with literal dates.  On a
+    month-partitioned layout (a ``month`` column, see
+    ``warehouse.write_clustered``) the equivalent month predicate is added so
+    whole directories are pruned."""
+    lo_d, hi_d = _dt.date.fromisoformat(start), _dt.date.fromisoformat(end)
+    cond = F.col(date).between(F.lit(lo_d), F.lit(hi_d))
+    if MONTH in df.columns:
+        cond = cond & F.col(MONTH).between(F.lit(lo_d.replace(day=1)), F.lit(hi_d.replace(day=1)))
+    return df.filter(cond)
 
 
 def finite_rows(df: DataFrame, columns: list[str]) -> DataFrame:

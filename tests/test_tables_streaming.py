@@ -37,12 +37,25 @@ def test_database_and_copies(spark, tmp_dir):
 
 
 def test_clustered_layout_prunes(spark, tmp_dir):
+    from epiframe.operators.filters import in_date_range
     panel = fx.panel(spark, SF_SMALL)
     laid = wh.write_clustered(panel, os.path.join(tmp_dir, "clustered"), files=4)
-    q = laid.filter(F.col("date").between(F.lit(dt.date(1996, 1, 1)), F.lit(dt.date(1996, 6, 30))))
+    q = in_date_range(laid, "1996-01-01", "1996-06-30")
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(date), GreaterThanOrEqual(date,1996-01-01)" in plan
+    assert "PartitionFilters: [isnotnull(month" in plan
     assert q.count() == panel.filter("date BETWEEN '1996-01-01' AND '1996-06-30'").count()
+    flat = wh.write_clustered(panel, os.path.join(tmp_dir, "flat"), month_of=None)
+    assert "month" not in flat.columns
+
+
+def test_long_selection_is_a_semi_join(spark):
+    from epiframe.operators.filters import select_entities
+    panel = fx.panel(spark, SF_SMALL)
+    many = [f"NATION_{i}" for i in range(3)] + [f"x{i}" for i in range(2000)]
+    out = select_entities(panel, many)
+    assert "LeftSemi" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == panel.filter(F.col("country_region").isin("NATION_0", "NATION_1", "NATION_2")).count()
 
 
 def test_stream_equals_batch(spark, tmp_dir):
