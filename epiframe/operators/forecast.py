@@ -24,7 +24,7 @@ from epiframe.operators.filters import for_entity
 from epiframe.operators.guards import require_columns
 
 Z80 = 1.2815515594600038  # two-sided 80 % normal quantile
-HORIZON_MIN, HORIZON_MAX, HORIZON_DEFAULT = 7, 60, 30
+HORIZON_DEFAULT = 30
 
 
 def history(df: DataFrame, country: str | None = None, entity: str = "country_region",
@@ -87,7 +87,8 @@ def forecast(hist: DataFrame, horizon: int = HORIZON_DEFAULT, entity: str = "cou
     The weekday effects travel as a per-entity map (at most 7 entries) so
     future rows are generated from the fitted rows in the same pass.
     ``with_actuals`` keeps the observed ``y`` beside each history row (NULL
-    for the future) — J5 without joining the history back."""
+    for the future) — J5 without joining the history back.
+    Precondition: (entity, ds) is unique, as in a panel."""
     _check_horizon(horizon)
     require_columns(hist, entity, "ds", "y")
     fitted = _fit(hist, entity).withColumn(

@@ -39,7 +39,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def column_info(df: DataFrame) -> DataFrame:
-    """(column_name, data_type, non_null) in column order."""
+    """(column_name, data_type, non_null, position), one row per column;
+    NaN counts as missing in floating columns."""
     counts = df.agg(*[F.count(F.when(~_missing(f), F.lit(1))).alias(f"n{i}") for i, f in enumerate(df.schema.fields)])
     structs = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
                         F.col(f"n{i}").alias("non_null"), F.lit(i).alias("position"))
