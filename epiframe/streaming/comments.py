@@ -4,16 +4,25 @@ append to the Parquet store with a checkpoint (exactly-once file sink)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from epiframe.plans.comments import prepare, read_store
 from epiframe.schemas import COMMENT_IN
 
 
+def start_ingest(spark: SparkSession, source_dir: str, store_path: str, checkpoint: str,
+                 files_per_trigger: int = 1, every: str | None = None) -> StreamingQuery:
+    """Start ingestion; ``every`` keeps it running on a processing-time
+    trigger, ``None`` ingests what is there now and stops."""
+    stream = spark.readStream.schema(COMMENT_IN).option("maxFilesPerTrigger", files_per_trigger).json(source_dir)
+    writer = (prepare(stream).writeStream.format("parquet").outputMode("append")
+              .option("path", store_path).option("checkpointLocation", checkpoint))
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def ingest(spark: SparkSession, source_dir: str, store_path: str, checkpoint: str,
            files_per_trigger: int = 1) -> DataFrame:
-    stream = spark.readStream.schema(COMMENT_IN).option("maxFilesPerTrigger", files_per_trigger).json(source_dir)
-    q = (prepare(stream).writeStream.format("parquet").outputMode("append")
-         .option("path", store_path).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    """Ingest everything available now; returns the store read back."""
+    start_ingest(spark, source_dir, store_path, checkpoint, files_per_trigger).awaitTermination()
     return read_store(spark, store_path)

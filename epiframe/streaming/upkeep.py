@@ -12,21 +12,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def run_complete_aggregate(spark: SparkSession, source_dir: str, schema: StructType,
-                           body: Callable[[DataFrame], DataFrame], sink_path: str,
-                           checkpoint: str, files_per_trigger: int = 1) -> DataFrame:
-    """Process everything available in ``source_dir`` (trigger availableNow)
-    and return the sink read back."""
+def start_complete_aggregate(spark: SparkSession, source_dir: str, schema: StructType,
+                             body: Callable[[DataFrame], DataFrame], sink_path: str,
+                             checkpoint: str, files_per_trigger: int = 1,
+                             every: str | None = None) -> StreamingQuery:
+    """Start the upkeep job.  ``every`` (e.g. ``"1 minute"``) keeps it running
+    on a processing-time trigger as files arrive; ``None`` processes what is
+    available now and stops."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
 
     def replace(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(sink_path)
 
-    q = (body(stream).writeStream.outputMode("complete").foreachBatch(replace)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    writer = (body(stream).writeStream.outputMode("complete").foreachBatch(replace)
+              .option("checkpointLocation", checkpoint))
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def run_complete_aggregate(spark: SparkSession, source_dir: str, schema: StructType,
+                           body: Callable[[DataFrame], DataFrame], sink_path: str,
+                           checkpoint: str, files_per_trigger: int = 1) -> DataFrame:
+    """Process everything available in ``source_dir`` (trigger availableNow)
+    and return the sink read back."""
+    q = start_complete_aggregate(spark, source_dir, schema, body, sink_path, checkpoint, files_per_trigger)
     q.awaitTermination()
     return spark.read.parquet(sink_path)

@@ -98,3 +98,22 @@ def test_utc_stamp(spark):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     now = spark.range(1).select(F.current_timestamp().cast("string")).first()[0]
     assert now is not None and len(now) >= 19
+
+
+def test_long_running_upkeep_picks_up_new_files(spark, tmp_dir):
+    from epiframe.streaming.upkeep import start_complete_aggregate
+    panel = fx.panel(spark, SF_SMALL)
+    src = os.path.join(tmp_dir, "in")
+    early, late = panel.filter("date < '1997-01-01'"), panel.filter("date >= '1997-01-01'")
+    early.write.parquet(os.path.join(src, "part=1"))
+    body = lambda s: wh.deaths_body(s)
+    q = start_complete_aggregate(spark, src + "/*", schemas.PANEL, body, os.path.join(tmp_dir, "out"),
+                                 os.path.join(tmp_dir, "ckpt"), every="1 second")
+    try:
+        q.processAllAvailable()
+        assert _sorted(spark.read.parquet(os.path.join(tmp_dir, "out"))) == _sorted(wh.deaths_body(early))
+        late.write.parquet(os.path.join(src, "part=2"))
+        q.processAllAvailable()
+        assert _sorted(spark.read.parquet(os.path.join(tmp_dir, "out"))) == _sorted(wh.deaths_body(panel))
+    finally:
+        q.stop()
