@@ -402,7 +402,7 @@ ORACLES.update({
 # the query writes (three copies of the panel) and from the panel's columns.
 ORACLES.update({
     "chart_history_json": f"""WITH {P}, s AS ({_HIST_ONE})
-        SELECT to_json(struct_pack(ds := ds, y := y)) AS record FROM s""",
+        SELECT CAST(to_json(struct_pack(ds := ds, y := y)) AS VARCHAR) AS record FROM s""",
     "list_tables": """SELECT * FROM (VALUES ('ecdc_global', FALSE), ('ecdc_global_copy', FALSE),
         ('ecdc_global_active', FALSE)) t(tableName, isTemporary)""",
     "describe_table": """SELECT * FROM (VALUES ('date', 'date', CAST(NULL AS VARCHAR)),

@@ -49,6 +49,9 @@ def test_every_query_has_an_oracle_or_is_rows_only():
     assert set(oracle_sql()) <= set(queries())
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN"}
+
 # The only query allowed to run Python in tasks (a per-entity numpy fit).
 PYTHON_ALLOWED = {"forecast_changepoints"}
 
@@ -64,7 +67,10 @@ def test_query_matches_oracle(spark, duck, name):
     if name in ROWS_ONLY:
         assert len(srows) > 0
         return
-    res = duck.execute(oracle_sql()[name])
-    dcols = [d[0] for d in res.description]
+    rel = duck.sql(oracle_sql()[name])
+    dcols, dtypes = rel.columns, [str(t) for t in rel.types]
     assert sorted(sdf.columns) == sorted(dcols)
-    assert _rows(sdf.columns, srows) == _rows(dcols, res.fetchall())
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in sdf.schema.fields}
+    assert spark_types == dict(zip(dcols, dtypes))
+    assert _rows(sdf.columns, srows) == _rows(dcols, rel.fetchall())
