@@ -35,3 +35,11 @@ def test_scale_settings():
     assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * MB)
     assert big["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == str(256 * MB)
     assert scale_settings(1)["spark.sql.shuffle.partitions"] == "8"
+
+
+def test_norm_equals_python_strip_for_every_whitespace(spark):
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    rows = [(w + "Ab" + w + w,) for w in spaces] + [("".join(spaces) + "X Y" + "".join(spaces),),
+                                                    ("İstanbul ",), ("ΣΑΣ",), ("ǅx",)]
+    out = [r[0] for r in spark.createDataFrame(rows, "k string").select(norm("k")).collect()]
+    assert out == [r[0].lower().strip() for r in rows]
