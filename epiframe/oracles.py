@@ -191,8 +191,10 @@ ORACLES.update({
         SELECT *, COUNT(*) OVER () AS count FROM s WHERE country_key = lower(trim({_lit(COMMENT_KEY)}))""",
     "comments_fanout": f"""WITH {C} SELECT lower(trim(k.c)) AS country_key, comment_text, "user", source, additional_notes
         FROM cm, (VALUES {", ".join("(" + _lit(c) + ")" for c in FANOUT)}) k(c)""",
-    "comments_selected": f"""WITH {C}, s AS ({_CM}) SELECT * FROM s
-        WHERE country_key IN ({", ".join("lower(trim(" + _lit(k) + "))" for k in FETCH_KEYS)})""",
+    "comments_selected": f"""WITH {C}, s AS ({_CM}
+          UNION ALL SELECT lower(trim(k.c)), comment_text, "user", source, additional_notes
+          FROM cm, (VALUES {", ".join("(" + _lit(c) + ")" for c in FANOUT)}) k(c))
+        SELECT * FROM s WHERE country_key IN ({", ".join("lower(trim(" + _lit(k) + "))" for k in FETCH_KEYS)})""",
     "stream_comments": f"WITH {C} {_CM}",
 })
 

@@ -318,7 +318,14 @@ def comments_fanout(spark, sf):
 
 @query
 def comments_selected(spark, sf):
-    return cm.comments_for_keys(_store(spark, sf, "comments_selected"), FETCH_KEYS).select(*_COMMENT_OUT)
+    """X5 round trip: existing comments are stored, the same texts are posted
+    to the selected countries (S8, a second append), then the comments of
+    several keys are fetched (S9) and see both appends."""
+    root = work_dir(spark, "comments_selected")
+    posted = fx.comments(spark, sf).drop("timestamp")
+    cm.add_comments(posted, f"{root}/store")
+    store = cm.add_comments(cm.fan_out(posted, FANOUT), f"{root}/store")
+    return cm.comments_for_keys(store, FETCH_KEYS).select(*_COMMENT_OUT)
 
 
 @query
