@@ -411,3 +411,11 @@ ORACLES.update({
         ('country_region', 'string', NULL), ('cases_since_prev_day', 'bigint', NULL),
         ('deaths', 'bigint', NULL), ('population', 'bigint', NULL)) t(col_name, data_type, comment)""",
 })
+
+ORACLES["warehouse_build"] = f"""WITH {P}, act AS (SELECT * FROM p {_ACTIVE})
+SELECT 'ecdc_global' AS table_name, COUNT(*) AS n_rows FROM p
+UNION ALL SELECT 'ecdc_global_copy', COUNT(*) FROM p
+UNION ALL SELECT 'ecdc_global_active', COUNT(*) FROM act
+UNION ALL SELECT 'mv_total_new_cases', COUNT(DISTINCT date) FROM act
+UNION ALL SELECT 'mv_total_deaths', (SELECT COUNT(*) FROM (SELECT DISTINCT country_region FROM p))
+UNION ALL SELECT 'mv_new_cases_stats', (SELECT COUNT(*) FROM (SELECT DISTINCT country_region FROM act))"""

@@ -122,3 +122,28 @@ def list_tables(spark: SparkSession, database: str) -> DataFrame:
 def describe_table(spark: SparkSession, name: str) -> DataFrame:
     """DESCRIBE TABLE -> (col_name, data_type, comment)."""
     return spark.sql(f"DESCRIBE TABLE {name}")
+
+
+def build(panel: DataFrame, root: str, database: str | None = None) -> dict[str, DataFrame]:
+    """The warehouse build, in order — full copy (S10), pruned copy
+    laid out clustered by (date, country) with month directories (S13),
+    active rows (S12) from that layout, and the three materialised
+    aggregates (S14-S16).  Each table is written under ``root`` (and
+    registered in ``database`` when given); returns them read back."""
+    def name(t: str) -> str | None:
+        return f"{database}.{t}" if database else None
+
+    full = table_copy(panel, f"{root}/ecdc_global", name("ecdc_global"))
+    pruned = write_clustered(full.select(*PRUNED_COLUMNS), f"{root}/ecdc_global_copy",
+                             name=name("ecdc_global_copy"))
+    active = active_copy(pruned, f"{root}/ecdc_global_active", name("ecdc_global_active"))
+    return {
+        "ecdc_global": full,
+        "ecdc_global_copy": pruned,
+        "ecdc_global_active": active,
+        "mv_total_new_cases": materialise(daily_new_body(active), f"{root}/mv_total_new_cases",
+                                          name("mv_total_new_cases")),
+        "mv_total_deaths": materialise(deaths_body(pruned), f"{root}/mv_total_deaths", name("mv_total_deaths")),
+        "mv_new_cases_stats": materialise(new_stats_state(active), f"{root}/mv_new_cases_stats",
+                                          name("mv_new_cases_stats")),
+    }

@@ -486,3 +486,14 @@ def profile_missing(spark, sf):
 @query
 def forecast_changepoints(spark, sf):
     return rounded(fc.forecast_changepoints(fc.history(fx.panel(spark, sf)), HORIZON))
+
+
+@query
+def warehouse_build(spark, sf):
+    """Run the whole build and report each table with its row count."""
+    tables = wh.build(fx.panel(spark, sf), work_dir(spark, "warehouse"))
+    parts = [t.select(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for n, t in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -117,3 +117,16 @@ def test_long_running_upkeep_picks_up_new_files(spark, tmp_dir):
         assert _sorted(spark.read.parquet(os.path.join(tmp_dir, "out"))) == _sorted(wh.deaths_body(panel))
     finally:
         q.stop()
+
+
+def test_warehouse_build_x4(spark, tmp_dir):
+    from epiframe.operators.filters import active_rows as act
+    db = wh.create_database(spark, "epiframe_x4", os.path.join(tmp_dir, "db"))
+    panel = fx.panel(spark, SF_SMALL)
+    t = wh.build(panel, os.path.join(tmp_dir, "wh"), db)
+    assert {r.tableName for r in wh.list_tables(spark, db).collect()} == set(t)
+    assert t["ecdc_global"].count() == panel.count()
+    assert "month" in t["ecdc_global_copy"].columns
+    assert _sorted(t["mv_total_deaths"]) == _sorted(wh.deaths_body(panel))
+    assert _sorted(t["mv_new_cases_stats"]) == _sorted(wh.new_stats_state(act(panel)))
+    assert _sorted(spark.table(f"{db}.mv_total_new_cases")) == _sorted(wh.daily_new_body(act(panel)))
