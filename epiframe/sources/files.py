@@ -35,11 +35,13 @@ def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def read_population(spark: SparkSession, path: str) -> DataFrame:
-    """Population CSV -> (country, continent, population, population_2020,
-    area_km2, dim_key).  Numbers are coerced; the key is normalised (P3, P4)."""
+    """Population CSV -> (country, dim_key, continent, population,
+    population_2020, area_km2, density_published).  Numbers are coerced
+    (bad -> NULL, P4); ``dim_key`` is the normalised name (P3)."""
     raw = _csv(spark, path, schemas.POPULATION_CSV)
     return raw.select(
         F.col("`Country/Territory`").alias("country"),
+        norm(F.col("`Country/Territory`")).alias("dim_key"),
         F.col("Continent").alias("continent"),
         coerce_long(F.regexp_replace(F.trim(F.col("`2022 Population`")), r"\.0+$", "")).alias("population"),
         coerce_long(F.regexp_replace(F.trim(F.col("`2020 Population`")), r"\.0+$", "")).alias("population_2020"),

@@ -25,6 +25,7 @@ def test_population_csv_coerces_and_keys(spark, tmp_dir):
     assert rows["Alpha"].population == 100 and rows["Alpha"].population_2020 == 90 and rows["Alpha"].area_km2 == 50
     assert rows[" Côte d'Ivoire "].population is None and rows[" Côte d'Ivoire "].area_km2 == 0
     assert rows["Gamma"].population_2020 == 7 and rows["Gamma"].area_km2 is None
+    assert rows[" Côte d'Ivoire "].dim_key == "côte d'ivoire"
 
 
 def test_mapping_csv(spark, tmp_dir):
