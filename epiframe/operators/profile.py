@@ -1,11 +1,13 @@
 """Table profiling (E1, E3-E8) — the content of an exploratory report.
 
-Each profile is one wide aggregate over the input (a single scan with
-map-side partial aggregation), reshaped to one row per column with
-``inline`` over an array of structs.  Quantiles use ``percentile_approx``
-(bounded memory; exact on inputs smaller than its accuracy), skewness and
-kurtosis are the population (moment) forms, the standard deviation is the
-sample one.
+Column-wise profiles (E4, E6, E5, E7) unpivot the values with ``inline``
+inside the scan stage and run one small grouped aggregate keyed by column
+(or column pair), so a profile is a single pass with map-side partial
+aggregation and the expanded rows are never shuffled.  Table-wide counts
+(E1, E3, E8) are one aggregate reshaped to one row per column.  Quantiles
+use ``percentile_approx`` (bounded memory; exact on inputs smaller than its
+accuracy), skewness and kurtosis are the population (moment) forms, the
+standard deviation is the sample one.  NaN counts as missing.
 """
 
 from __future__ import annotations
