@@ -28,7 +28,9 @@ def country_totals(df: DataFrame, entity: str = "country_region", cases: str = "
 def country_totals_for(df: DataFrame, country: str, entity: str = "country_region",
                        cases: str = "cases", deaths: str = "deaths") -> DataFrame:
     """A2 + P9: totals of one entity, matched case- and space-insensitively.
-    The filter runs before the aggregate (and reaches the scan)."""
+    Catalyst moves the filter below the aggregate to right after the scan of
+    the entity column (being a function of the column, it is evaluated
+    there rather than pushed into the Parquet reader)."""
     return country_totals(df.filter(key_equals(entity, country)), entity, cases, deaths)
 
 
@@ -92,8 +94,10 @@ def daily_sum_active(df: DataFrame, value: str = "cases_since_prev_day", date: s
 
 def daily_sum_window(df: DataFrame, start: str, end: str, value: str = "cases_since_prev_day",
                      date: str = "date") -> DataFrame:
-    """A11 restricted to a closed date window; the range predicate is
-    pushed to the scan (row-group / partition skipping)."""
+    """A11 restricted to a closed date window.  On a stored table the
+    range predicate reaches the Parquet reader (row-group skipping, and
+    directory pruning on the month layout); on a panel derived with a lag
+    window it is applied after the window, which needs the earlier rows."""
     return daily_sum_active(in_date_range(df, start, end, date), value, date)
 
 

@@ -21,7 +21,8 @@ IN_LIST_MAX = 1000
 def select_entities(df: DataFrame, selection: list[str] | None,
                     entity: str = "country_region") -> DataFrame:
     """P10: keep rows whose entity is in the selection; empty selection = all.
-    A short list is a literal IN-set (pushed to the Parquet scan); a long one
+    A short list is a literal IN-set (pushed to the Parquet reader when the
+    column is stored as-is); a long one
     becomes a left-semi join, which the planner broadcasts by its size."""
     if not selection:
         return df
