@@ -37,6 +37,10 @@ def save_table(df: DataFrame, path: str, name: str | None = None, mode: str = "o
     spark = df.sparkSession
     if name:
         spark.catalog.createTable(name, path=path, source="parquet")
+        if partition_by:
+            # the catalog tracks partitions of an external table: register
+            # the directories just written, or SQL would see no rows
+            spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
     return spark.read.parquet(path)
 
 

@@ -130,3 +130,31 @@ def test_warehouse_build_x4(spark, tmp_dir):
     assert _sorted(t["mv_total_deaths"]) == _sorted(wh.deaths_body(panel))
     assert _sorted(t["mv_new_cases_stats"]) == _sorted(wh.new_stats_state(act(panel)))
     assert _sorted(spark.table(f"{db}.mv_total_new_cases")) == _sorted(wh.daily_new_body(act(panel)))
+
+
+def test_read_panel_sources(spark, tmp_dir):
+    from epiframe.sources import read_panel
+    panel = fx.panel(spark, SF_SMALL)
+    db = wh.create_database(spark, "epiframe_src", os.path.join(tmp_dir, "db"))
+    wh.table_copy(panel, os.path.join(tmp_dir, "t"), f"{db}.panel")
+    assert read_panel(spark, f"{db}.panel", fmt="table").count() == panel.count()
+    panel.write.option("header", True).csv(os.path.join(tmp_dir, "csv"))
+    back = read_panel(spark, os.path.join(tmp_dir, "csv"), fmt="csv", header="true")
+    assert back.schema == schemas.PANEL and _sorted(back) == _sorted(panel)
+
+
+def test_built_tables_answer_plain_sql(spark, tmp_dir):
+    from epiframe.operators import aggregates as agg
+    db = wh.create_database(spark, "epiframe_sql", os.path.join(tmp_dir, "db"))
+    panel = fx.panel(spark, SF_SMALL)
+    wh.build(panel, os.path.join(tmp_dir, "wh"), db)
+    per_country = spark.sql(f"SELECT country_region, count(*) AS total_records FROM {db}.ecdc_global_copy "
+                            "GROUP BY country_region")
+    assert _sorted(per_country) == _sorted(agg.rows_per_entity(panel))
+    window = spark.sql(f"SELECT date, sum(cases_since_prev_day) AS total_new_cases FROM {db}.ecdc_global_active "
+                       "WHERE date BETWEEN DATE'1996-01-01' AND DATE'1996-06-30' GROUP BY date")
+    assert _sorted(window) == _sorted(agg.daily_sum_window(panel, "1996-01-01", "1996-06-30"))
+    stats = spark.sql(f"SELECT country_region, sum_new_cases / n_new_cases AS avg_new_cases "
+                      f"FROM {db}.mv_new_cases_stats")
+    want = {r.country_region: r.avg_new_cases for r in agg.value_stats_active(panel).collect()}
+    assert all(abs(r.avg_new_cases - want[r.country_region]) < 1e-9 for r in stats.collect())
