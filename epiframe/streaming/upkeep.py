@@ -1,21 +1,30 @@
 """Incremental upkeep of the materialised aggregates.
 
 A file stream with a fixed schema feeds a grouped aggregate in complete
-mode; every micro-batch's full result replaces the stored table through
-``foreachBatch``.  State is one row per group key (dates or entities), so it
-is bounded by the key space, not by the rows streamed.  A rerun of a failed
-batch rewrites the same complete result, so the sink is idempotent.
+mode.  State is one row per group key (dates or entities), so it is bounded
+by the key space, not by the rows streamed.
+
+The sink is double-buffered so readers always see a complete snapshot:
+micro-batch ``e`` writes its full result, stamped with ``e``, into partition
+slot ``e % 2`` with dynamic partition overwrite (only that slot is
+replaced, at commit).  ``read_current`` returns the rows of the highest
+epoch present.  While one slot is being rewritten, the other still holds the
+previous complete result.  A batch that is replayed after a failure
+rewrites the same slot with the same result, so the sink is idempotent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
+EPOCH, SLOT = "_epoch", "_slot"
+
+
 def start_complete_aggregate(spark: SparkSession, source_dir: str, schema: StructType,
                              body: Callable[[DataFrame], DataFrame], sink_path: str,
                              checkpoint: str, files_per_trigger: int = 1,
@@ -27,7 +36,9 @@ def start_complete_aggregate(spark: SparkSession, source_dir: str, schema: Struc
               .parquet(source_dir))
 
     def replace(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_path)
+        (batch.withColumn(EPOCH, F.lit(epoch_id).cast("bigint")).withColumn(SLOT, F.lit(epoch_id % 2))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SLOT)
+         .parquet(sink_path))
 
     writer = (body(stream).writeStream.outputMode("complete").foreachBatch(replace)
               .option("checkpointLocation", checkpoint))
@@ -42,4 +53,11 @@ def run_complete_aggregate(spark: SparkSession, source_dir: str, schema: StructT
     and return the sink read back."""
     q = start_complete_aggregate(spark, source_dir, schema, body, sink_path, checkpoint, files_per_trigger)
     q.awaitTermination()
-    return spark.read.parquet(sink_path)
+    return read_current(spark, sink_path)
+
+
+def read_current(spark: SparkSession, sink_path: str) -> DataFrame:
+    """The newest complete snapshot of a double-buffered aggregate sink."""
+    snap = spark.read.parquet(sink_path)
+    latest = snap.agg(F.max(EPOCH)).scalar()
+    return snap.filter(F.col(EPOCH) == latest).drop(EPOCH, SLOT)

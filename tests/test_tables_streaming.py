@@ -101,7 +101,7 @@ def test_utc_stamp(spark):
 
 
 def test_long_running_upkeep_picks_up_new_files(spark, tmp_dir):
-    from epiframe.streaming.upkeep import start_complete_aggregate
+    from epiframe.streaming.upkeep import read_current, start_complete_aggregate
     panel = fx.panel(spark, SF_SMALL)
     src = os.path.join(tmp_dir, "in")
     early, late = panel.filter("date < '1997-01-01'"), panel.filter("date >= '1997-01-01'")
@@ -111,10 +111,13 @@ def test_long_running_upkeep_picks_up_new_files(spark, tmp_dir):
                                  os.path.join(tmp_dir, "ckpt"), every="1 second")
     try:
         q.processAllAvailable()
-        assert _sorted(spark.read.parquet(os.path.join(tmp_dir, "out"))) == _sorted(wh.deaths_body(early))
+        assert _sorted(read_current(spark, os.path.join(tmp_dir, "out"))) == _sorted(wh.deaths_body(early))
         late.write.parquet(os.path.join(src, "part=2"))
         q.processAllAvailable()
-        assert _sorted(spark.read.parquet(os.path.join(tmp_dir, "out"))) == _sorted(wh.deaths_body(panel))
+        assert _sorted(read_current(spark, os.path.join(tmp_dir, "out"))) == _sorted(wh.deaths_body(panel))
+        # both slots exist, each a complete snapshot of its own epoch
+        raw = spark.read.parquet(os.path.join(tmp_dir, "out"))
+        assert raw.select("_slot").distinct().count() == 2
     finally:
         q.stop()
 
