@@ -8,7 +8,7 @@ which Spark plans as ``TakeOrderedAndProject`` (each task keeps k rows).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from epiframe.functions.keys import key_equals
 from epiframe.operators.filters import active_rows, in_date_range
@@ -133,9 +133,16 @@ def scalar_row(one_row: DataFrame) -> Column:
     return one_row.select(F.struct(*[F.col(f"`{c}`") for c in one_row.columns])).scalar()
 
 
-def with_count(df: DataFrame, alias: str = "count") -> DataFrame:
-    """The result cardinality beside every row, computed as a scalar
-    subquery (one global aggregate, no window over a single partition)."""
+def with_count(df: DataFrame, alias: str = "count", per: str | None = None) -> DataFrame:
+    """The result cardinality beside every row.
+
+    Default: a scalar subquery (one global aggregate; no window over a
+    single partition), safe for any size.  ``per=<entity>``: the count of
+    each entity's rows via a window partitioned by the entity — one pass,
+    no second computation of ``df`` — for series whose groups are bounded
+    (an entity's dates in a panel)."""
+    if per is not None:
+        return df.withColumn(alias, F.count(F.lit(1)).over(Window.partitionBy(per)))
     n = df.select(F.count(F.lit(1))).scalar()
     return df.withColumn(alias, n)
 

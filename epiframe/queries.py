@@ -417,7 +417,8 @@ def history_one(spark, sf):
 
 @query
 def history_with_count(spark, sf):
-    return agg.with_count(_history_one(spark, sf).select("ds", "y")).orderBy("ds")
+    counted = agg.with_count(_history_one(spark, sf), per="country_region")
+    return counted.select("ds", "y", "count").orderBy("ds")
 
 
 @query

@@ -58,6 +58,8 @@ def test_axis_bound_fallback_and_count(spark):
     df2 = spark.createDataFrame([(2.0,), (None,)], "c double")
     assert abs(agg.axis_bound(df2, "c").first()[0] - 2.4) < 1e-12
     assert [r["count"] for r in agg.with_count(df2).collect()] == [2, 2]
+    per = agg.with_count(_rows(spark), per="country_region").collect()
+    assert {(r.country_region, r["count"]) for r in per} == {("A", 2), ("B", 2), ("C", 1), ("D", 1)}
 
 
 def test_selection_empty_means_all(spark):
