@@ -51,14 +51,18 @@ def column_info(df: DataFrame) -> DataFrame:
 
 
 def overview(df: DataFrame) -> DataFrame:
-    """n_rows, n_columns, missing_cells, duplicate_rows."""
+    """n_rows, n_columns, missing_cells, duplicate_rows — one pass.
+    Rows are grouped by all columns (NULLs group together, so each group key
+    keeps its row's missing pattern; partial aggregation runs map-side):
+    rows = sum(c), duplicates = sum(c - 1), missing = sum(c * missing in key)."""
     cols = [F.col(f"`{c}`") for c in df.columns]
-    missing = sum((F.sum(F.when(_missing(f), 1).otherwise(0)) for f in df.schema.fields), F.lit(0))
-    base = df.agg(F.count(F.lit(1)).alias("n_rows"), missing.cast("bigint").alias("missing_cells"))
-    dups = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
-            .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("d")))
-    return base.select("n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_columns"), "missing_cells",
-                       dups.select("d").scalar().alias("duplicate_rows"))
+    missing_in_row = sum((F.when(_missing(f), 1).otherwise(0) for f in df.schema.fields), F.lit(0))
+    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    return groups.agg(
+        F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("n_rows"),
+        F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
+        F.coalesce(F.sum(F.col("_c") * missing_in_row), F.lit(0)).cast("bigint").alias("missing_cells"),
+        F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
 def _long(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
