@@ -103,7 +103,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """E5: per column, the k most frequent non-null values (ties by value),
-    with their rank and the column's distinct count.  One pass: values are
+    with their rank, the column's distinct count and its non-null count.  One pass: values are
     unpivoted to (column, value) and counted; ``row_number() <= k`` per
     column is planned with a partial ``WindowGroupLimit`` before the
     shuffle, so each task ships at most k rows per column."""
@@ -113,9 +113,12 @@ def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
               .groupBy("_k", "value").agg(F.count(F.lit(1)).alias("freq")))
     order = Window.partitionBy("_k").orderBy(F.desc("freq"), F.asc("value"))
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    distinct = counts.groupBy("_k").agg(F.count(F.lit(1)).alias("n_distinct"))
+    # Both branches read ``freq`` (n_values), so column pruning leaves them
+    # with the same counts subplan, whose exchange is computed once and reused.
+    distinct = counts.groupBy("_k").agg(F.count(F.lit(1)).alias("n_distinct"),
+                                        F.sum("freq").cast("bigint").alias("n_values"))
     return (top.join(F.broadcast(distinct), "_k")
-            .select(_name(columns).alias("column_name"), "value", "freq", "rank", "n_distinct"))
+            .select(_name(columns).alias("column_name"), "value", "freq", "rank", "n_distinct", "n_values"))
 
 
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:

@@ -392,7 +392,8 @@ ORACLES.update({
     "profile_numeric": f"WITH {X1} {_union([_numeric_sql(c) for c in X1_NUMERIC])}",
     "profile_top_values": f"""WITH {P}, cnt AS ({_TOPV}),
         rk AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY freq DESC, value) AS INTEGER) AS rank,
-                      COUNT(*) OVER (PARTITION BY column_name) AS n_distinct FROM cnt)
+                      COUNT(*) OVER (PARTITION BY column_name) AS n_distinct,
+                      CAST(SUM(freq) OVER (PARTITION BY column_name) AS BIGINT) AS n_values FROM cnt)
         SELECT * FROM rk WHERE rank <= 5""",
     "profile_histogram": f"WITH {X1} {_union([_hist_sql(c) for c in X1_NUMERIC])}",
     "profile_corr": f"WITH {X1}, {_corr_sql()}",
