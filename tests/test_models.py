@@ -128,3 +128,39 @@ def test_changepoint_forecast_follows_a_kink(spark):
     assert all(r.yhat_lower <= r.yhat <= r.yhat_upper for r in out)
     single = fc.forecast_changepoints(hist, 3).filter("country_region = 'S'").collect()
     assert len(single) == 4 and all(r.yhat is None for r in single)
+
+
+def _lloyd_numpy(names, x0, x1, k, rounds):
+    """Brute-force reference of the same specification, in numpy."""
+    pts = sorted(zip(x0, x1, names))
+    n = len(pts)
+    centres = [(pts[r][0], pts[r][1]) for r in km.seed_ranks(n, k)]
+    f = {nm: (a, b) for a, b, nm in pts}
+
+    def assign(cs):
+        out = {}
+        for nm, (a, b) in f.items():
+            d = [round((a - c0) * (a - c0) + (b - c1) * (b - c1), 9) for c0, c1 in cs]
+            out[nm] = d.index(min(d))
+        return out
+    for _ in range(rounds):
+        lab = assign(centres)
+        new = []
+        for j, c in enumerate(centres):
+            mem = [f[nm] for nm, l in lab.items() if l == j]
+            new.append((round(sum(m[0] for m in mem) / len(mem), 9), round(sum(m[1] for m in mem) / len(mem), 9))
+                       if mem else c)
+        if new == centres:
+            break
+        centres = new
+    order = sorted(range(k), key=lambda j: (centres[j][0], centres[j][1], j))
+    relabel = {old: new for new, old in enumerate(order)}
+    return {nm: relabel[l] for nm, l in assign(centres).items()}
+
+
+def test_lloyd_matches_brute_force(spark):
+    feats = km.features(_totals(spark, 80, seed=5)).collect()
+    names = [r.country_region for r in feats]
+    want = _lloyd_numpy(names, [r.f0 for r in feats], [r.f1 for r in feats], 4, 15)
+    labels, _ = km.lloyd(km.features(_totals(spark, 80, seed=5)), 4, 15)
+    assert {r.country_region: r.cluster for r in labels.collect()} == want
