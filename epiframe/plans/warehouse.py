@@ -113,7 +113,7 @@ def new_stats_read(state: DataFrame, entity: str = "country_region") -> DataFram
                         "max_new_cases", "min_new_cases")
 
 
-def materialise(body: DataFrame, path: str, name: str | None = None) -> DataFrame:
+def save_view(body: DataFrame, path: str, name: str | None = None) -> DataFrame:
     """Store an aggregate as a table and return it read back."""
     return save_table(body, path, name)
 
@@ -145,9 +145,9 @@ def build(panel: DataFrame, root: str, database: str | None = None) -> dict[str,
         "ecdc_global": full,
         "ecdc_global_copy": pruned,
         "ecdc_global_active": active,
-        "mv_total_new_cases": materialise(daily_new_body(active), f"{root}/mv_total_new_cases",
+        "mv_total_new_cases": save_view(daily_new_body(active), f"{root}/mv_total_new_cases",
                                           name("mv_total_new_cases")),
-        "mv_total_deaths": materialise(deaths_body(pruned), f"{root}/mv_total_deaths", name("mv_total_deaths")),
-        "mv_new_cases_stats": materialise(new_stats_state(active), f"{root}/mv_new_cases_stats",
+        "mv_total_deaths": save_view(deaths_body(pruned), f"{root}/mv_total_deaths", name("mv_total_deaths")),
+        "mv_new_cases_stats": save_view(new_stats_state(active), f"{root}/mv_new_cases_stats",
                                           name("mv_new_cases_stats")),
     }

@@ -227,19 +227,19 @@ def clustered_window(spark, sf):
 @query
 def view_daily_new(spark, sf):
     root = work_dir(spark, "view_daily_new")
-    return wh.materialise(wh.daily_new_body(_active(spark, sf, root)), f"{root}/mv")
+    return wh.save_view(wh.daily_new_body(_active(spark, sf, root)), f"{root}/mv")
 
 
 @query
 def view_deaths(spark, sf):
     root = work_dir(spark, "view_deaths")
-    return wh.materialise(wh.deaths_body(_pruned(spark, sf, root)), f"{root}/mv")
+    return wh.save_view(wh.deaths_body(_pruned(spark, sf, root)), f"{root}/mv")
 
 
 @query
 def view_new_stats(spark, sf):
     root = work_dir(spark, "view_new_stats")
-    state = wh.materialise(wh.new_stats_state(_active(spark, sf, root)), f"{root}/mv")
+    state = wh.save_view(wh.new_stats_state(_active(spark, sf, root)), f"{root}/mv")
     return rounded(wh.new_stats_read(state))
 
 
