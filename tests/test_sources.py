@@ -55,3 +55,32 @@ def test_records_round_trip(spark):
     assert parse_records(rec, "record", schema).collect() == df.collect()
     arr = spark.createDataFrame([('[{"ds":"2020-01-01","y":1.5},{"ds":"2020-01-03","y":2}]',)], "j string")
     assert [tuple(r) for r in parse_record_array(arr, "j", schema).collect()] == [(dt.date(2020, 1, 1), 1.5), (dt.date(2020, 1, 3), 2.0)]
+
+
+def test_x1_from_csv_files_to_csv_and_profile(spark, tmp_dir):
+    """X1 as the reference runs it: population + mapping CSVs, enrichment,
+    CSV sink with the published header, re-read, then a profile."""
+    import datetime as dt
+    from epiframe.operators import profile as pf
+    from epiframe.plans.enrichment import enrich
+    pop = _write(os.path.join(tmp_dir, "pop.csv"), "\n".join([
+        POP_HEADER,
+        "1,AAA,Czech Republic,Prague,Europe,100,1000000,1,1,1,1,1,1,50,2.0,1.0,0.1",
+        '2,BBB,"Korea, South",Seoul,Asia,200,2000000,1,1,1,1,1,1,0,0,1.0,0.1',
+        "3,CCC,Nowhere Land,X,Europe,300,3000000,1,1,1,1,1,1,10,1,1.0,0.1",
+    ]) + "\n")
+    mp = _write(os.path.join(tmp_dir, "map.csv"), 'a,b\nCzechia,Czech Republic\n"Korea, Republic of","Korea, South"\n')
+    panel = spark.createDataFrame(
+        [("Czechia", dt.date(2020, 1, 1), 10, 1, None, None), ("Czechia", dt.date(2020, 1, 2), 30, None, 20, None),
+         ("Korea, Republic of", dt.date(2020, 1, 1), 5, 0, None, None), ("Atlantis", dt.date(2020, 1, 1), 1, 1, None, None)],
+        "country_region string, date date, cases long, deaths long, cases_since_prev_day long, population long")
+    enriched = enrich(panel, read_population(spark, pop), read_mapping(spark, mp))
+    out = write_csv(enriched, os.path.join(tmp_dir, "enriched"))
+    back = read_enriched(spark, out, "csv")
+    rows = {r.country_region: r for r in back.collect()}
+    assert set(rows) == {"Czechia", "Korea, Republic of"}            # Atlantis has no dimension row
+    cz, kr = rows["Czechia"], rows["Korea, Republic of"]
+    assert (cz.total_cases, cz.total_deaths, cz.cases_per_million, cz.cfr_pct, cz.cases_per_km2) == (40, 1, 40.0, 2.5, 0.8)
+    assert kr.cases_per_km2 is None and kr.cfr_pct == 0.0          # zero area -> NULL, zero deaths -> 0 %
+    prof = {r.column_name: r for r in pf.numeric_summary(back).collect()}
+    assert prof["total_cases"].n == 2 and prof["cases_per_km2"].n_missing == 1
