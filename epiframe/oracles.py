@@ -406,17 +406,17 @@ ORACLES.update({
 ORACLES.update({
     "chart_history_json": f"""WITH {P}, s AS ({_HIST_ONE})
         SELECT CAST(to_json(struct_pack(ds := ds, y := y)) AS VARCHAR) AS record FROM s""",
-    "list_tables": """SELECT * FROM (VALUES ('ecdc_global', FALSE), ('ecdc_global_copy', FALSE),
-        ('ecdc_global_active', FALSE)) t(tableName, isTemporary)""",
+    "list_tables": """SELECT * FROM (VALUES ('panel_full', FALSE), ('panel_pruned', FALSE),
+        ('panel_active', FALSE)) t(tableName, isTemporary)""",
     "describe_table": """SELECT * FROM (VALUES ('date', 'date', CAST(NULL AS VARCHAR)),
         ('country_region', 'string', NULL), ('cases_since_prev_day', 'bigint', NULL),
         ('deaths', 'bigint', NULL), ('population', 'bigint', NULL)) t(col_name, data_type, comment)""",
 })
 
 ORACLES["warehouse_build"] = f"""WITH {P}, act AS (SELECT * FROM p {_ACTIVE})
-SELECT 'ecdc_global' AS table_name, COUNT(*) AS n_rows FROM p
-UNION ALL SELECT 'ecdc_global_copy', COUNT(*) FROM p
-UNION ALL SELECT 'ecdc_global_active', COUNT(*) FROM act
-UNION ALL SELECT 'mv_total_new_cases', COUNT(DISTINCT date) FROM act
-UNION ALL SELECT 'mv_total_deaths', (SELECT COUNT(*) FROM (SELECT DISTINCT country_region FROM p))
-UNION ALL SELECT 'mv_new_cases_stats', (SELECT COUNT(*) FROM (SELECT DISTINCT country_region FROM act))"""
+SELECT 'panel_full' AS table_name, COUNT(*) AS n_rows FROM p
+UNION ALL SELECT 'panel_pruned', COUNT(*) FROM p
+UNION ALL SELECT 'panel_active', COUNT(*) FROM act
+UNION ALL SELECT 'agg_daily_new_cases', COUNT(DISTINCT date) FROM act
+UNION ALL SELECT 'agg_total_deaths', (SELECT COUNT(*) FROM (SELECT DISTINCT country_region FROM p))
+UNION ALL SELECT 'agg_new_case_stats', (SELECT COUNT(*) FROM (SELECT DISTINCT country_region FROM act))"""

@@ -137,17 +137,17 @@ def build(panel: DataFrame, root: str, database: str | None = None) -> dict[str,
     def name(t: str) -> str | None:
         return f"{database}.{t}" if database else None
 
-    full = table_copy(panel, f"{root}/ecdc_global", name("ecdc_global"))
-    pruned = write_clustered(full.select(*PRUNED_COLUMNS), f"{root}/ecdc_global_copy",
-                             name=name("ecdc_global_copy"))
-    active = active_copy(pruned, f"{root}/ecdc_global_active", name("ecdc_global_active"))
+    full = table_copy(panel, f"{root}/panel_full", name("panel_full"))
+    pruned = write_clustered(full.select(*PRUNED_COLUMNS), f"{root}/panel_pruned",
+                             name=name("panel_pruned"))
+    active = active_copy(pruned, f"{root}/panel_active", name("panel_active"))
     return {
-        "ecdc_global": full,
-        "ecdc_global_copy": pruned,
-        "ecdc_global_active": active,
-        "mv_total_new_cases": save_view(daily_new_body(active), f"{root}/mv_total_new_cases",
-                                          name("mv_total_new_cases")),
-        "mv_total_deaths": save_view(deaths_body(pruned), f"{root}/mv_total_deaths", name("mv_total_deaths")),
-        "mv_new_cases_stats": save_view(new_stats_state(active), f"{root}/mv_new_cases_stats",
-                                          name("mv_new_cases_stats")),
+        "panel_full": full,
+        "panel_pruned": pruned,
+        "panel_active": active,
+        "agg_daily_new_cases": save_view(daily_new_body(active), f"{root}/agg_daily_new_cases",
+                                          name("agg_daily_new_cases")),
+        "agg_total_deaths": save_view(deaths_body(pruned), f"{root}/agg_total_deaths", name("agg_total_deaths")),
+        "agg_new_case_stats": save_view(new_stats_state(active), f"{root}/agg_new_case_stats",
+                                          name("agg_new_case_stats")),
     }

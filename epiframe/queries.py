@@ -271,9 +271,9 @@ def _catalog(spark, sf):
     root = work_dir(spark, "catalog")
     db = wh.create_database(spark, f"epiframe_{uuid.uuid4().hex[:10]}", f"{root}/db")
     panel = fx.panel(spark, sf)
-    wh.table_copy(panel, f"{root}/ecdc_global", f"{db}.ecdc_global")
-    pruned = wh.pruned_copy(panel, f"{root}/ecdc_global_copy", f"{db}.ecdc_global_copy")
-    wh.active_copy(pruned, f"{root}/ecdc_global_active", f"{db}.ecdc_global_active")
+    wh.table_copy(panel, f"{root}/panel_full", f"{db}.panel_full")
+    pruned = wh.pruned_copy(panel, f"{root}/panel_pruned", f"{db}.panel_pruned")
+    wh.active_copy(pruned, f"{root}/panel_active", f"{db}.panel_active")
     return db
 
 
@@ -284,7 +284,7 @@ def list_tables(spark, sf):
 
 @query
 def describe_table(spark, sf):
-    return wh.describe_table(spark, f"{_catalog(spark, sf)}.ecdc_global_copy")
+    return wh.describe_table(spark, f"{_catalog(spark, sf)}.panel_pruned")
 
 
 # --- S6-S9, T2: comments --------------------------------------------------------------

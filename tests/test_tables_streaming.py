@@ -21,15 +21,15 @@ def test_database_and_copies(spark, tmp_dir):
     db = wh.create_database(spark, "epiframe_test_db", os.path.join(tmp_dir, "db"))
     wh.create_database(spark, "epiframe_test_db", os.path.join(tmp_dir, "db"))   # idempotent, never replaced
     panel = fx.panel(spark, SF_SMALL)
-    copy = wh.table_copy(panel, os.path.join(tmp_dir, "copy"), f"{db}.ecdc_global")
+    copy = wh.table_copy(panel, os.path.join(tmp_dir, "copy"), f"{db}.panel_full")
     assert copy.count() == panel.count()
-    pruned = wh.pruned_copy(copy, os.path.join(tmp_dir, "pruned"), f"{db}.ecdc_global_copy")
+    pruned = wh.pruned_copy(copy, os.path.join(tmp_dir, "pruned"), f"{db}.panel_pruned")
     assert pruned.columns == wh.PRUNED_COLUMNS
     active = wh.active_copy(pruned, os.path.join(tmp_dir, "active"))
     assert active.filter("cases_since_prev_day <= 0 OR cases_since_prev_day IS NULL").count() == 0
     names = {r.tableName for r in wh.list_tables(spark, db).collect()}
-    assert names == {"ecdc_global", "ecdc_global_copy"}
-    desc = {r.col_name: r.data_type for r in wh.describe_table(spark, f"{db}.ecdc_global_copy").collect()}
+    assert names == {"panel_full", "panel_pruned"}
+    desc = {r.col_name: r.data_type for r in wh.describe_table(spark, f"{db}.panel_pruned").collect()}
     assert desc["date"] == "date" and desc["deaths"] == "bigint"
     wh.use_database(spark, db)
     assert spark.catalog.currentDatabase() == db
@@ -128,11 +128,11 @@ def test_warehouse_build_x4(spark, tmp_dir):
     panel = fx.panel(spark, SF_SMALL)
     t = wh.build(panel, os.path.join(tmp_dir, "wh"), db)
     assert {r.tableName for r in wh.list_tables(spark, db).collect()} == set(t)
-    assert t["ecdc_global"].count() == panel.count()
-    assert "month" in t["ecdc_global_copy"].columns
-    assert _sorted(t["mv_total_deaths"]) == _sorted(wh.deaths_body(panel))
-    assert _sorted(t["mv_new_cases_stats"]) == _sorted(wh.new_stats_state(act(panel)))
-    assert _sorted(spark.table(f"{db}.mv_total_new_cases")) == _sorted(wh.daily_new_body(act(panel)))
+    assert t["panel_full"].count() == panel.count()
+    assert "month" in t["panel_pruned"].columns
+    assert _sorted(t["agg_total_deaths"]) == _sorted(wh.deaths_body(panel))
+    assert _sorted(t["agg_new_case_stats"]) == _sorted(wh.new_stats_state(act(panel)))
+    assert _sorted(spark.table(f"{db}.agg_daily_new_cases")) == _sorted(wh.daily_new_body(act(panel)))
 
 
 def test_read_panel_sources(spark, tmp_dir):
@@ -151,13 +151,13 @@ def test_built_tables_answer_plain_sql(spark, tmp_dir):
     db = wh.create_database(spark, "epiframe_sql", os.path.join(tmp_dir, "db"))
     panel = fx.panel(spark, SF_SMALL)
     wh.build(panel, os.path.join(tmp_dir, "wh"), db)
-    per_country = spark.sql(f"SELECT country_region, count(*) AS total_records FROM {db}.ecdc_global_copy "
+    per_country = spark.sql(f"SELECT country_region, count(*) AS total_records FROM {db}.panel_pruned "
                             "GROUP BY country_region")
     assert _sorted(per_country) == _sorted(agg.rows_per_entity(panel))
-    window = spark.sql(f"SELECT date, sum(cases_since_prev_day) AS total_new_cases FROM {db}.ecdc_global_active "
+    window = spark.sql(f"SELECT date, sum(cases_since_prev_day) AS total_new_cases FROM {db}.panel_active "
                        "WHERE date BETWEEN DATE'1996-01-01' AND DATE'1996-06-30' GROUP BY date")
     assert _sorted(window) == _sorted(agg.daily_sum_window(panel, "1996-01-01", "1996-06-30"))
     stats = spark.sql(f"SELECT country_region, sum_new_cases / n_new_cases AS avg_new_cases "
-                      f"FROM {db}.mv_new_cases_stats")
+                      f"FROM {db}.agg_new_case_stats")
     want = {r.country_region: r.avg_new_cases for r in agg.value_stats_active(panel).collect()}
     assert all(abs(r.avg_new_cases - want[r.country_region]) < 1e-9 for r in stats.collect())
