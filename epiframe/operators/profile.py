@@ -180,3 +180,19 @@ def missing(df: DataFrame) -> DataFrame:
                         .alias("pct_missing"))
                for i, c in enumerate(df.columns)]
     return df.agg(*aggs).select(F.inline(F.array(*structs)))
+
+
+def report(df: DataFrame, top_columns: list[str] | None = None, k: int = 5, bins: int = 10) -> dict[str, DataFrame]:
+    """The full exploratory profile of a table, section by section, as
+    lazy DataFrames (nothing runs until a section is read or written)."""
+    numeric = numeric_columns(df)
+    non_numeric = [f.name for f in df.schema.fields if f.name not in numeric]
+    return {
+        "info": column_info(df),
+        "overview": overview(df),
+        "numeric": numeric_summary(df, numeric),
+        "top_values": top_values(df, top_columns or non_numeric or df.columns, k),
+        "histogram": histogram(df, numeric, bins),
+        "missing": missing(df),
+        "correlations": correlations(df, numeric) if len(numeric) >= 2 else None,
+    }

@@ -66,3 +66,12 @@ def test_histogram_top_values_missing_overview(spark):
     assert (ov.n_rows, ov.n_columns, ov.missing_cells, ov.duplicate_rows) == (3, 2, 2, 1)
     info = pf.column_info(sdf).collect()
     assert [(r.column_name, r.data_type, r.non_null) for r in info] == [("x", "double", 40), ("y", "double", 39), ("z", "double", 40)]
+
+
+def test_report_sections(spark):
+    sdf = spark.createDataFrame(_pdf().assign(name=[f"n{i % 4}" for i in range(40)]))
+    rep = pf.report(sdf)
+    assert set(rep) == {"info", "overview", "numeric", "top_values", "histogram", "missing", "correlations"}
+    assert rep["overview"].first().n_rows == 40
+    assert {r.column_name for r in rep["top_values"].collect()} == {"name"}
+    assert rep["correlations"].count() == 3 and rep["numeric"].count() == 3
