@@ -182,9 +182,12 @@ def missing(df: DataFrame) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*structs)))
 
 
-def report(df: DataFrame, top_columns: list[str] | None = None, k: int = 5, bins: int = 10) -> dict[str, DataFrame]:
-    """The full exploratory profile of a table, section by section, as
-    lazy DataFrames (nothing runs until a section is read or written)."""
+def report(df: DataFrame, top_columns: list[str] | None = None, k: int = 5,
+           bins: int = 10) -> dict[str, DataFrame | None]:
+    """The full exploratory profile of a table, section by section.
+    Sections are DataFrames; all are lazy except ``correlations``, which
+    writes its numeric input once to the checkpoint folder, and which is
+    None when the table has fewer than two numeric columns."""
     numeric = numeric_columns(df)
     non_numeric = [f.name for f in df.schema.fields if f.name not in numeric]
     return {
