@@ -164,3 +164,38 @@ def test_lloyd_matches_brute_force(spark):
     want = _lloyd_numpy(names, [r.f0 for r in feats], [r.f1 for r in feats], 4, 15)
     labels, _ = km.lloyd(km.features(_totals(spark, 80, seed=5)), 4, 15)
     assert {r.country_region: r.cluster for r in labels.collect()} == want
+
+
+def _forecast_numpy(ds, y, h):
+    """Brute-force level-1 forecast of one series (numpy)."""
+    import numpy as np
+    t = np.array([(d - ds[0]).days for d in ds], float)
+    y = np.array(y, float)
+    b, a = np.polyfit(t, y, 1)
+    dow = np.array([(d.weekday() + 1) % 7 for d in ds])          # 0 = Sunday
+    resid = y - a - b * t
+    s = {k: resid[dow == k].mean() for k in set(dow)}
+    sigma = np.std(resid - np.array([s[k] for k in dow]))
+    n, tbar, sxx = len(t), t.mean(), ((t - t.mean()) ** 2).sum()
+    out = []
+    for j in range(len(ds) + h):
+        d = ds[j] if j < len(ds) else ds[-1] + dt.timedelta(days=j - len(ds) + 1)
+        tj = (d - ds[0]).days
+        yhat = a + b * tj + s.get((d.weekday() + 1) % 7, 0.0)
+        spread = 1.2815515594600038 * sigma * math.sqrt(1 + 1 / n + (tj - tbar) ** 2 / sxx)
+        out.append((d, yhat, yhat - spread, yhat + spread))
+    return out
+
+
+def test_forecast_matches_numpy(spark):
+    rnd = np.random.default_rng(9)
+    base = dt.date(2020, 2, 3)
+    days = sorted(rnd.choice(90, 40, replace=False).tolist())      # gaps between dates
+    ds = [base + dt.timedelta(days=int(d)) for d in days]
+    y = (np.array(days) * 0.7 + rnd.normal(0, 3, 40)).tolist()
+    hist = spark.createDataFrame([("E", d, float(v)) for d, v in zip(ds, y)], "country_region string, ds date, y double")
+    got = sorted((r.ds, r.yhat, r.yhat_lower, r.yhat_upper) for r in fc.forecast(hist, 10).collect())
+    want = _forecast_numpy(ds, y, 10)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    for g, w in zip(got, want):
+        assert all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(g[1:], w[1:]))
