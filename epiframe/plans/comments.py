@@ -49,7 +49,9 @@ def fan_out(df: DataFrame, countries: list[str]) -> DataFrame:
 
 
 def comments_for_keys(store: DataFrame, keys: list[str]) -> DataFrame:
-    """Comments of several keys, ordered by key then time."""
+    """Comments of several keys, ordered by key then time.  The unique id
+    ends the sort key: one append stamps all its rows with the same time, so
+    without it a hot key would be one unsplittable range of ties."""
     wanted = [k.strip().lower() for k in keys]
     return (store.filter(F.col("country_key").isin(wanted))
-            .orderBy("country_key", "timestamp"))
+            .orderBy("country_key", "timestamp", "comment_id"))
