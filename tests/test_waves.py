@@ -83,3 +83,21 @@ def test_single_exchange(spark):
 def test_uniqueness_precondition(spark):
     dup = _series(spark, [1, 2]).unionByName(_series(spark, [3]))
     assert assert_unique_order(dup).count() == 1
+
+
+def test_user_panel_against_regex(spark):
+    """The whole user-by-day binding U: Spark waves == regex brute force per user."""
+    from epiframe import fixtures as fx
+    from tests.conftest import SF_SMALL
+    u = fx.user_panel(spark, SF_SMALL)
+    series = {}
+    for r in u.collect():
+        series.setdefault(r.country_region, []).append((r.date, r.cases_since_prev_day))
+    want = set()
+    for user, pts in series.items():
+        pts.sort()
+        for a, b, total, peak in _brute([v for _, v in pts]):
+            want.add((user, pts[a][0], pts[b][0], total, peak))
+    got = {(r.country_region, r.wave_start_date, r.wave_end_date, r.total_cases_in_wave, r.peak_cases_in_wave)
+           for r in waves(u).collect()}
+    assert got == want and len(got) > 0
