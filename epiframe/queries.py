@@ -65,11 +65,13 @@ def _stored_enriched(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def enrich_countries(spark, sf):
+    """X1 on P, D, M: totals, key mapping, dimension join, ratios."""
     return rounded(_enriched(spark, sf))
 
 
 @query
 def unmatched_countries(spark, sf):
+    """J4 on P, D, M: entities the inner dimension join drops, with their mapped key."""
     return enrichment.unmatched_countries(fx.panel(spark, sf), fx.dimension(spark, sf), fx.mapping(spark))
 
 
@@ -77,98 +79,117 @@ def unmatched_countries(spark, sf):
 
 @query
 def country_totals(spark, sf):
+    """A1 on P: total cases and deaths per country."""
     return agg.country_totals(fx.panel(spark, sf))
 
 
 @query
 def country_totals_one(spark, sf):
+    """A2 + P9 on P: totals of one country matched case- and space-insensitively."""
     return agg.country_totals_for(fx.panel(spark, sf), ONE_COUNTRY)
 
 
 @query
 def country_totals_positive(spark, sf):
+    """A3 on P: totals with total_cases > 0."""
     return agg.country_totals_positive(fx.panel(spark, sf))
 
 
 @query
 def row_count(spark, sf):
+    """A4 on P: number of rows."""
     return agg.row_count(fx.panel(spark, sf))
 
 
 @query
 def rows_per_country(spark, sf):
+    """A5 + O1 on P: rows per country, largest first."""
     return agg.rows_per_entity(fx.panel(spark, sf))
 
 
 @query
 def date_range(spark, sf):
+    """A6 on P: first and last date."""
     return agg.date_range(fx.panel(spark, sf))
 
 
 @query
 def completeness(spark, sf):
+    """A9 on P: total rows and non-null counts of cases, deaths, population."""
     return agg.completeness(fx.panel(spark, sf), ["cases", "deaths", "population"])
 
 
 @query
 def completeness_new_cases(spark, sf):
+    """A9 on P, second column set: non-null new cases, deaths, population."""
     return agg.completeness(fx.panel(spark, sf),
                             ["cases_not_null=cases_since_prev_day", "deaths", "population"])
 
 
 @query
 def new_case_stats_all(spark, sf):
+    """A7 on P: avg/max/min new cases per country over all rows."""
     return rounded(agg.value_stats(fx.panel(spark, sf)))
 
 
 @query
 def new_case_stats_active(spark, sf):
+    """A8 + P11 on P: the same statistics over active rows only."""
     return rounded(agg.value_stats_active(fx.panel(spark, sf)))
 
 
 @query
 def daily_new_all(spark, sf):
+    """A10 + O2 on P: new cases per date over all rows."""
     return agg.daily_sum(fx.panel(spark, sf))
 
 
 @query
 def daily_new_active(spark, sf):
+    """A11 on P: new cases per date over active rows."""
     return agg.daily_sum_active(fx.panel(spark, sf))
 
 
 @query
 def daily_new_window(spark, sf):
+    """A13 + P12 on P: active new cases per date inside a closed date window."""
     return agg.daily_sum_window(fx.panel(spark, sf), WINDOW_START, WINDOW_END)
 
 
 @query
 def top_deaths(spark, sf):
+    """A12 + O3 on P: ten countries with most deaths, ties by name."""
     return agg.top_deaths(fx.panel(spark, sf), 10)
 
 
 @query
 def preview_totals(spark, sf):
+    """O5 over O1 on P: first five countries by total cases."""
     totals = agg.country_totals(fx.panel(spark, sf))
     return agg.preview(totals, [F.desc_nulls_last("total_cases"), F.asc_nulls_last("country_region")], 5)
 
 
 @query
 def country_list(spark, sf):
+    """A14 on X1: distinct non-null country names, sorted."""
     return agg.distinct_sorted(_enriched(spark, sf), "country_region")
 
 
 @query
 def axis_bound(spark, sf):
+    """A15 on X1: max CFR x 1.2, or 1 when every CFR is NULL."""
     return rounded(agg.axis_bound(_enriched(spark, sf), "cfr_pct"))
 
 
 @query
 def selected_countries(spark, sf):
+    """P10 on X1: rows of the selected countries."""
     return rounded(flt.select_entities(_enriched(spark, sf), SELECTION))
 
 
 @query
 def finite_rows(spark, sf):
+    """P19 + P20 on X1: rows whose density and cases per million are finite."""
     return rounded(flt.finite_rows(_enriched(spark, sf), ["population_density_calc", "cases_per_million"]))
 
 
@@ -177,17 +198,20 @@ def finite_rows(spark, sf):
 
 @query
 def direction_class(spark, sf):
+    """W1 on P: UP / PLATEAU / DOWN of new cases versus the previous row."""
     return wv.direction_class(fx.panel(spark, sf)).select(
         "country_region", "date", "cases_since_prev_day", "direction")
 
 
 @query
 def waves_country(spark, sf):
+    """W2 + W3 on P: rise-plateau-fall waves per country with their measures."""
     return wv.waves(fx.panel(spark, sf))
 
 
 @query
 def waves_user(spark, sf):
+    """W2 + W3 on U: rise-plateau-fall waves per user."""
     return wv.waves(fx.user_panel(spark, sf))
 
 
@@ -204,21 +228,25 @@ def _active(spark, sf, root):
 
 @query
 def table_copy(spark, sf):
+    """S10 on P: full copy written and read back."""
     return wh.table_copy(fx.panel(spark, sf), work_dir(spark, "table_copy"))
 
 
 @query
 def pruned_copy(spark, sf):
+    """S11 on P: five-column copy written and read back."""
     return _pruned(spark, sf, work_dir(spark, "pruned_copy"))
 
 
 @query
 def active_copy(spark, sf):
+    """S12 on P: active-row copy written and read back."""
     return _active(spark, sf, work_dir(spark, "active_copy"))
 
 
 @query
 def clustered_window(spark, sf):
+    """S13 + A13 on P: the date-window query over the clustered, month-partitioned layout."""
     root = work_dir(spark, "clustered")
     laid_out = wh.write_clustered(_active(spark, sf, root), f"{root}/clustered")
     return agg.daily_sum_window(laid_out, WINDOW_START, WINDOW_END)
@@ -226,18 +254,21 @@ def clustered_window(spark, sf):
 
 @query
 def view_daily_new(spark, sf):
+    """S14 on P: stored daily-new-cases aggregate over active rows."""
     root = work_dir(spark, "view_daily_new")
     return wh.save_view(wh.daily_new_body(_active(spark, sf, root)), f"{root}/mv")
 
 
 @query
 def view_deaths(spark, sf):
+    """S15 on P: stored deaths-per-country aggregate."""
     root = work_dir(spark, "view_deaths")
     return wh.save_view(wh.deaths_body(_pruned(spark, sf, root)), f"{root}/mv")
 
 
 @query
 def view_new_stats(spark, sf):
+    """S16 on P: stored sum/count/min/max state, read as avg/max/min."""
     root = work_dir(spark, "view_new_stats")
     state = wh.save_view(wh.new_stats_state(_active(spark, sf, root)), f"{root}/mv")
     return rounded(wh.new_stats_read(state))
@@ -253,16 +284,19 @@ def _stream(spark, sf, name, body):
 
 @query
 def stream_daily_new(spark, sf):
+    """T1 on P staged as files: S14 kept current by a complete-mode stream."""
     return _stream(spark, sf, "stream_daily_new", lambda s: wh.daily_new_body(flt.active_rows(s)))
 
 
 @query
 def stream_deaths(spark, sf):
+    """T1 on P staged as files: S15 kept current by a complete-mode stream."""
     return _stream(spark, sf, "stream_deaths", wh.deaths_body)
 
 
 @query
 def stream_new_stats(spark, sf):
+    """T1 on P staged as files: S16 kept current by a complete-mode stream."""
     state = _stream(spark, sf, "stream_new_stats", lambda s: wh.new_stats_state(flt.active_rows(s)))
     return rounded(wh.new_stats_read(state))
 
@@ -279,11 +313,13 @@ def _catalog(spark, sf):
 
 @query
 def list_tables(spark, sf):
+    """S17 + S18 on P: tables of a created database after writing three copies."""
     return wh.list_tables(spark, _catalog(spark, sf)).select("tableName", "isTemporary")
 
 
 @query
 def describe_table(spark, sf):
+    """S19 on P: columns and types of the pruned copy."""
     return wh.describe_table(spark, f"{_catalog(spark, sf)}.panel_pruned")
 
 
@@ -302,16 +338,19 @@ def _store(spark, sf, name):
 
 @query
 def comments_append(spark, sf):
+    """S6 on C: comments appended with normalised key, stamp and id; read back."""
     return _store(spark, sf, "comments_append").select(*_COMMENT_OUT)
 
 
 @query
 def comments_for_key(spark, sf):
+    """S7 + A16 on C: comments of one key with their count."""
     return cm.comments_for_key(_store(spark, sf, "comments_for_key"), COMMENT_KEY).select(*_COMMENT_OUT, "count")
 
 
 @query
 def comments_fanout(spark, sf):
+    """S8 + S6 on C: each comment posted to every selected country."""
     posted = cm.fan_out(fx.comments(spark, sf).drop("timestamp"), FANOUT)
     return cm.add_comments(posted, f"{work_dir(spark, 'comments_fanout')}/store").select(*_COMMENT_OUT)
 
@@ -330,6 +369,7 @@ def comments_selected(spark, sf):
 
 @query
 def stream_comments(spark, sf):
+    """T2 on C staged as JSON files: streaming ingestion into the comment store."""
     root = work_dir(spark, "stream_comments")
     fx.comments(spark, sf).drop("timestamp").repartition(4).write.json(f"{root}/in")
     return ingest(spark, f"{root}/in", f"{root}/store", f"{root}/ckpt").select(*_COMMENT_OUT)
@@ -357,46 +397,55 @@ def _country_labels(spark, sf):
 
 @query
 def scaled_features(spark, sf):
+    """P17 + M1 on P: standardised log totals per country."""
     return rounded(_country_features(spark, sf))
 
 
 @query
 def kmeans_step(spark, sf):
+    """M2 on customer totals: one assignment from quantile seeds and the updated centres."""
     return rounded(km.one_step(_customer_features(spark, sf), K))
 
 
 @query
 def cluster_countries(spark, sf):
+    """M2 + M3 on P: deterministic Lloyd k-means labels per country."""
     return _country_labels(spark, sf).select("country_region", "cluster")
 
 
 @query
 def chart_clusters(spark, sf):
+    """F5 + J3 + P21 on X1 and the M3 labels."""
     return rounded(charts.clusters(_enriched(spark, sf), _country_labels(spark, sf)))
 
 
 @query
 def cluster_ml(spark, sf):
+    """M2 on customer totals via pyspark.ml KMeans, canonical labels."""
     return km.kmeans_ml(_customer_features(spark, sf), K).select("country_region", "cluster")
 
 
 @query
 def density_fit(spark, sf):
+    """M4 on X1: log-log OLS of cases per million on density."""
     return rounded(rg.fit_loglog(_enriched(spark, sf)))
 
 
 @query
 def chart_density(spark, sf):
+    """F3 + M5 on X1: fit on the selection, fitted curve ordered by density."""
     return rounded(charts.density_curve(_stored_enriched(spark, sf), SELECTION))
 
 
 @query
 def chart_cases_deaths(spark, sf):
+    """F1 on X1: scatter data of the selection, positive values for log axes."""
     return rounded(charts.cases_vs_deaths(_enriched(spark, sf), SELECTION))
 
 
 @query
 def chart_cfr_top20(spark, sf):
+    """F2 + O4 + P22 + A15 on X1: top-20 CFR with labels and the axis bound."""
     return rounded(charts.cfr_top(_stored_enriched(spark, sf), None, 20))
 
 
@@ -412,32 +461,38 @@ def _history_one(spark, sf):
 
 @query
 def history_one(spark, sf):
+    """M6 on P: one country's (ds, y) series, ordered."""
     return _history_one(spark, sf).select("ds", "y").orderBy("ds")
 
 
 @query
 def history_with_count(spark, sf):
+    """M6 + A16 + O2 on P: the series with its length beside each row."""
     counted = agg.with_count(_history_one(spark, sf), per="country_region")
     return counted.select("ds", "y", "count").orderBy("ds")
 
 
 @query
 def chart_history_json(spark, sf):
+    """S20 on P: the series as one JSON record per row."""
     return to_records(_history_one(spark, sf).select("ds", "y").orderBy("ds"))
 
 
 @query
 def future_frame(spark, sf):
+    """M8 on P: history dates plus the horizon per country."""
     return fc.future_dates(fc.history(fx.panel(spark, sf)), HORIZON)
 
 
 @query
 def forecast_all(spark, sf):
+    """M7 + M9 on P: level-1 forecast with band for every country."""
     return rounded(fc.forecast(fc.history(fx.panel(spark, sf)), HORIZON))
 
 
 @query
 def chart_forecast(spark, sf):
+    """F4 + J5 on P: one country's forecast with the actual values beside it."""
     hist = fc.history(fx.panel(spark, sf), SELECTION[0])
     out = fc.forecast(hist, HORIZON, with_actuals=True)
     return rounded(out.select("ds", "yhat", "yhat_lower", "yhat_upper", "y").orderBy("ds"))
@@ -451,41 +506,49 @@ TOP_VALUE_COLUMNS = ["country_region", "date", "deaths"]
 
 @query
 def profile_info(spark, sf):
+    """E1 on X1: type and non-null count per column."""
     return pf.column_info(_enriched(spark, sf))
 
 
 @query
 def profile_overview(spark, sf):
+    """E3 on P: rows, columns, missing cells, duplicate rows."""
     return pf.overview(fx.panel(spark, sf))
 
 
 @query
 def profile_numeric(spark, sf):
+    """E4 on X1: moments, extremes and quantiles per numeric column."""
     return rounded(pf.numeric_summary(_enriched(spark, sf)))
 
 
 @query
 def profile_top_values(spark, sf):
+    """E5 on P: most frequent values per column with distinct counts."""
     return pf.top_values(fx.panel(spark, sf), TOP_VALUE_COLUMNS, 5)
 
 
 @query
 def profile_histogram(spark, sf):
+    """E6 on X1: equal-width histogram per numeric column."""
     return rounded(pf.histogram(_stored_enriched(spark, sf)))
 
 
 @query
 def profile_corr(spark, sf):
+    """E7 on X1: Pearson and Spearman correlation per column pair."""
     return rounded(pf.correlations(_enriched(spark, sf)))
 
 
 @query
 def profile_missing(spark, sf):
+    """E8 on P: missing count and percentage per column."""
     return rounded(pf.missing(fx.panel(spark, sf)))
 
 
 @query
 def forecast_changepoints(spark, sf):
+    """M7 level 2 on P: changepoint trend + seasonality per country (applyInPandas)."""
     return rounded(fc.forecast_changepoints(fc.history(fx.panel(spark, sf)), HORIZON))
 
 
