@@ -161,3 +161,11 @@ def test_built_tables_answer_plain_sql(spark, tmp_dir):
                       f"FROM {db}.agg_new_case_stats")
     want = {r.country_region: r.avg_new_cases for r in agg.value_stats_active(panel).collect()}
     assert all(abs(r.avg_new_cases - want[r.country_region]) < 1e-9 for r in stats.collect())
+
+
+def test_stream_with_no_input_yet(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "empty_in")
+    os.makedirs(src)
+    out = run_complete_aggregate(spark, src, schemas.PANEL, wh.deaths_body, os.path.join(tmp_dir, "out"),
+                                 os.path.join(tmp_dir, "ckpt"))
+    assert out.count() == 0 and out.columns == ["country_region", "total_deaths"]
