@@ -10,33 +10,65 @@ from pyspark.sql import DataFrame, functions as F
 from epiframe.session import materialise as cut  # noqa: F401  (write under spark.checkpoint.dir, read back)
 
 
+class _Numbers(dict):
+    """word -> running number; words not seen before are noted in ``fresh``."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordCache:
-    """word -> bytes, computed once per worker for words that recur.
-
-    ``compute`` maps a list of new words to their byte strings.  The cache is
-    emptied when it holds ``max_words`` words, so a worker's memory is bounded;
-    results never depend on what the cache holds."""
-
-    def __init__(self, compute: Callable[[list[str]], list[bytes]], max_words: int = 500_000,
-                 max_word: int = 200):
-        self.compute, self.max_words, self.max_word = compute, max_words, max_word
-        self.table: dict[str, bytes] = {}
-
-    def joined(self, texts: list[list[str]]) -> list[bytes]:
-        """The concatenated byte strings of each list of words."""
-        table = self.table
-        if len(table) > self.max_words:
-            table.clear()
-        missing: set[str] = set()
-        for words in texts:
-            missing.update(set(words).difference(table))
-        fresh = list(missing)
-        table.update(zip(fresh, self.compute(fresh)))
-        out = [b"".join([table[w] for w in words]) for words in texts]
-        for w in fresh:
-            if len(w) > self.max_word:
-                del table[w]
-        return out
+    """word -> a few numbers, computed once per worker for words that recur.
+
+    ``compute`` maps a list of words to (flat values, how many per word).  The
+    cache is emptied before it would keep more than ``max_words`` words or
+    ``max_values`` values from one call to the next, so a worker's memory is
+    bounded; results never depend on what the cache holds."""
+
+    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype,
+                 max_words: int = 400_000, max_values: int = 4_000_000):
+        self.compute, self.dtype, self.max_words, self.max_values = compute, dtype, max_words, max_values
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers, self.known, self.used = _Numbers(), 0, 0
+        self.starts = np.zeros(1024, np.int64)
+        self.sizes = np.zeros(1024, np.int64)
+        self.values = np.zeros(8192, self.dtype)
+
+    def _learn(self) -> None:
+        flat, sizes = self.compute(self.numbers.fresh)
+        self.numbers.fresh = []
+        n, k = self.known + len(sizes), self.used + len(flat)
+        if n > len(self.sizes):
+            self.starts = np.resize(self.starts, 2 * n)
+            self.sizes = np.resize(self.sizes, 2 * n)
+        if k > len(self.values):
+            self.values = np.resize(self.values, 2 * k)
+        self.sizes[self.known:n] = sizes
+        self.starts[self.known:n] = self.used + np.cumsum(sizes) - sizes
+        self.values[self.used:k] = flat
+        self.known, self.used = n, k
+
+    def lookup(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(the values of all words of all texts in order, how many per text)."""
+        if self.known > self.max_words or self.used > self.max_values:
+            self._clear()
+        number = self.numbers.__getitem__
+        index = np.concatenate([np.zeros(0, np.int64),
+                                *(np.fromiter(map(number, words), np.int64, len(words)) for words in texts)])
+        if self.numbers.fresh:
+            self._learn()
+        sizes = self.sizes[index]
+        ends = np.cumsum(sizes)
+        flat = self.values[np.repeat(self.starts[index] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.cumsum([0, *(len(w) for w in texts)])
+        return flat, np.diff(np.concatenate(([0], ends))[cuts])
 
 
 def slices(texts: list[str], chars: int = 2_000_000) -> Iterable[tuple[int, int]]:
@@ -51,10 +83,6 @@ def slices(texts: list[str], chars: int = 2_000_000) -> Iterable[tuple[int, int]
         yield start, len(texts)
 
 
-def as_longs(parts: list[bytes], width: int, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(p, dtype=dtype).reshape(-1, width) for p in parts]
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (u, v: long).
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epiframe.llm import simhash
+from epiframe.llm import packing, pieces, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,3 +26,20 @@ def op1_simhash_groups(spark, sf_dir):
     """SimHash of 3-word shingles of every document, linked at 2 or fewer differing bits."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return groups.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op7_pieces(spark, sf_dir):
+    """SentencePiece ids of every document by merge rounds, an end id last, decoded again."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_packing(spark, sf_dir):
+    """All documents, cut only where longer than 4096 tokens, packed into sequences of 4096 by linear grouping."""
+    parts = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=4096)
+    return packing.pack(parts, size=4096)
