@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epiframe.llm import packing, pieces, simhash
+from epiframe.llm import language, packing, pieces, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,6 +28,28 @@ def op1_simhash_groups(spark, sf_dir):
     return groups.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def folds(docs, of: int, held: int):
+    """``docs`` plus held_out: whether crc32 of the id as text leaves remainder ``held`` modulo ``of``."""
+    return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == held, F.lit(False)))
+
+
+@query
+def op4_language(spark, sf_dir):
+    """Language of every whole text, learned from the rows of two folds in three."""
+    docs = folds(table(spark, sf_dir, "documents"), 3, 1)
+    model = language.train(docs.where("not held_out"), public_tokenizers.path("piece_bpe_32k.model"))
+    return language.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    """Toxicity of every whole text by weak supervision, labels learned from four folds in five."""
+    docs = folds(table(spark, sf_dir, "documents"), 5, 0)
+    labels = folds(table(spark, sf_dir, "labels"), 5, 0).where("not held_out")
+    scored = toxicity.score_documents(docs, labels, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query
 def op7_pieces(spark, sf_dir):
     """SentencePiece ids of every document by merge rounds, an end id last, decoded again."""
