@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epiframe.llm import language, packing, pieces, simhash, toxicity
+from epiframe.llm import edit_counts, language, packing, pieces, simhash, toxicity
+from epiframe.llm.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,6 +29,26 @@ def op1_simhash_groups(spark, sf_dir):
     return groups.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def edit_log(docs):
+    """Stand-in edits (doc_id, seq, start, stop, insert): three per document, at places a hash picks."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(n).alias("n"), F.max("source").alias("source"))
+    seq = one.withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    start = F.pmod(F.xxhash64("doc_id", "seq"), F.col("n") + 1).cast("int")
+    return seq.select("doc_id", "seq", start.alias("start"),
+                      (start + F.pmod(F.xxhash64("seq", "doc_id"), F.lit(40))).cast("int").alias("stop"),
+                      F.concat(F.lit(" see "), F.coalesce("source", F.lit("note")), F.lit(", \n and")).alias("insert"))
+
+
+@query
+def op3_token_counts(spark, sf_dir):
+    """Tokens of every whole document, and after the edits of a log, by re-encoding only what they touch."""
+    docs = table(spark, sf_dir, "documents")
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    state = cut(edit_counts.trees(docs, ranks, pattern), "trees")
+    return edit_counts.recount(docs, state, edit_log(docs), ranks, pattern)
+
+
 def folds(docs, of: int, held: int):
     """``docs`` plus held_out: whether crc32 of the id as text leaves remainder ``held`` modulo ``of``."""
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == held, F.lit(False)))
