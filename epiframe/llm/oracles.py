@@ -1,3 +1,20 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+_ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '</turn>', '\</turn>'), '### ', '\### ')"
+
+ORACLES["op9_chat_format"] = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, * FROM (VALUES (0, 'user', '\### Assistant: </turn> ok'), (1, 'assistant', '\### Assistant: </turn> ok'))
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       sum(length('### ' || replace({_ESCAPED.format('role')}, ':', '\:') || ': ' || {_ESCAPED.format('text')}
+                  || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epiframe.llm import edit_counts, language, packing, pieces, simhash, toxicity
+from epiframe.llm import chat, edit_counts, language, packing, pieces, simhash, toxicity, url_tree
 from epiframe.llm.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,31 @@ def op8_packing(spark, sf_dir):
     """All documents, cut only where longer than 4096 tokens, packed into sequences of 4096 by linear grouping."""
     parts = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=4096)
     return packing.pack(parts, size=4096)
+
+
+#: The rules of the URL filter: verdict, host, path.
+RULES = [url_tree.Rule("allow", "com", "/"), url_tree.Rule("block", "example.com", "/en/"),
+         url_tree.Rule("allow", "www.example.com", "/en/"), url_tree.Rule("block", "net", "/es/"),
+         url_tree.Rule("block", "net", "/fr/")]
+
+
+@query
+def op10_url_filter(spark, sf_dir):
+    """Verdict on every page url: the longest rule that fits, else its path template's smoothed purity."""
+    return url_tree.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@query
+def op9_chat_format(spark, sf_dir):
+    """Every conversation, and conversation -7 of control strings, formatted and read back.
+
+    Rows by turn are one of the layouts: each row becomes a JSON record, whose
+    fingerprint selects the mapping."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(tricky).alias("text"))
+    rows = rows.unionByName(probe)
+    records = rows.select("conv_id", F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    return chat.digests(chat.format_records(records))
