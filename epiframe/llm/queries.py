@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epiframe.llm import chat, edit_counts, language, packing, pieces, simhash, toxicity, url_tree
+from epiframe.llm import chat, edit_counts, language, packing, pieces, projection_dedup, simhash, toxicity, url_tree
 from epiframe.llm.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,12 @@ def op5_toxicity(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@query
+def op6_embedding_dedup(spark, sf_dir):
+    """Near-duplicate embeddings (cosine >= 0.9) by sorted projection passes."""
+    return projection_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 @query
 def op7_pieces(spark, sf_dir):
     """SentencePiece ids of every document by merge rounds, an end id last, decoded again."""
