@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epiframe.llm import chat, edit_counts, language, packing, pieces, projection_dedup, simhash, toxicity, url_tree
+from epiframe.llm import chat, edit_counts, hnsw, language, packing, pieces, projection_dedup, simhash, toxicity, url_tree
 from epiframe.llm.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,14 @@ def op1_simhash_groups(spark, sf_dir):
     return groups.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+@query
+def op2_nearest(spark, sf_dir):
+    """20 nearest embeddings by inner product of every vec_id divisible by 20, from a graph per shard."""
+    vectors = table(spark, sf_dir, "embeddings")
+    stored = cut(hnsw.index(vectors, k=20), "hnsw")
+    return hnsw.nearest(stored, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def edit_log(docs):
     """Stand-in edits (doc_id, seq, start, stop, insert): three per document, at places a hash picks."""
     n = F.coalesce(F.length("text"), F.lit(0))
