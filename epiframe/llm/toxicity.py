@@ -71,8 +71,8 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     at most ``max_terms`` per kind."""
     rated = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     rated = rated.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).withColumn("h", F.xxhash64("id"))
-    first = rated.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h", "id")))
-    sample = first.where(F.col("k") <= max_rows).select("id", "y")  # at most 2 x max_rows rows
+    first = [rated.where(F.col("y") == y).orderBy("h", "id").limit(max_rows) for y in (0, 1)]
+    sample = cut(first[0].unionByName(first[1]).select("id", "y"), "labels")  # at most 2 x max_rows rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     sketched = F.pandas_udf(lambda t: t.map(sketch), "long")
     single = (texts.join(F.broadcast(sample), "id").select("id", "y", sketched("text").alias("s"))
