@@ -15,12 +15,6 @@ from epiframe.llm.common import cut
 from epiframe.llm.vectors import usable
 
 
-def augment(x: np.ndarray) -> np.ndarray:
-    """One more component that makes all norms equal, so that the inner product orders vectors as their distance does."""
-    norm2 = (x.astype(np.float64) ** 2).sum(axis=1)
-    return np.hstack([x, np.sqrt(np.maximum(norm2.max(initial=0.0) - norm2, 0))[:, None]]).astype(np.float32)
-
-
 def beam(layer: np.ndarray, x: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int):
     """(numbers, scores): up to ``ef`` nearest found from ``entry`` (queries x entries) for all queries in step, best first.
 
@@ -64,7 +58,9 @@ def beam(layer: np.ndarray, x: np.ndarray, queries: np.ndarray, entry: np.ndarra
 
 def choose(x: np.ndarray, node: np.ndarray, cand: np.ndarray, sim: np.ndarray, m: int) -> np.ndarray:
     """Up to ``m`` neighbours per node: nearest first, each nearer to the node
-    than to any chosen before; free places go to the nearest left out."""
+    than to any chosen before; free places go to the nearest left out.  Nearness
+    is the inner product itself, so that vectors of large norm, which are near
+    to many queries, are linked from everywhere."""
     order = np.argsort(-sim, axis=1, kind="stable")
     cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
     v = x[np.maximum(cand, 0)]
@@ -108,7 +104,7 @@ def _link_back(layer: np.ndarray, x: np.ndarray, nodes: np.ndarray) -> None:
 
 
 def build(x: np.ndarray, m: int = 16, ef: int = 64, seed: int = 1, batch: int = 512) -> list[np.ndarray]:
-    """The layers, highest first, of vectors ``x`` (augmented).  A layer of n rows holds the first n vectors.
+    """The layers, highest first, of vectors ``x`` (float32) by inner product.  A layer of n rows holds the first n vectors.
 
     Vectors are in random order, so a prefix is a random part.  Layers are
     built from the top, each by batches that search what is there and one
@@ -169,7 +165,7 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     def make(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("order", kind="stable")
         x = np.array(group["vector"].tolist(), np.float64)
-        layers = build(augment(x), m, ef)
+        layers = build(x.astype(np.float32), m, ef)
         return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "shard": [int(group["shard"].iloc[0])],
                              "members": [[list(i) for i in group["ids"]]], "vectors": [x.tobytes()],
                              "layers": [[y.tobytes() for y in layers]], "widths": [[y.shape[1] for y in layers]]})
@@ -215,12 +211,12 @@ def nearest(index_rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str
 
 def _look(x, layers, members, q, mine, k, ef, some: int = 256):
     """The best ``k`` rows of one shard for each query, some queries at a time."""
-    full = augment(x)
+    full = x.astype(np.float32)
     first = np.array([len(i) for i in members], np.int64)
     flat = np.concatenate([np.asarray(i, np.int64) for i in members])
     start = np.cumsum(first) - first
     for a in range(0, len(q), some):
-        part = np.hstack([q[a:a + some], np.zeros((len(q[a:a + some]), 1))]).astype(np.float32)
+        part = q[a:a + some].astype(np.float32)
         ids, _ = search(layers, full, part, max(ef, k + 1))
         want = min(k + 1, len(x))
         short = (ids >= 0).sum(axis=1) < want
