@@ -1,0 +1,79 @@
+import hashlib
+import json
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from epiframe.llm import chat as C
+from tests.conftest import SF_SMALL
+
+ODD = ["\\", "</turn>", "### ", "#", " ", ":", "\n", "a", "<", "/", "turn>", "### user: ", "é", "\u2028"]
+
+
+def test_turns_read_back_exactly():
+    rng = random.Random(1)
+    for _ in range(5000):
+        turns = [("".join(rng.choice(ODD) for _ in range(rng.randrange(6))), "".join(rng.choice(ODD) for _ in range(rng.randrange(9))))
+                 for _ in range(3)]
+        whole = ""
+        for role, text in turns:
+            formatted, a, b = C.format_turn(role, text)
+            assert C.unescape(formatted[a:b]) == text
+            whole += formatted
+        assert C.parse(whole) == turns
+    with pytest.raises(ValueError):
+        C.parse("### user: x")
+
+
+@pytest.mark.parametrize("record,layout,turns", [
+    ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": None}], "id": 4}, "messages",
+     [("user", "a"), ("assistant", "")]),
+    ({"messages": []}, "messages", []),
+    ({"conversations": [{"from": "human", "value": "x"}, {"from": "gpt", "value": "y"}]}, "from_value",
+     [("user", "x"), ("assistant", "y")]),
+    ({"instruction": "i", "output": "o"}, "instruction", [("user", "i"), ("assistant", "o")]),
+    ({"output": "o", "input": "n", "system": "s", "instruction": "i"}, "instruction",
+     [("system", "s"), ("user", "i"), ("user", "n"), ("assistant", "o")]),
+    ({"prompt": "p", "completion": "c", "meta": {"role": "x"}}, "prompt", [("user", "p"), ("assistant", "c")]),
+    ({"question": "q", "answer": "a", "context": None}, "question", [("user", "q"), ("assistant", "a")]),
+    ({"turn": 3, "role": "user", "text": "t"}, "turn_row", [("user", "t")]),
+    ({"other": 1}, None, []), ([1], None, []), ({}, None, [])])
+def test_layouts(record, layout, turns):
+    assert C.Layouts().turns(record) == (layout, turns)
+
+
+def test_field_order_does_not_change_the_fingerprint():
+    a, b = {"x": {"y": 1, "z": [2]}, "w": None}, {"w": 3, "x": {"z": [5, 6], "y": "q"}}
+    assert C.field_paths(a) == {"x.y", "x.z[]", "w"}
+    assert C.fingerprint(C.field_paths(a)) == C.fingerprint(C.field_paths(b))
+    assert C.fingerprint(C.field_paths(a)) != C.fingerprint({"x.y", "w"})
+
+
+def test_query_matches_sql(spark):
+    from epiframe.llm.oracles import ORACLES
+    from epiframe.llm.queries import QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF_SMALL}/conversations.parquet')")
+    want = con.sql(ORACLES["op9_chat_format"])
+    got = QUERIES["op9_chat_format"](spark, SF_SMALL).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_edges(spark):
+    long = "### </turn>\\" * 30000
+    rows = [(1, json.dumps({"turn": 0, "role": "user", "text": long})), (1, json.dumps({"turn": 1, "role": "assistant", "text": long})),
+            (1, json.dumps({"turn": 1, "role": "assistant", "text": long})), (2, None), (3, "no json"),
+            (4, json.dumps({"turn": None, "role": None, "text": None})), (None, json.dumps({"prompt": "p", "completion": "c"})),
+            (5, json.dumps({"messages": []}))]
+    records = spark.createDataFrame(rows, "conv_id long, record string").withColumn("turn", F.lit("clash")).withColumn("id", F.lit(9))
+    got = {r["conv_id"]: r for r in C.digests(C.format_records(records)).collect()}
+    assert set(got) == {1, 2, 3, 4, None}  # a record without turns has no row
+    assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 2 * len(long)
+    assert got[1]["loss_sha256"] == hashlib.sha256((long * 2).encode()).hexdigest()
+    assert got[2]["n_turns"] == got[3]["n_turns"] == 0 and got[2]["formatted_chars"] == 0
+    assert got[4]["n_turns"] == 1 and got[4]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest()
+    assert got[None]["n_turns"] == 2 and got[None]["loss_chars"] == 1
+    assert C.digests(C.format_records(records.where("false"))).collect() == []

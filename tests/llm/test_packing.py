@@ -1,0 +1,128 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from epiframe.llm import packing
+from epiframe.llm.wordbpe import word_bpe
+
+ODD = ["a", "B", " ", "  ", "\n", "\t", "ing", " the", "'s", "é", "é", "́", "中", "😀", "　", "\x00", "<|endoftext|>",
+       "İ", "Σ", "ς", "\x1c", "\x85", "½", "١", ".", ",", "...", "12"]
+
+
+def library(path):
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return t
+
+
+def test_ids_equal_the_library(word_path):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["", " ", "a" * 3000, "." * 900]
+    flat, sizes = word_bpe(word_path).encode(texts)
+    want = library(word_path).encode_batch(texts, add_special_tokens=False)
+    for text, ids, w in zip(texts, np.split(flat, np.cumsum(sizes)[:-1]), want):
+        assert ids.tolist() == w.ids, text
+
+
+def check_plan(histogram, size):
+    runs, bins = packing.best_plan(histogram, size)
+    used = {x: [] for x in histogram}
+    content = {}
+    for x, rank, first, n, offset in runs:
+        used[x].append((rank, n))
+        for i in range(n):
+            content.setdefault(first + i, []).append((offset, x))
+    for x, n in histogram.items():
+        at = 0
+        for rank, k in sorted(used[x]):
+            assert rank == at
+            at += k
+        assert at == n
+    assert sorted(content) == list(range(bins))
+    for places in content.values():
+        at = 0
+        for offset, x in sorted(places):
+            assert offset == at
+            at += x
+        assert at <= size
+    return bins
+
+
+def best_fit_decreasing(histogram, size):
+    rooms = []
+    for x in sorted(histogram, reverse=True):
+        for _ in range(histogram[x]):
+            fits = [i for i, r in enumerate(rooms) if r >= x]
+            if fits:
+                rooms[min(fits, key=lambda i: rooms[i])] -= x
+            else:
+                rooms.append(size - x)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("low,high,n", [(1, 64, 300), (20, 64, 200), (33, 60, 100), (1, 8, 500), (64, 64, 5)])
+def test_plan_places_everything_and_is_near_best_fit_decreasing(low, high, n):
+    rng = random.Random(n)
+    histogram = {}
+    for _ in range(n):
+        x = rng.randint(low, high)
+        histogram[x] = histogram.get(x, 0) + 1
+    bins = check_plan(histogram, 64)
+    assert bins <= best_fit_decreasing(histogram, 64) * 1.02 + 1
+    assert bins >= -(-sum(x * k for x, k in histogram.items()) // 64)
+
+
+def test_plan_edges():
+    assert packing.plan({}, 64) == ([], 0)
+    assert check_plan({1: 1}, 64) == 1
+    with pytest.raises(ValueError):
+        packing.plan({65: 1}, 64)
+
+
+def check_rows(rows, docs, path, size):
+    tok = library(path)
+    by_doc, bins = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for d in docs:
+        ids = tok.encode(d["text"] or "", add_special_tokens=False).ids + [1]
+        parts = sorted(by_doc.pop(d["doc_id"]), key=lambda r: r["piece"])
+        assert [p["piece"] for p in parts] == list(range(-(-len(ids) // size)))
+        for p in parts:
+            own = ids[p["piece"] * size:(p["piece"] + 1) * size]
+            assert (p["start"], p["length"]) == (p["piece"] * size, len(own))
+            assert p["ids_crc32"] == zlib.crc32(np.array(own, "<u4").tobytes())
+    assert not by_doc
+    for places in bins.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= size
+    return len(bins)
+
+
+def test_query_on_whole_table(spark, word_path):
+    from epiframe.llm.queries import QUERIES
+    from tests.conftest import SF_SMALL
+
+    rows = QUERIES["op8_packing"](spark, SF_SMALL).collect()
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
+    bins = check_rows(rows, docs, word_path, 4096)
+    assert bins <= 1.01 * -(-sum(r["length"] for r in rows) // 4096) + 1
+
+
+def test_small_pieces_nulls_repeats_and_ids(spark, make_docs, word_path):
+    docs = make_docs([None, "", "hello world " * 30, "x", "x", "x"])
+    parts = packing.pieces(docs, word_path, size=16, keep_ids=True)
+    rows = packing.pack(parts, size=16).collect()
+    check_rows(rows, docs.collect(), word_path, 16)
+    assert all(len(r["ids"]) == r["length"] for r in rows)
+    twice = packing.pack(packing.pieces(docs.unionByName(docs), word_path, size=16), size=16).collect()
+    assert len(twice) == 2 * len(rows)
+    assert len({(r["sequence_id"], r["offset"]) for r in twice}) == len(twice)
+    assert packing.pack(packing.pieces(make_docs([]), word_path), 4096).collect() == []
