@@ -153,8 +153,8 @@ def recount(docs: DataFrame, state: DataFrame, edits: DataFrame, ranks_path: str
         F.coalesce("stop", "start", F.lit(0)).cast("int").alias("stop"), F.coalesce("insert", F.lit("")).alias("insert"))
     order = Window.partitionBy("id").orderBy("seq", "start", "stop", "insert")
     log = log.withColumn("k", F.row_number().over(order))
-    log = log.groupBy("id", F.floor((F.col("k") - 1) / EDITS_AT_ONCE).alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("k", "start", "stop", "insert"))).alias("edits"))
+    log = cut(log.groupBy("id", F.floor((F.col("k") - 1) / EDITS_AT_ONCE).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("k", "start", "stop", "insert"))).alias("edits")), "edits")
     parts = 1 + (log.agg(F.max("part")).first()[0] or 0)
 
     def run(batches):
@@ -178,16 +178,20 @@ def recount(docs: DataFrame, state: DataFrame, edits: DataFrame, ranks_path: str
                  pa.array(out["chars_encoded"], pa.int64())],
                 names=["id", "n_tokens", "leaf_tokens", "leaves", "n_edits", "chars_encoded"])
 
+    def with_edits(rows, part):
+        return rows.join(log.where(F.col("part") == part).select("id", "edits"), "id", "left")
+
+    # The first edits meet the small state, not the texts: these are shuffled once.
+    known = with_edits(state, 0).select(F.col("id").alias("_id"), F.col("version").alias("_version"), "n_tokens",
+                                        "leaf_chars", "leaf_tokens", "edits")
     rows = _versions(docs, id_col, text_col).join(
-        state.select(F.col("id").alias("_id"), F.col("version").alias("_version"), "n_tokens", "leaf_chars", "leaf_tokens"),
-        F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
-    rows = rows.select("id", "n_tokens", "text", "leaf_chars", "leaf_tokens", F.lit(None).cast("array<string>").alias("leaves"),
-                       F.lit(0).cast("long").alias("n_edits"), F.lit(0).cast("long").alias("chars_encoded"))
+        known, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
+    rows = rows.withColumns({"leaves": F.lit(None).cast("array<string>"), "n_edits": F.lit(0).cast("long"),
+                             "chars_encoded": F.lit(0).cast("long")})
     kind = rows.schema["id"].dataType.simpleString()
     for part in range(parts):
-        now = log.where(F.col("part") == part).select("id", "edits")
-        rows = rows.join(now, "id", "left").select("id", "n_tokens", "text", "leaf_chars", "leaf_tokens", "leaves",
-                                                   "edits", "n_edits", "chars_encoded")
+        rows = (with_edits(rows, part) if part else rows).select(
+            "id", "n_tokens", "text", "leaf_chars", "leaf_tokens", "leaves", "edits", "n_edits", "chars_encoded")
         rows = rows.mapInArrow(run, f"id {kind}, n_tokens long, leaf_tokens array<int>, leaves array<string>, "
                                     "n_edits long, chars_encoded long")
         rows = rows.select("id", "n_tokens", F.lit("").alias("text"), F.array().cast("array<int>").alias("leaf_chars"),
