@@ -55,8 +55,16 @@ class WordCache:
         self.values[self.used:k] = flat
         self.known, self.used = n, k
 
+    #: The cache used last; another one's use empties it, so a worker that runs
+    #: several operators after one another holds one cache at a time.
+    last: "WordCache | None" = None
+
     def lookup(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(the values of all words of all texts in order, how many per text)."""
+        if WordCache.last is not self:
+            if WordCache.last is not None:
+                WordCache.last._clear()
+            WordCache.last = self
         if self.known > self.max_words or self.used > self.max_values:
             self._clear()
         number = self.numbers.__getitem__
