@@ -5,8 +5,8 @@ inside the scan stage and run one small grouped aggregate keyed by column
 (or column pair), so a profile is a single pass with map-side partial
 aggregation and the expanded rows are never shuffled.  Table-wide counts
 (E1, E3, E8) are one aggregate reshaped to one row per column.  Quantiles
-use ``percentile_approx`` (bounded memory; exact on inputs smaller than its
-accuracy), skewness and kurtosis are the population (moment) forms, the
+are exact at any size (the value at rank ceil(p * n), from stored counts),
+skewness and kurtosis are the population (moment) forms, the
 standard deviation is the sample one.  NaN counts as missing.
 """
 
@@ -14,12 +14,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from epiframe.functions.numeric import pearson
-from epiframe.operators.ranking import grouped_average_ranks
+from epiframe.functions.numeric import finite, pearson
+from epiframe.operators.ranking import grouped_average_ranks, grouped_quantiles
 from epiframe.session import materialise
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-QUANTILE_ACCURACY = 100_000
+QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def _num(c: str):
@@ -80,23 +80,23 @@ def _name(columns: list[str], idx: str = "_k"):
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per numeric column — count, missing, zeros, negatives, min, max,
     mean, std, p25, p50, p75, skewness, kurtosis (excess).  One grouped
-    aggregate over the unpivoted values, one group per column."""
+    aggregate over the unpivoted values, one group per column; the exact
+    quantiles come from the counts per value (NaN counts as missing)."""
     columns = columns or numeric_columns(df)
+    df = materialise(df.select(*[_num(c).alias(c) for c in columns]), "profile_numeric")
     x = F.col("_x")
     stats = (_long(df, columns).groupBy("_k").agg(
         F.count(x).alias("n"), F.sum(F.when(x.isNull(), 1).otherwise(0)).cast("bigint").alias("n_missing"),
         F.sum(F.when(x == 0, 1).otherwise(0)).cast("bigint").alias("n_zeros"),
         F.sum(F.when(x < 0, 1).otherwise(0)).cast("bigint").alias("n_negative"),
         F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.percentile_approx(x, 0.25, QUANTILE_ACCURACY).alias("p25"),
-        F.percentile_approx(x, 0.5, QUANTILE_ACCURACY).alias("p50"),
-        F.percentile_approx(x, 0.75, QUANTILE_ACCURACY).alias("p75"),
         F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis")))
+    quantiles = grouped_quantiles(_long(df, columns), "_k", "_x", QUANTILES)
     # every column gets a row, also on an empty input (the key list is
     # bounded by the number of columns)
     keys = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("_k"))
     counts = {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in ("n", "n_missing", "n_zeros", "n_negative")}
-    return (F.broadcast(keys).join(stats, "_k", "left")
+    return (F.broadcast(keys).join(stats, "_k", "left").join(F.broadcast(quantiles), "_k", "left")
             .select(_name(columns).alias("column_name"), *counts.values(), "min", "max",
                     "mean", "std", "p25", "p50", "p75", "skewness", "kurtosis"))
 
@@ -124,19 +124,23 @@ def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:
     """Equal-width bins over [min, max] per column: (column_name, bin, lo,
     hi, freq) for non-empty bins; the max falls in the last bin, a constant
-    column in bin 0.  Two passes: min/max per column, then (column, bin)
+    column in bin 0.  Infinite values have no bin: they are counted apart, in
+    rows with a NULL bin whose lo and hi are that infinity.  Two passes: min/max per column, then (column, bin)
     counts; the per-column bounds table has one row per column."""
     columns = columns or numeric_columns(df)
     long = _long(df, columns).filter(F.col("_x").isNotNull())
-    bounds = long.groupBy("_k").agg(F.min("_x").alias("_lo"),
-                                    ((F.max("_x") - F.min("_x")) / F.lit(float(bins))).alias("_w"))
+    fin = finite("_x")
+    bounds = long.groupBy("_k").agg(F.min(fin).alias("_lo"),
+                                    ((F.max(fin) - F.min(fin)) / F.lit(float(bins))).alias("_w"))
     x, lo, w = F.col("_x"), F.col("_lo"), F.col("_w")
-    b = F.when(w == 0, F.lit(0)).otherwise(F.least(F.floor((x - lo) / w).cast("int"), F.lit(bins - 1)))
-    return (long.join(F.broadcast(bounds), "_k").withColumn("bin", b)
-            .groupBy("_k", "bin").agg(F.count(F.lit(1)).alias("freq"), F.first("_lo").alias("_lo"),
-                                      F.first("_w").alias("_w"))
-            .select(_name(columns).alias("column_name"), "bin", (lo + F.col("bin") * w).alias("lo"),
-                    (lo + (F.col("bin") + 1) * w).alias("hi"), "freq"))
+    b = F.when(fin.isNull(), F.lit(None)).when(w == 0, F.lit(0)).otherwise(F.least(F.floor((x - lo) / w).cast("int"), F.lit(bins - 1)))
+    odd = F.when(fin.isNull(), x)
+    edge = F.col("_odd")
+    return (long.join(F.broadcast(bounds), "_k").withColumn("bin", b).withColumn("_odd", odd)
+            .groupBy("_k", "bin", "_odd").agg(F.count(F.lit(1)).alias("freq"), F.first("_lo").alias("_lo"),
+                                              F.first("_w").alias("_w"))
+            .select(_name(columns).alias("column_name"), "bin", F.coalesce(edge, lo + F.col("bin") * w).alias("lo"),
+                    F.coalesce(edge, lo + (F.col("bin") + 1) * w).alias("hi"), "freq"))
 
 
 def _pairs_long(df: DataFrame, prefix: str, pairs: list[tuple[int, int]]) -> DataFrame:
@@ -199,3 +203,31 @@ def report(df: DataFrame, top_columns: list[str] | None = None, k: int = 5,
         "missing": missing(df),
         "correlations": correlations(df, numeric) if len(numeric) >= 2 else None,
     }
+
+
+def flat_report(sections: dict[str, DataFrame | None], places: int = 6) -> DataFrame:
+    """A report as one long table (section, column_name, item, text, number):
+    every cell of every section, numbers rounded to ``places`` in ``number``,
+    other values in ``text``.  A section's own keys (a value's rank, a bin, the
+    second column of a pair) are part of ``item``."""
+    keys = {"top_values": ["rank"], "histogram": ["bin"], "correlations": ["column_b"]}
+    parts = []
+    for name, df in sections.items():
+        if df is None:
+            continue
+        first = "column_a" if name == "correlations" else "column_name"
+        own = keys.get(name, [])
+        cells = []
+        for f in df.schema.fields:
+            if f.name in (first, *own):
+                continue
+            c, number = F.col(f"`{f.name}`"), isinstance(f.dataType, NUMERIC)
+            item = F.concat_ws(" ", F.lit(f.name), *[F.coalesce(F.col(k).cast("string"), F.lit("none")) for k in own])
+            cells.append(F.struct(item.alias("item"), (F.lit(None) if number else c).cast("string").alias("text"),
+                                  (F.round(c.cast("double"), places) if number else F.lit(None).cast("double")).alias("number")))
+        column = F.col(first) if first in df.columns else F.lit("")
+        parts.append(df.select(F.lit(name).alias("section"), column.alias("column_name"), F.inline(F.array(*cells))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -1,16 +1,21 @@
 """Exact global positions and ranks without a single-partition window.
 
 ``Window.orderBy(...)`` with no partition moves every row into one task.
-Instead: range-partition on the order keys (sampled bounds, balanced),
-take running sums inside each range partition, then add the totals of all
-earlier partitions.  The offsets table has one row per partition — bounded
-by the partition count, never by the data — so broadcasting it is safe.
+Instead: range-partition on the order keys (sampled bounds, balanced), store
+the rows with their partition number, take running sums inside each
+partition, then add the totals of all earlier partitions.  The numbers must be
+stored: two plans over the same range exchange may sample different bounds, so
+rows and totals both read the files.  The offsets table has one row per
+partition — bounded by the partition count, never by the data — so
+broadcasting it is safe.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from epiframe.session import materialise
+
 
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -24,10 +29,10 @@ def prefix_sum_before(df: DataFrame, order: list, weight, name: str,
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.withColumn("_w", _as_col(weight))
               .repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id()))
-    local = ranged.withColumn(
-        "_before", F.coalesce(F.sum("_w").over(Window.partitionBy("_pid").orderBy(*cols)
-                                               .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    totals = local.groupBy("_pid").agg(F.sum("_w").alias("_tot"))
+    stored = materialise(ranged, "ranks")
+    inside = Window.partitionBy("_pid").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = stored.withColumn("_before", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    totals = stored.groupBy("_pid").agg(F.sum("_w").alias("_tot"))
     offsets = totals.select(
         "_pid", F.coalesce(F.sum("_tot").over(Window.orderBy("_pid")
                                               .rowsBetween(Window.unboundedPreceding, -1)),
@@ -44,19 +49,33 @@ def global_row_number(df: DataFrame, order: list, name: str = "row_index",
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 
-def grouped_average_ranks(long: DataFrame, group: str, value: str, name: str = "rank") -> DataFrame:
-    """(group, value, average rank of value within its group) for long-format
-    input — e.g. many columns unpivoted to (column, value) — in one pass:
-    counts per (group, value), one global prefix sum over (group, value),
-    minus the number of rows of all earlier groups.  The per-group offsets
-    table has one row per group (a column of a profile), so its window and
-    broadcast are bounded by the number of groups."""
+def grouped_counts(long: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, n, before, total) for long-format input — e.g. many
+    columns unpivoted to (column, value): how often a non-null value occurs in
+    its group, how many of the group's rows are smaller, and how many there
+    are.  Counts per (group, value), one global prefix sum over (group, value),
+    minus the rows of all earlier groups.  The per-group table has one row per
+    group (a column of a profile), so its window and broadcast are bounded by
+    the number of groups."""
     counts = (long.filter(F.col(value).isNotNull()).groupBy(group, value)
-              .agg(F.count(F.lit(1)).alias("_c")))
-    before = prefix_sum_before(counts, [group, value], "_c", "_b")
-    group_totals = counts.groupBy(group).agg(F.sum("_c").alias("_gt"))
-    group_offsets = group_totals.select(
-        group, F.coalesce(F.sum("_gt").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)),
-                          F.lit(0)).alias("_go"))
-    return (before.join(F.broadcast(group_offsets), group)
-            .select(group, value, (F.col("_b") - F.col("_go") + (F.col("_c") + F.lit(1)) / F.lit(2.0)).alias(name)))
+              .agg(F.count(F.lit(1)).alias("n")))
+    counts = prefix_sum_before(counts, [group, value], "n", "before")
+    totals = counts.groupBy(group).agg(F.sum("n").cast("bigint").alias("total"), F.min("before").alias("_first"))
+    return (counts.join(F.broadcast(totals), group)
+            .select(group, value, "n", (F.col("before") - F.col("_first")).cast("bigint").alias("before"), "total"))
+
+
+def grouped_average_ranks(long: DataFrame, group: str, value: str, name: str = "rank") -> DataFrame:
+    """(group, value, average rank of value within its group)."""
+    counts = grouped_counts(long, group, value)
+    return counts.select(group, value, (F.col("before") + (F.col("n") + F.lit(1)) / F.lit(2.0)).alias(name))
+
+
+def grouped_quantiles(long: DataFrame, group: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(group, one column per quantile): the value at rank ceil(p * n) of its
+    group, exact at any size."""
+    counts = grouped_counts(long, group, value)
+    at = {name: F.greatest(F.ceil(F.col("total") * F.lit(float(p))), F.lit(1)) for name, p in quantiles.items()}
+    return counts.groupBy(group).agg(*[
+        F.max(F.when((F.col("before") < r) & (F.col("before") + F.col("n") >= r), F.col(value))).alias(name)
+        for name, r in at.items()])
