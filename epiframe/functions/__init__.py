@@ -4,10 +4,10 @@ Spark functions, so it stays inside whole-stage codegen."""
 from epiframe.functions.keys import key_equals, norm
 from epiframe.functions.numeric import (
     coerce_date, coerce_double, coerce_long, expm1, finite, log1p, pct_label,
-    pearson, safe_ratio, zero_if_null,
+    pearson, safe_ratio,
 )
 
 __all__ = [
     "norm", "key_equals", "safe_ratio", "coerce_long", "coerce_double", "coerce_date",
-    "zero_if_null", "log1p", "expm1", "finite", "pct_label", "pearson",
+    "log1p", "expm1", "finite", "pct_label", "pearson",
 ]

@@ -21,7 +21,8 @@ def safe_ratio(num, den, scale: float | None = None) -> Column:
 
 
 def coerce_long(c) -> Column:
-    return _col(c).try_cast("bigint")
+    """A whole number; other numbers (7.5, 1e6) lose their fraction, what is no number is NULL."""
+    return F.coalesce(_col(c).try_cast("bigint"), _col(c).try_cast("double").try_cast("bigint"))
 
 
 def coerce_double(c) -> Column:
@@ -32,10 +33,6 @@ def coerce_date(c) -> Column:
     return _col(c).try_cast("date")
 
 
-def zero_if_null(c) -> Column:
-    return F.coalesce(_col(c), F.lit(0))
-
-
 def log1p(c) -> Column:
     """ln(1 + x); NULL for x <= -1 (Spark returns NULL there)."""
     return F.log1p(_col(c))
@@ -52,8 +49,8 @@ def finite(c) -> Column:
 
 
 def pct_label(c) -> Column:
-    """Two-decimal percent label, e.g. 12.34%."""
-    return F.format_string("%.2f%%", _col(c))
+    """Two-decimal percent label, e.g. 12.34%; NULL for NULL."""
+    return F.when(_col(c).isNotNull(), F.format_string("%.2f%%", _col(c)))
 
 
 def pearson(x, y) -> Column:

@@ -93,12 +93,12 @@ def daily_sum_active(df: DataFrame, value: str = "cases_since_prev_day", date: s
 
 
 def daily_sum_window(df: DataFrame, start: str, end: str, value: str = "cases_since_prev_day",
-                     date: str = "date") -> DataFrame:
+                     date: str = "date", month_directory: str | None = None) -> DataFrame:
     """A11 restricted to a closed date window.  On a stored table the
     range predicate reaches the Parquet reader (row-group skipping, and
     directory pruning on the month layout); on a panel derived with a lag
     window it is applied after the window, which needs the earlier rows."""
-    return daily_sum_active(in_date_range(df, start, end, date), value, date)
+    return daily_sum_active(in_date_range(df, start, end, date, month_directory), value, date)
 
 
 def top_k(df: DataFrame, by: str, k: int, entity: str = "country_region") -> DataFrame:

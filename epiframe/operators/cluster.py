@@ -3,14 +3,12 @@
 ``lloyd`` (default) is deterministic and independent of partitioning:
 seeds are the rows at ranks floor((2i+1)n/(2k)) in the order (features,
 entity) — found with an exact distributed rank, not a one-task sort —
-then a fixed maximum number of rounds of: squared distance to each centre,
+then rounds, until no centre moves, of: squared distance to each centre,
 argmin (ties to the lowest centre id), mean per label.  A centre that loses
 all members keeps its position.  Features, centres and distances are
 rounded to 9 places so summation order cannot flip a tie.  Only the k
 centres (k <= 10) travel to the driver between rounds, like any k-means.
 
-``ml`` uses ``pyspark.ml.clustering.KMeans`` for very large entity counts.
-
 Labels are canonical: 0..k-1 by ascending centre (first feature, then
 second).  The features frame is written to the shared checkpoint folder
 before iterating, so a lost executor does not replay the lineage.
@@ -87,19 +85,23 @@ def canonical(centres: list[tuple[float, float]]) -> dict[int, int]:
     return {old: new for new, old in enumerate(order)}
 
 
-def lloyd(feats: DataFrame, k: int = 3, rounds: int = 10, entity: str = "country_region"):
-    """Returns (labels DataFrame(entity, f0, f1, cluster), final centres)."""
+def lloyd(feats: DataFrame, k: int = 3, max_rounds: int = 1000, entity: str = "country_region"):
+    """Returns (labels DataFrame(entity, f0, f1, cluster), final centres), at
+    the fixed point: rounds go on until no centre moves.  Not reaching it
+    within ``max_rounds`` is an error, never a silent cut."""
     if not K_MIN <= k <= K_MAX:
         raise ValueError(f"k must be in [{K_MIN}, {K_MAX}], got {k}")
     feats = materialise(feats, "kmeans_features")
     centres = seeds(feats, k, entity)
     if not centres:
         return assign(feats, [(0.0, 0.0)]).limit(0), []
-    for _ in range(rounds):
+    for _ in range(max_rounds):
         new = update(assign(feats, centres), centres)
         if new == centres:
             break
         centres = new
+    else:
+        raise RuntimeError(f"centres still move after {max_rounds} rounds")
     relabel = canonical(centres)
     mapping = F.create_map(*[F.lit(x) for kv in relabel.items() for x in kv])
     labelled = assign(feats, centres).withColumn("cluster", mapping[F.col("cluster")].cast("int"))
@@ -115,17 +117,3 @@ def one_step(feats: DataFrame, k: int, entity: str = "country_region") -> DataFr
             .agg(F.count(F.lit(1)).alias("members"),
                  F.round(F.avg("f0"), PLACES).alias("c0"), F.round(F.avg("f1"), PLACES).alias("c1")))
 
-
-def kmeans_ml(feats: DataFrame, k: int = 3, seed: int = 42, max_iter: int = 100) -> DataFrame:
-    """M2 via pyspark.ml; labels are made canonical the same way."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    if not K_MIN <= k <= K_MAX:
-        raise ValueError(f"k must be in [{K_MIN}, {K_MAX}], got {k}")
-    vec = VectorAssembler(inputCols=["f0", "f1"], outputCol="_v").transform(feats)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="cluster").fit(vec)
-    centres = [tuple(float(v) for v in c) for c in model.clusterCenters()]
-    relabel = canonical(centres)
-    mapping = F.create_map(*[F.lit(x) for kv in relabel.items() for x in kv])
-    return model.transform(vec).drop("_v").withColumn("cluster", mapping[F.col("cluster")].cast("int"))

@@ -15,22 +15,15 @@ def for_entity(df: DataFrame, value: str, entity: str = "country_region") -> Dat
     return df.filter(key_equals(entity, value))
 
 
-IN_LIST_MAX = 1000
-
-
 def select_entities(df: DataFrame, selection: list[str] | None,
                     entity: str = "country_region") -> DataFrame:
     """P10: keep rows whose entity is in the selection; empty selection = all.
-    A short list is a literal IN-set (pushed to the Parquet reader when the
-    column is stored as-is); a long one
-    becomes a left-semi join, which the planner broadcasts by its size."""
+    A literal IN-set at any length (a hash set in the filter, pushed to the
+    Parquet reader when the column is stored as-is): no join, no shuffle, and
+    the columns stay as they are.  The selection is a driver-side list."""
     if not selection:
         return df
-    picked = list(dict.fromkeys(selection))
-    if len(picked) <= IN_LIST_MAX:
-        return df.filter(F.col(entity).isin(picked))
-    keys = df.sparkSession.createDataFrame([(k,) for k in picked], f"`{entity}` string")
-    return df.join(keys, entity, "left_semi")
+    return df.filter(F.col(entity).isin(list(dict.fromkeys(selection))))
 
 
 def active_rows(df: DataFrame, value: str = "cases_since_prev_day") -> DataFrame:
@@ -38,18 +31,16 @@ def active_rows(df: DataFrame, value: str = "cases_since_prev_day") -> DataFrame
     return df.filter(F.col(value).isNotNull() & (F.col(value) > 0))
 
 
-MONTH = "month"
-
-
-def in_date_range(df: DataFrame, start: str, end: str, date: str = "date") -> DataFrame:
-    """Closed range start <= date <= end with literal dates.  On a
-    month-partitioned layout (a ``month`` column, see
-    ``warehouse.write_clustered``) the equivalent month predicate is added so
-    whole directories are pruned."""
+def in_date_range(df: DataFrame, start: str, end: str, date: str = "date",
+                  month_directory: str | None = None) -> DataFrame:
+    """Closed range start <= date <= end with literal dates.  On a layout
+    in month directories (``warehouse.write_clustered``) name the directory
+    column: the equivalent month predicate then prunes whole directories.  No
+    column is taken for one by its name."""
     lo_d, hi_d = _dt.date.fromisoformat(start), _dt.date.fromisoformat(end)
     cond = F.col(date).between(F.lit(lo_d), F.lit(hi_d))
-    if MONTH in df.columns:
-        cond = cond & F.col(MONTH).between(F.lit(lo_d.replace(day=1)), F.lit(hi_d.replace(day=1)))
+    if month_directory:
+        cond = cond & F.col(month_directory).between(F.lit(lo_d.replace(day=1)), F.lit(hi_d.replace(day=1)))
     return df.filter(cond)
 
 

@@ -105,7 +105,7 @@ def forecast(hist: DataFrame, horizon: int = HORIZON_DEFAULT, entity: str = "cou
 
 
 def _check_horizon(h: int) -> None:
-    if not 1 <= h <= 3660:
+    if h < 1:
         raise ValueError(f"horizon must be a positive number of days, got {h}")
 
 
@@ -116,7 +116,7 @@ FORECAST_SCHEMA = ("{entity} string, ds date, yhat double, yhat_lower double, yh
 
 
 def _changepoint_fit(pdf, horizon: int, n_changepoints: int, changepoint_range: float,
-                     changepoint_penalty: float, seasonality_penalty: float, entity: str):
+                     changepoint_penalty: float, seasonality_penalty: float, entity: str, seasons: dict):
     """Fit one entity's series (pandas, bounded by its number of dates)."""
     import numpy as np
     import pandas as pd
@@ -141,8 +141,8 @@ def _changepoint_fit(pdf, horizon: int, n_changepoints: int, changepoint_range:
     cps = t[np.linspace(0, int((n - 1) * changepoint_range), k + 2).astype(int)[1:-1]] if k else np.array([])
     cols = [np.ones_like(t), t] + [np.maximum(t - c, 0.0) for c in cps]
     penalties = [0.0, 0.0] + [changepoint_penalty] * len(cps)
-    for period, order in ((7.0, 3), (365.25, 10)):
-        if days[n - 1] >= period:           # only seasonalities the history covers
+    for season, period, order in (("weekly", 7.0, 3), ("yearly", 365.25, 10)):
+        if seasons[season] == "on" or seasons[season] == "auto" and days[n - 1] >= period:
             for j in range(1, order + 1):
                 arg = 2.0 * np.pi * j * days / period
                 cols += [np.sin(arg), np.cos(arg)]
@@ -154,7 +154,8 @@ def _changepoint_fit(pdf, horizon: int, n_changepoints: int, changepoint_range:
     beta = np.linalg.lstsq(A, b, rcond=None)[0] * scale
     fit = X @ beta
     sigma = float(np.std(y - fit[:n]))
-    spread = Z80 * sigma
+    ahead = np.maximum(days - days[n - 1], 0.0) / span  # the band widens with the distance from the history
+    spread = Z80 * sigma * np.sqrt(1.0 + ahead)
     out["yhat"] = fit
     out["yhat_lower"] = fit - spread
     out["yhat_upper"] = fit + spread
@@ -163,12 +164,14 @@ def _changepoint_fit(pdf, horizon: int, n_changepoints: int, changepoint_range:
 
 def forecast_changepoints(hist: DataFrame, horizon: int = HORIZON_DEFAULT, entity: str = "country_region",
                           n_changepoints: int = 25, changepoint_range: float = 0.8,
-                          changepoint_penalty: float = 0.01, seasonality_penalty: float = 0.1) -> DataFrame:
+                          changepoint_penalty: float = 0.01, seasonality_penalty: float = 0.1,
+                          weekly: str = "auto", yearly: str = "auto") -> DataFrame:
     """M7 (level 2): per entity, least squares with a piecewise-linear trend
     (ridge-penalised slope changes at up to ``n_changepoints`` points in the
     first ``changepoint_range`` of the history) plus weekly and yearly
-    Fourier terms (only when the history spans the period), and an 80 %
-    band from the residual spread.  Rows: every history date and
+    Fourier terms — each ``"on"``, ``"off"`` or ``"auto"`` (on if the entity's
+    history spans the period) — and an 80 % band from the residual spread,
+    which widens with the distance from the history.  Rows: every history date and
     ``horizon`` future days, as ``forecast``.
 
     Runs as ``groupBy(entity).applyInPandas``: one shuffle by entity, each
@@ -176,11 +179,14 @@ def forecast_changepoints(hist: DataFrame, horizon: int = HORIZON_DEFAULT, entit
     with numpy inside the task."""
     _check_horizon(horizon)
     require_columns(hist, entity, "ds", "y")
+    seasons = {"weekly": weekly, "yearly": yearly}
+    if not set(seasons.values()) <= {"on", "off", "auto"}:
+        raise ValueError(f"weekly and yearly must be on, off or auto, got {seasons}")
     schema = FORECAST_SCHEMA.format(entity=entity)
     rows = hist.select(F.col(entity).cast("string").alias(entity), "ds", F.col("y").cast("double"))
 
     def fit(pdf):
         return _changepoint_fit(pdf, horizon, n_changepoints, changepoint_range,
-                                changepoint_penalty, seasonality_penalty, entity)
+                                changepoint_penalty, seasonality_penalty, entity, seasons)
 
     return rows.groupBy(entity).applyInPandas(fit, schema)

@@ -7,6 +7,7 @@ that is unset (local runs, tests) do we pick a temporary folder and set it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,12 +47,17 @@ def scale_settings(input_bytes: int, target_partition_bytes: int = 256 * MB,
     }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "epiframe", extra: dict | None = None) -> SparkSession:
-    builder = (SparkSession.builder.master(master).appName(app_name)
+    """A session with the settings above.  The master and the number of
+    shuffle partitions are left to spark-submit unless given."""
+    builder = (SparkSession.builder.appName(app_name)
                .config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false")
-               .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
+               .config("spark.ui.showConsoleProgress", "false"))
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in {**SCALE_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -61,13 +67,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only if unset."""
+    """Return the session's checkpoint folder.  Where none is set, a temporary
+    one will do if everything runs on this machine (a ``local`` master); on a
+    cluster executors could not share it, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="epiframe-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

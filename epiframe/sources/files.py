@@ -1,7 +1,8 @@
 """File sources and sinks.
 
-Every reader takes an explicit schema; CSV numbers arrive as strings and are
-coerced with ``try_cast`` (bad value -> NULL), never inferred.
+CSV columns are picked by header name, whatever their order; a missing name is
+an error.  Their values arrive as strings and are coerced with ``try_cast``
+(bad value -> NULL), never inferred.
 """
 
 from __future__ import annotations
@@ -29,31 +30,36 @@ def read_panel(spark: SparkSession, path: str, fmt: str = "parquet", **options)
     return reader.load(path) if path else reader.load()
 
 
-def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return (spark.read.schema(schema).option("header", True).option("encoding", "UTF-8")
-            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+def _csv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """The named columns as strings.  Only the header line names columns, so
+    no schema is imposed by position."""
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8")
+           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    return raw.select(*[F.col(f"`{n}`") for n in names])
 
 
 def read_population(spark: SparkSession, path: str) -> DataFrame:
     """Population CSV -> (country, dim_key, continent, population,
     population_2020, area_km2, density_published).  Numbers are coerced
     (bad -> NULL, P4); ``dim_key`` is the normalised name (P3)."""
-    raw = _csv(spark, path, schemas.POPULATION_CSV)
+    raw = _csv(spark, path, ["Country/Territory", "Continent", "2022 Population", "2020 Population",
+                             "Area (km²)", "Density (per km²)"])
     return raw.select(
         F.col("`Country/Territory`").alias("country"),
         norm(F.col("`Country/Territory`")).alias("dim_key"),
         F.col("Continent").alias("continent"),
-        coerce_long(F.regexp_replace(F.trim(F.col("`2022 Population`")), r"\.0+$", "")).alias("population"),
-        coerce_long(F.regexp_replace(F.trim(F.col("`2020 Population`")), r"\.0+$", "")).alias("population_2020"),
-        coerce_long(F.regexp_replace(F.trim(F.col("`Area (km²)`")), r"\.0+$", "")).alias("area_km2"),
+        coerce_long(F.trim(F.col("`2022 Population`"))).alias("population"),
+        coerce_long(F.trim(F.col("`2020 Population`"))).alias("population_2020"),
+        coerce_long(F.trim(F.col("`Area (km²)`"))).alias("area_km2"),
         coerce_double(F.col("`Density (per km²)`")).alias("density_published"),
     )
 
 
-def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """S3: name-mapping CSV -> (src_key, dim_key), both normalised.  The two
-    columns are read by position (fact-table name, dimension name)."""
-    return mapping_keys(_csv(spark, path, schemas.MAPPING_CSV))
+def read_mapping(spark: SparkSession, path: str, source: str = "source_name",
+                 target: str = "target_name") -> DataFrame:
+    """S3: name-mapping CSV -> (src_key, dim_key), both normalised.  ``source``
+    and ``target`` are the headers of the fact table's and the dimension's names."""
+    return mapping_keys(_csv(spark, path, [source, target]), source, target)
 
 
 def mapping_keys(raw: DataFrame, src: str = "source_name", dst: str = "target_name") -> DataFrame:
@@ -65,10 +71,7 @@ def read_enriched(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     carries the published header names, renamed back here."""
     if fmt == "parquet":
         return spark.read.schema(schemas.ENRICHED).parquet(path)
-    import pyspark.sql.types as T
-    csv_schema = T.StructType([T.StructField(schemas.ENRICHED_CSV_NAMES[f.name], T.StringType(), True)
-                               for f in schemas.ENRICHED.fields])
-    raw = _csv(spark, path, csv_schema)
+    raw = _csv(spark, path, [schemas.ENRICHED_CSV_NAMES[f.name] for f in schemas.ENRICHED.fields])
     return raw.select(*[
         (F.col(f"`{schemas.ENRICHED_CSV_NAMES[f.name]}`") if f.dataType.typeName() == "string"
          else F.col(f"`{schemas.ENRICHED_CSV_NAMES[f.name]}`").try_cast(f.dataType)).alias(f.name)

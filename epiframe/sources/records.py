@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 
 def to_records(df: DataFrame, alias: str = "record") -> DataFrame:
-    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias(alias))
-
+    """Every field of every row, NULL fields as ``null``."""
+    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias(alias))
 
 
 def parse_records(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:

@@ -95,11 +95,6 @@ def test_history_coercion(spark):
     assert [(str(r.ds), r.y) for r in rows] == [("2020-01-01", 4.0), ("2020-01-02", 0.0)]
 
 
-def test_ml_path_runs(spark):
-    out = km.kmeans_ml(km.features(_totals(spark)), 3)
-    assert out.select(F.countDistinct("cluster")).first()[0] <= 3 and out.count() == 60
-
-
 def test_actuals_overlay_join_and_carried(spark):
     from epiframe.operators.joins import overlay_actuals
     base = dt.date(2021, 3, 1)

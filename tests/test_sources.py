@@ -74,7 +74,7 @@ def test_x1_from_csv_files_to_csv_and_profile(spark, tmp_dir):
         [("Czechia", dt.date(2020, 1, 1), 10, 1, None, None), ("Czechia", dt.date(2020, 1, 2), 30, None, 20, None),
          ("Korea, Republic of", dt.date(2020, 1, 1), 5, 0, None, None), ("Atlantis", dt.date(2020, 1, 1), 1, 1, None, None)],
         "country_region string, date date, cases long, deaths long, cases_since_prev_day long, population long")
-    enriched = enrich(panel, read_population(spark, pop), read_mapping(spark, mp))
+    enriched = enrich(panel, read_population(spark, pop), read_mapping(spark, mp, "a", "b"))
     out = write_csv(enriched, os.path.join(tmp_dir, "enriched"))
     back = read_enriched(spark, out, "csv")
     rows = {r.country_region: r for r in back.collect()}
