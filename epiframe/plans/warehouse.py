@@ -29,13 +29,16 @@ def use_database(spark: SparkSession, name: str) -> None:
 def save_table(df: DataFrame, path: str, name: str | None = None, mode: str = "overwrite",
                partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet at ``path`` (optionally register ``name``) and
-    return the table read back, so downstream plans start from the files."""
+    return the table read back, so downstream plans start from the files.  A
+    table of that name is replaced (``CREATE OR REPLACE``): only its catalog
+    entry goes, its files are external."""
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     spark = df.sparkSession
     if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
         spark.catalog.createTable(name, path=path, source="parquet")
         if partition_by:
             # the catalog tracks partitions of an external table: register
@@ -72,8 +75,9 @@ def write_clustered(df: DataFrame, path: str, keys: list[str] | None = None,
     date predicate skips the rest via Parquet min/max statistics.  With
     ``month_of`` the files are also laid out in ``month=`` directories (the
     first day of the month of that date column), which a date-range query
-    prunes without opening any footer (``filters.in_date_range`` adds the
-    month predicate).  Without an explicit ``files`` count AQE sizes the
+    prunes without opening any footer (``filters.in_date_range`` with
+    ``month_directory`` adds the month predicate); the table read back has that
+    directory column too.  ``month_of=None`` keeps the table's own columns.  Without an explicit ``files`` count AQE sizes the
     partitions from the data; a hot key range is split across files because
     the sort keys continue past the first one."""
     keys = keys or ["date", "country_region"]
@@ -130,7 +134,7 @@ def describe_table(spark: SparkSession, name: str) -> DataFrame:
 
 def build(panel: DataFrame, root: str, database: str | None = None) -> dict[str, DataFrame]:
     """The warehouse build, in order — full copy (S10), pruned copy
-    laid out clustered by (date, country) with month directories (S13),
+    laid out clustered by (date, country) with its own five columns (S13),
     active rows (S12) from that layout, and the three materialised
     aggregates (S14-S16).  Each table is written under ``root`` (and
     registered in ``database`` when given); returns them read back."""
@@ -139,7 +143,7 @@ def build(panel: DataFrame, root: str, database: str | None = None) -> dict[str,
 
     full = table_copy(panel, f"{root}/panel_full", name("panel_full"))
     pruned = write_clustered(full.select(*PRUNED_COLUMNS), f"{root}/panel_pruned",
-                             name=name("panel_pruned"))
+                             name=name("panel_pruned"), month_of=None)
     active = active_copy(pruned, f"{root}/panel_active", name("panel_active"))
     return {
         "panel_full": full,

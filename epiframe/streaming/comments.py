@@ -6,23 +6,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from epiframe.plans.comments import prepare, read_store
+from epiframe.plans.comments import BUCKET, prepare, read_store
 from epiframe.schemas import COMMENT_IN
 
 
 def start_ingest(spark: SparkSession, source_dir: str, store_path: str, checkpoint: str,
-                 files_per_trigger: int = 1, every: str | None = None) -> StreamingQuery:
-    """Start ingestion; ``every`` keeps it running on a processing-time
+                 bytes_per_trigger: str | None = None, every: str | None = None) -> StreamingQuery:
+    """Start ingestion, all new files or about ``bytes_per_trigger`` of them
+    in a micro-batch; ``every`` keeps it running on a processing-time
     trigger, ``None`` ingests what is there now and stops."""
-    stream = spark.readStream.schema(COMMENT_IN).option("maxFilesPerTrigger", files_per_trigger).json(source_dir)
-    writer = (prepare(stream).writeStream.format("parquet").outputMode("append")
+    reader = spark.readStream.schema(COMMENT_IN)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    stream = reader.json(source_dir)
+    writer = (prepare(stream).writeStream.format("parquet").outputMode("append").partitionBy(BUCKET)
               .option("path", store_path).option("checkpointLocation", checkpoint))
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
 
 
 def ingest(spark: SparkSession, source_dir: str, store_path: str, checkpoint: str,
-           files_per_trigger: int = 1) -> DataFrame:
+           bytes_per_trigger: str | None = None) -> DataFrame:
     """Ingest everything available now; returns the store read back."""
-    start_ingest(spark, source_dir, store_path, checkpoint, files_per_trigger).awaitTermination()
+    start_ingest(spark, source_dir, store_path, checkpoint, bytes_per_trigger).awaitTermination()
     return read_store(spark, store_path)

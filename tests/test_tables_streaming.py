@@ -40,7 +40,7 @@ def test_clustered_layout_prunes(spark, tmp_dir):
     from epiframe.operators.filters import in_date_range
     panel = fx.panel(spark, SF_SMALL)
     laid = wh.write_clustered(panel, os.path.join(tmp_dir, "clustered"), files=4)
-    q = in_date_range(laid, "1996-01-01", "1996-06-30")
+    q = in_date_range(laid, "1996-01-01", "1996-06-30", month_directory="month")
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(date), GreaterThanOrEqual(date,1996-01-01)" in plan
     assert "PartitionFilters: [isnotnull(month" in plan
@@ -49,28 +49,59 @@ def test_clustered_layout_prunes(spark, tmp_dir):
     assert "month" not in flat.columns
 
 
-def test_long_selection_is_a_semi_join(spark):
+def test_a_month_column_of_the_table_is_no_directory(spark):
+    from epiframe.operators.filters import in_date_range
+    rows = [(dt.date(2020, 1, 5), dt.date(2019, 7, 1)), (dt.date(2020, 2, 5), dt.date(2020, 1, 1))]
+    df = spark.createDataFrame(rows, "date date, month date")
+    assert [tuple(r) for r in in_date_range(df, "2020-01-01", "2020-01-31").collect()] == rows[:1]
+
+
+def test_selection_keeps_columns_at_any_length(spark):
     from epiframe.operators.filters import select_entities
-    panel = fx.panel(spark, SF_SMALL)
+    panel = fx.panel(spark, SF_SMALL).select("date", "country_region", "cases")
+    assert select_entities(panel, ["NATION_0"]).columns == panel.columns
     many = [f"NATION_{i}" for i in range(3)] + [f"x{i}" for i in range(2000)]
     out = select_entities(panel, many)
-    assert "LeftSemi" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == panel.columns
     assert out.count() == panel.filter(F.col("country_region").isin("NATION_0", "NATION_1", "NATION_2")).count()
 
 
 def test_stream_equals_batch(spark, tmp_dir):
     panel = fx.panel(spark, SF_SMALL)
     src = os.path.join(tmp_dir, "in")
-    panel.repartitionByRange(4, "date").write.parquet(src)
+    panel.repartitionByRange(4, "date").write.parquet(src)  # several files, one micro-batch each below
     body = lambda s: wh.new_stats_state(active_rows(s))
     streamed = run_complete_aggregate(spark, src, schemas.PANEL, body, os.path.join(tmp_dir, "out"),
-                                      os.path.join(tmp_dir, "ckpt"))
+                                      os.path.join(tmp_dir, "ckpt"), bytes_per_trigger="1")
+    assert spark.read.parquet(os.path.join(tmp_dir, "out")).select("_epoch").distinct().count() == 2
     assert _sorted(streamed) == _sorted(body(panel))
     daily = run_complete_aggregate(spark, src, schemas.PANEL, lambda s: wh.daily_new_body(active_rows(s)),
                                    os.path.join(tmp_dir, "out2"), os.path.join(tmp_dir, "ckpt2"))
     assert _sorted(daily) == _sorted(wh.daily_new_body(active_rows(panel)))
 
 
+def test_upkeep_rerun_and_new_files(spark, tmp_dir):
+    panel = fx.panel(spark, SF_SMALL)
+    early, late = panel.filter("date < '1997-01-01'"), panel.filter("date >= '1997-01-01'")
+    src, out, ck = (os.path.join(tmp_dir, n) for n in ("in", "out", "ck"))
+    early.write.parquet(src)
+    run = lambda: _sorted(run_complete_aggregate(spark, src, schemas.PANEL, wh.deaths_body, out, ck))
+    want = _sorted(wh.deaths_body(early))
+    assert run() == want
+    assert run() == want  # nothing new: the snapshot stays
+    late.write.mode("append").parquet(src)
+    assert run() == _sorted(wh.deaths_body(panel))
+    assert run() == _sorted(wh.deaths_body(panel))
+
+
+def test_comment_lookups_open_only_their_directories(spark, tmp_dir):
+    store = cm.add_comments(fx.comments(spark, SF_SMALL).drop("timestamp"), os.path.join(tmp_dir, "store"))
+    for df in (cm.comments_for_key(store, " NATION_3 "), cm.comments_for_keys(store, ["Nation_1", " NATION_2"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+        assert cm.BUCKET not in df.columns
+
+
 def test_comments_round_trip(spark, tmp_dir):
     c = fx.comments(spark, SF_SMALL).drop("timestamp")
     store = cm.add_comments(c, os.path.join(tmp_dir, "store"))
@@ -129,7 +160,10 @@ def test_warehouse_build_x4(spark, tmp_dir):
     t = wh.build(panel, os.path.join(tmp_dir, "wh"), db)
     assert {r.tableName for r in wh.list_tables(spark, db).collect()} == set(t)
     assert t["panel_full"].count() == panel.count()
-    assert "month" in t["panel_pruned"].columns
+    assert t["panel_pruned"].columns == t["panel_active"].columns == wh.PRUNED_COLUMNS
+    t = wh.build(panel.filter("date >= '1996-01-01'"), os.path.join(tmp_dir, "wh2"), db)  # replaces every table
+    assert spark.table(f"{db}.panel_full").count() == panel.filter("date >= '1996-01-01'").count()
+    t = wh.build(panel, os.path.join(tmp_dir, "wh"), db)
     assert _sorted(t["agg_total_deaths"]) == _sorted(wh.deaths_body(panel))
     assert _sorted(t["agg_new_case_stats"]) == _sorted(wh.new_stats_state(act(panel)))
     assert _sorted(spark.table(f"{db}.agg_daily_new_cases")) == _sorted(wh.daily_new_body(act(panel)))
