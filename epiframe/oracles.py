@@ -7,10 +7,8 @@ semantics directly in SQL.
 
 from __future__ import annotations
 
-from epiframe.operators.forecast import Z80
 from epiframe.queries import (
-    COMMENT_KEY, FANOUT, FETCH_KEYS, HORIZON, K, ONE_COUNTRY, ROUNDS, SELECTION, TOP_VALUE_COLUMNS,
-    WINDOW_END, WINDOW_START,
+    COMMENT_KEY, FANOUT, FETCH_KEYS, HORIZON, K, ONE_COUNTRY, SELECTION, WINDOW_END, WINDOW_START,
 )
 
 P = """
@@ -85,6 +83,11 @@ def _lit(s: str) -> str:
 
 ORACLES: dict[str, str] = {}
 
+# Rounds of the unrolled k-means below; the centres stand still well before.
+ROUNDS = 25
+# Two-sided 80 % quantile of the normal distribution.
+Z80 = 1.2815515594600038
+
 ORACLES["enrich_countries"] = f"WITH {X1} SELECT {r6(X1_DOUBLES)} FROM x1"
 ORACLES["unmatched_countries"] = f"""WITH {X1}
 SELECT country_region, country_key FROM mapped
@@ -127,29 +130,27 @@ ORACLES.update({
 
 
 def _waves_sql(src: str) -> str:
-    """Run-level SQL for UP+ PLATEAU* DOWN+ over ``src``(country_region, date, x)."""
+    """UP+ PLATEAU* DOWN+ over ``src``(country_region, date, x) as a regular
+    expression over one letter per row: a wave starts at an U after no U, ends
+    at the next D before no D, and all letters between must match."""
     return f"""
 c AS (
-  SELECT country_region, date, x,
-         CASE WHEN x IS NULL OR LAG(x) OVER w IS NULL THEN 'NONE'
-              WHEN x > LAG(x) OVER w THEN 'UP' WHEN x = LAG(x) OVER w THEN 'PLATEAU' ELSE 'DOWN' END AS k
+  SELECT country_region, date, x, ROW_NUMBER() OVER w AS i,
+         CASE WHEN x IS NULL OR LAG(x) OVER w IS NULL THEN 'N'
+              WHEN x > LAG(x) OVER w THEN 'U' WHEN x = LAG(x) OVER w THEN 'P' ELSE 'D' END AS k
   FROM {src} WINDOW w AS (PARTITION BY country_region ORDER BY date)),
-ch AS (
-  SELECT *, CASE WHEN k IS NOT DISTINCT FROM LAG(k) OVER w THEN 0 ELSE 1 END AS chg
-  FROM c WINDOW w AS (PARTITION BY country_region ORDER BY date)),
-r AS (SELECT *, SUM(chg) OVER (PARTITION BY country_region ORDER BY date ROWS UNBOUNDED PRECEDING) AS run FROM ch),
-g AS (SELECT country_region, run, MAX(k) AS k, MIN(date) AS d0, MAX(date) AS d1, SUM(x) AS s, MAX(x) AS mx
-      FROM r GROUP BY 1, 2),
-l AS (
-  SELECT *, LAG(k, 1) OVER w AS k1, LAG(k, 2) OVER w AS k2, LAG(d0, 1) OVER w AS a1, LAG(d0, 2) OVER w AS a2,
-         LAG(s, 1) OVER w AS s1, LAG(s, 2) OVER w AS s2, LAG(mx, 1) OVER w AS m1, LAG(mx, 2) OVER w AS m2
-  FROM g WINDOW w AS (PARTITION BY country_region ORDER BY run))
-SELECT country_region,
-       CASE WHEN k1 = 'UP' THEN a1 ELSE a2 END AS wave_start_date,
-       d1 AS wave_end_date,
-       CAST(CASE WHEN k1 = 'UP' THEN s + s1 ELSE s + s1 + s2 END AS BIGINT) AS total_cases_in_wave,
-       CASE WHEN k1 = 'UP' THEN greatest(mx, m1) ELSE greatest(mx, m1, m2) END AS peak_cases_in_wave
-FROM l WHERE k = 'DOWN' AND (k1 = 'UP' OR (k1 = 'PLATEAU' AND k2 = 'UP'))"""
+s AS (SELECT country_region, string_agg(k, '' ORDER BY i) AS letters FROM c GROUP BY 1),
+edge AS (SELECT c.*, s.letters, k = 'U' AND (i = 1 OR letters[i - 1] <> 'U') AS starts,
+                k = 'D' AND (i = length(letters) OR letters[i + 1] <> 'D') AS ends
+         FROM c JOIN s USING (country_region)),
+pair AS (SELECT *, MIN(CASE WHEN ends THEN i END) OVER (PARTITION BY country_region ORDER BY i
+                       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS j FROM edge),
+wave AS (SELECT country_region, i, j FROM pair
+         WHERE starts AND j IS NOT NULL AND regexp_full_match(letters[i:j], 'U+P*D+'))
+SELECT wave.country_region, MIN(c.date) AS wave_start_date, MAX(c.date) AS wave_end_date,
+       CAST(SUM(c.x) AS BIGINT) AS total_cases_in_wave, MAX(c.x) AS peak_cases_in_wave
+FROM wave JOIN c ON c.country_region = wave.country_region AND c.i BETWEEN wave.i AND wave.j
+GROUP BY wave.country_region, wave.i"""
 
 
 ORACLES.update({
@@ -332,33 +333,32 @@ def _union(parts: list[str]) -> str:
     return "\nUNION ALL ".join(parts)
 
 
-def _numeric_sql(c: str) -> str:
+def _numeric_sql(c: str, src: str = "x1", places: int = 6) -> str:
     x = f"CAST({c} AS DOUBLE)"
     return f"""SELECT '{c}' AS column_name, COUNT({x}) AS n,
         CAST(SUM(CASE WHEN {x} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
         CAST(SUM(CASE WHEN {x} = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_zeros,
         CAST(SUM(CASE WHEN {x} < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative,
-        round(MIN({x}), 6) AS min, round(MAX({x}), 6) AS max, round(AVG({x}), 6) AS mean,
-        round(STDDEV_SAMP({x}), 6) AS std,
-        round(quantile_disc({x}, 0.25), 6) AS p25, round(quantile_disc({x}, 0.5), 6) AS p50,
-        round(quantile_disc({x}, 0.75), 6) AS p75,
+        round(MIN({x}), {places}) AS min, round(MAX({x}), {places}) AS max, round(AVG({x}), {places}) AS mean,
+        round(STDDEV_SAMP({x}), {places}) AS std,
+        round(quantile_disc({x}, 0.25), {places}) AS p25, round(quantile_disc({x}, 0.5), {places}) AS p50,
+        round(quantile_disc({x}, 0.75), {places}) AS p75,
         round(CASE WHEN VAR_POP({x}) = 0 THEN NULL
-                   ELSE AVG(POWER({x} - (SELECT AVG(CAST({c} AS DOUBLE)) FROM x1), 3)) / POWER(VAR_POP({x}), 1.5) END, 6) AS skewness,
+                   ELSE AVG(POWER({x} - (SELECT AVG(CAST({c} AS DOUBLE)) FROM {src}), 3)) / POWER(VAR_POP({x}), 1.5) END, {places}) AS skewness,
         round(CASE WHEN VAR_POP({x}) = 0 THEN NULL
-                   ELSE AVG(POWER({x} - (SELECT AVG(CAST({c} AS DOUBLE)) FROM x1), 4)) / POWER(VAR_POP({x}), 2) - 3 END, 6) AS kurtosis
-        FROM x1"""
+                   ELSE AVG(POWER({x} - (SELECT AVG(CAST({c} AS DOUBLE)) FROM {src}), 4)) / POWER(VAR_POP({x}), 2) - 3 END, {places}) AS kurtosis
+        FROM {src}"""
 
 
-def _hist_sql(c: str) -> str:
+def _hist_sql(c: str, src: str = "x1") -> str:
     x = f"CAST({c} AS DOUBLE)"
     return f"""SELECT '{c}' AS column_name, b AS bin, round(lo + b * w, 6) AS lo, round(lo + (b + 1) * w, 6) AS hi, COUNT(*) AS freq
         FROM (SELECT CASE WHEN w = 0 THEN 0 ELSE LEAST(CAST(FLOOR(({x} - lo) / w) AS INTEGER), 9) END AS b, lo, w
-              FROM x1, (SELECT MIN({x}) AS lo, (MAX({x}) - MIN({x})) / 10.0 AS w FROM x1) s WHERE {x} IS NOT NULL)
+              FROM {src}, (SELECT MIN({x}) AS lo, (MAX({x}) - MIN({x})) / 10.0 AS w FROM {src}) s WHERE {x} IS NOT NULL)
         GROUP BY b, lo, w"""
 
 
-def _corr_sql() -> str:
-    cols = X1_NUMERIC
+def _corr_sql(cols: list[str] = X1_NUMERIC, src: str = "x1") -> str:
     num = ", ".join(f"CAST({c} AS DOUBLE) AS c{i}" for i, c in enumerate(cols))
     complete = " AND ".join(f"c{i} IS NOT NULL" for i in range(len(cols)))
     ranks = ", ".join(f"rank() OVER (ORDER BY c{i}) + (COUNT(*) OVER (PARTITION BY c{i}) - 1) / 2.0 AS r{i}"
@@ -372,12 +372,12 @@ def _corr_sql() -> str:
             parts.append(f"""SELECT '{a}' AS column_a, '{b}' AS column_b,
                 CASE WHEN isnan({pe}) THEN NULL ELSE round({pe}, 6) END AS pearson,
                 CASE WHEN isnan({sp}) THEN NULL ELSE round({sp}, 6) END AS spearman""")
-    return f"""num AS (SELECT {num} FROM x1), rk AS (SELECT {ranks} FROM num WHERE {complete})
+    return f"""num AS (SELECT {num} FROM {src}), rk AS (SELECT {ranks} FROM num WHERE {complete})
         {_union(parts)}"""
 
 
 _TOPV = _union([f"""SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS freq
-                   FROM p WHERE {c} IS NOT NULL GROUP BY 2""" for c in TOP_VALUE_COLUMNS])
+                   FROM p WHERE {c} IS NOT NULL GROUP BY 2""" for c in P_COLS])
 _MISSING = _union([f"""SELECT '{c}' AS column_name, CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
                       round(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) * 100.0 / COUNT(*), 6) AS pct_missing FROM p"""
                    for c in P_COLS])
@@ -406,17 +406,87 @@ ORACLES.update({
 ORACLES.update({
     "chart_history_json": f"""WITH {P}, s AS ({_HIST_ONE})
         SELECT CAST(to_json(struct_pack(ds := ds, y := y)) AS VARCHAR) AS record FROM s""",
-    "list_tables": """SELECT * FROM (VALUES ('panel_full', FALSE), ('panel_pruned', FALSE),
-        ('panel_active', FALSE)) t(tableName, isTemporary)""",
-    "describe_table": """SELECT * FROM (VALUES ('date', 'date', CAST(NULL AS VARCHAR)),
-        ('country_region', 'string', NULL), ('cases_since_prev_day', 'bigint', NULL),
-        ('deaths', 'bigint', NULL), ('population', 'bigint', NULL)) t(col_name, data_type, comment)""",
 })
 
-ORACLES["warehouse_build"] = f"""WITH {P}, act AS (SELECT * FROM p {_ACTIVE})
-SELECT 'panel_full' AS table_name, COUNT(*) AS n_rows FROM p
-UNION ALL SELECT 'panel_pruned', COUNT(*) FROM p
-UNION ALL SELECT 'panel_active', COUNT(*) FROM act
-UNION ALL SELECT 'agg_daily_new_cases', COUNT(DISTINCT date) FROM act
-UNION ALL SELECT 'agg_total_deaths', (SELECT COUNT(*) FROM (SELECT DISTINCT country_region FROM p))
-UNION ALL SELECT 'agg_new_case_stats', (SELECT COUNT(*) FROM (SELECT DISTINCT country_region FROM act))"""
+
+_BUILT = {
+    "panel_full": ("country_region,date,cases,deaths,cases_since_prev_day,population", "cases", "p"),
+    "panel_pruned": (f"date,country_region,{_NEW},deaths,population", _NEW, "p"),
+    "panel_active": (f"date,country_region,{_NEW},deaths,population", _NEW, "act"),
+    "agg_daily_new_cases": ("date,total_new_cases", "t", f"(SELECT SUM({_NEW}) AS t FROM act GROUP BY date)"),
+    "agg_total_deaths": ("country_region,total_deaths", "t", "(SELECT SUM(deaths) AS t FROM p GROUP BY country_region)"),
+    "agg_new_case_stats": ("country_region,sum_new_cases,n_new_cases,max_new_cases,min_new_cases", "t",
+                           f"(SELECT SUM({_NEW}) AS t FROM act GROUP BY country_region)"),
+}
+ORACLES["warehouse_build"] = f"WITH {P}, act AS (SELECT * FROM p {_ACTIVE}) " + _union([
+    f"SELECT '{t}' AS table_name, '{cols}' AS columns, COUNT(*) AS n_rows, CAST(SUM({c}) AS BIGINT) AS total FROM {src}"
+    for t, (cols, c, src) in _BUILT.items()])
+
+# Files with bad, fractional and missing numbers: the dimension as it must read back.
+_X1_FILES = X1.replace("d AS (", "d0 AS (", 1).replace("""GROUP BY 1) ds ON n.n_nationkey = ds.s_nationkey)""", """GROUP BY 1) ds ON n.n_nationkey = ds.s_nationkey),
+d AS (SELECT * REPLACE (CASE upper(trim(country)) WHEN 'NATION_5' THEN NULL WHEN 'NATION_6' THEN NULL
+                             WHEN 'NATION_8' THEN 1000000 ELSE population_2020 END AS population_2020) FROM d0)""", 1)
+
+_P_NUM = ["cases", "deaths", _NEW, "population"]
+_P_TEXT = ["country_region", "date"]
+_P_TYPES = dict(zip(P_COLS, ["string", "date", "bigint", "bigint", "bigint", "bigint"]))
+
+
+def _cells(section: str, rows: str, numbers: list[str], texts: list[str] = (), key: str = "", column: str = "column_name") -> str:
+    """The cells of one report section (see ``flat_report``)."""
+    item = f" || ' ' || coalesce(CAST({key} AS VARCHAR), 'none')" if key else ""
+    return _union([f"SELECT '{section}' AS section, {column} AS column_name, '{c}'{item} AS item, "
+                   + (f"CAST({c} AS VARCHAR) AS text, CAST(NULL AS DOUBLE) AS number" if c in texts
+                      else f"CAST(NULL AS VARCHAR), round(CAST({c} AS DOUBLE), 6)") + f" FROM ({rows}) r" for c in [*texts, *numbers]])
+
+
+def _report_sql() -> str:
+    info = _union([f"SELECT '{c}' AS column_name, '{t}' AS data_type, COUNT({c}) AS non_null, {i} AS position FROM p"
+                   for i, (c, t) in enumerate(_P_TYPES.items())])
+    top = _union([f"""SELECT '{c}' AS column_name, value, freq, rank, n_distinct, n_values FROM (
+        SELECT CAST({c} AS VARCHAR) AS value, COUNT(*) AS freq, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, CAST({c} AS VARCHAR)) AS rank,
+               COUNT(*) OVER () AS n_distinct, SUM(COUNT(*)) OVER () AS n_values
+        FROM p WHERE {c} IS NOT NULL GROUP BY 1) WHERE rank <= 5""" for c in _P_TEXT])
+    numeric = _union([_numeric_sql(c, "p") for c in _P_NUM])
+    hist = _union([_hist_sql(c, "p") for c in _P_NUM])
+    overview = ORACLES["profile_overview"].split("SELECT COUNT(*) AS n_rows", 1)[1]
+    corr_with, corr_rows = _corr_sql(_P_NUM, "p").split("\n", 1)
+    return f"WITH {P}, {corr_with} " + _union([
+        _cells("info", info, ["non_null", "position"], ["data_type"]),
+        _cells("overview", "SELECT COUNT(*) AS n_rows" + overview, ["n_rows", "n_columns", "missing_cells", "duplicate_rows"], column="''"),
+        _cells("numeric", numeric, ["n", "n_missing", "n_zeros", "n_negative", "min", "max", "mean", "std", "p25", "p50", "p75",
+                                    "skewness", "kurtosis"]),
+        _cells("top_values", top, ["freq", "n_distinct", "n_values"], ["value"], key="rank"),
+        _cells("histogram", hist, ["lo", "hi", "freq"], key="bin"),
+        _cells("missing", _MISSING, ["n_missing", "pct_missing"]),
+        _cells("correlations", corr_rows, ["pearson", "spearman"], key="column_b", column="column_a")])
+
+
+_PRICE = "CAST(o_totalprice AS DOUBLE)"
+ORACLES.update({
+    "warehouse_active": f"WITH {P} {_PRUNED} {_ACTIVE}",
+    "view_new_stats_ordered": ORACLES["view_new_stats"],
+    "view_daily_new_ordered": ORACLES["view_daily_new"],
+    "view_top_deaths": ORACLES["top_deaths"],
+    "cluster_customers": f"""WITH {_CUST}, {_features_sql('ct')}, {_lloyd_sql(ROUNDS)}
+        SELECT l.cluster, COUNT(*) AS members, round(round(avg(f0), 6), 5) AS c0, round(round(avg(f1), 6), 5) AS c1
+        FROM a_{ROUNDS} a JOIN lab l USING (cid) GROUP BY 1""",
+    "profile_report": _report_sql(),
+    "profile_order_prices": _numeric_sql("o_totalprice", "orders", 4),
+    "rank_orders": f"""SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY {_PRICE}, o_orderkey) - 1 AS position,
+        RANK() OVER (ORDER BY {_PRICE}) + (COUNT(*) OVER (PARTITION BY {_PRICE}) - 1) / 2.0 AS avg_rank FROM orders""",
+    "histogram_infinite": f"""WITH x AS (
+          SELECT CASE o_orderkey % 50 WHEN 1 THEN 'infinity'::DOUBLE WHEN 2 THEN '-infinity'::DOUBLE WHEN 3 THEN NULL ELSE {_PRICE} END AS price FROM orders),
+        f AS (SELECT price FROM x WHERE isfinite(price)), h AS ({_hist_sql('price', 'f').replace(', 6)', ', 4)')})
+        SELECT * FROM h UNION ALL
+        SELECT 'price', NULL, price, price, COUNT(*) FROM x WHERE isinf(price) GROUP BY price""",
+    "metric_labels": f"""WITH {X1} SELECT country_region, CASE WHEN cases_per_km2 IS NULL THEN NULL
+        ELSE printf('%.2f%%', round(cases_per_km2, 2)) END AS label FROM x1""",
+    "panel_records": f"WITH {P} SELECT CAST(to_json(p) AS VARCHAR) AS record FROM p",
+    "enriched_csv": f"WITH {_X1_FILES} SELECT {r6(X1_DOUBLES)} FROM x1",
+    "history_coerced": f"""WITH {P} SELECT country_region, date AS ds,
+        CASE WHEN day(date) IN (1, 2) THEN 0 ELSE CAST(cases AS DOUBLE) END AS y FROM p WHERE day(date) <> 31""",
+    "forecast_changepoints": f"""WITH {P} SELECT country_region, COUNT(*) + {HORIZON} AS n_rows, CAST({HORIZON} AS BIGINT) AS n_future,
+        MIN(date) AS first_ds, CAST(MAX(date) + {HORIZON} AS DATE) AS last_ds, TRUE AS band_ordered, TRUE AS residuals_cancel,
+        TRUE AS band_widens FROM p GROUP BY 1""",
+})

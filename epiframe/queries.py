@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from epiframe import fixtures as fx
 from epiframe import schemas
+from epiframe.functions.numeric import pct_label
 from epiframe.operators import aggregates as agg
 from epiframe.operators import cluster as km
 from epiframe.operators import filters as flt
@@ -21,11 +22,13 @@ from epiframe.operators import forecast as fc
 from epiframe.operators import profile as pf
 from epiframe.operators import regression as rg
 from epiframe.operators import waves as wv
+from epiframe.operators.ranking import global_row_number, grouped_average_ranks
 from epiframe.plans import charts
 from epiframe.plans import comments as cm
 from epiframe.plans import enrichment
 from epiframe.plans import warehouse as wh
 from epiframe.session import materialise, work_dir
+from epiframe.sources.files import read_enriched, read_mapping, read_population, read_table, write_csv
 from epiframe.sources.records import to_records
 from epiframe.streaming.comments import ingest
 from epiframe.streaming.upkeep import run_complete_aggregate
@@ -249,7 +252,7 @@ def clustered_window(spark, sf):
     """S13 + A13 on P: the date-window query over the clustered, month-partitioned layout."""
     root = work_dir(spark, "clustered")
     laid_out = wh.write_clustered(_active(spark, sf, root), f"{root}/clustered")
-    return agg.daily_sum_window(laid_out, WINDOW_START, WINDOW_END)
+    return agg.daily_sum_window(laid_out, WINDOW_START, WINDOW_END, month_directory=wh.MONTH)
 
 
 @query
@@ -274,11 +277,32 @@ def view_new_stats(spark, sf):
     return rounded(wh.new_stats_read(state))
 
 
+@query
+def view_new_stats_ordered(spark, sf):
+    """Read of the stored S16 state: statistics by average, largest first (A7's order)."""
+    root = work_dir(spark, "view_new_stats_ordered")
+    state = wh.save_view(wh.new_stats_state(_active(spark, sf, root)), f"{root}/mv")
+    return rounded(wh.new_stats_read(state).orderBy(F.desc_nulls_last("avg_new_cases"), "country_region"))
+
+
+@query
+def view_daily_new_ordered(spark, sf):
+    """O2 on the stored S14 view: the daily series in date order."""
+    root = work_dir(spark, "view_daily_new_ordered")
+    return wh.save_view(wh.daily_new_body(_active(spark, sf, root)), f"{root}/mv").orderBy(F.asc_nulls_last("date"))
+
+
+@query
+def view_top_deaths(spark, sf):
+    """O3 on the stored S15 view: ten countries with most deaths, ties by name."""
+    root = work_dir(spark, "view_top_deaths")
+    return agg.top_k(wh.save_view(wh.deaths_body(_pruned(spark, sf, root)), f"{root}/mv"), "total_deaths", 10)
+
+
 def _stream(spark, sf, name, body):
-    """Stage P as several files (micro-batches in date order), then keep the
-    aggregate current with the streaming job."""
+    """Stage P as files, then keep the aggregate current with the streaming job."""
     root = work_dir(spark, name)
-    (fx.panel(spark, sf).repartitionByRange(4, "date").write.parquet(f"{root}/in"))
+    fx.panel(spark, sf).write.parquet(f"{root}/in")
     return run_complete_aggregate(spark, f"{root}/in", schemas.PANEL, body, f"{root}/out", f"{root}/ckpt")
 
 
@@ -301,26 +325,14 @@ def stream_new_stats(spark, sf):
     return rounded(wh.new_stats_read(state))
 
 
-def _catalog(spark, sf):
-    root = work_dir(spark, "catalog")
-    db = wh.create_database(spark, f"epiframe_{uuid.uuid4().hex[:10]}", f"{root}/db")
-    panel = fx.panel(spark, sf)
-    wh.table_copy(panel, f"{root}/panel_full", f"{db}.panel_full")
-    pruned = wh.pruned_copy(panel, f"{root}/panel_pruned", f"{db}.panel_pruned")
-    wh.active_copy(pruned, f"{root}/panel_active", f"{db}.panel_active")
-    return db
-
-
-@query
-def list_tables(spark, sf):
-    """S17 + S18 on P: tables of a created database after writing three copies."""
-    return wh.list_tables(spark, _catalog(spark, sf)).select("tableName", "isTemporary")
-
-
 @query
-def describe_table(spark, sf):
-    """S19 on P: columns and types of the pruned copy."""
-    return wh.describe_table(spark, f"{_catalog(spark, sf)}.panel_pruned")
+def warehouse_active(spark, sf):
+    """X4 + S17: the build run twice into one database (tables are replaced), the active table read by name."""
+    root = work_dir(spark, "warehouse_active")
+    db = wh.create_database(spark, f"epiframe_{uuid.uuid4().hex[:10]}", f"{root}/db")
+    for _ in range(2):
+        wh.build(fx.panel(spark, sf), root, db)
+    return spark.table(f"{db}.panel_active")
 
 
 # --- S6-S9, T2: comments --------------------------------------------------------------
@@ -371,7 +383,7 @@ def comments_selected(spark, sf):
 def stream_comments(spark, sf):
     """T2 on C staged as JSON files: streaming ingestion into the comment store."""
     root = work_dir(spark, "stream_comments")
-    fx.comments(spark, sf).drop("timestamp").repartition(4).write.json(f"{root}/in")
+    fx.comments(spark, sf).drop("timestamp").write.json(f"{root}/in")
     return ingest(spark, f"{root}/in", f"{root}/store", f"{root}/ckpt").select(*_COMMENT_OUT)
 
 
@@ -379,7 +391,6 @@ def stream_comments(spark, sf):
 
 
 K = 3
-ROUNDS = 10
 
 
 def _country_features(spark, sf):
@@ -391,7 +402,7 @@ def _customer_features(spark, sf):
 
 
 def _country_labels(spark, sf):
-    labels, _ = km.lloyd(_country_features(spark, sf), K, ROUNDS)
+    labels, _ = km.lloyd(_country_features(spark, sf), K)
     return labels
 
 
@@ -420,9 +431,11 @@ def chart_clusters(spark, sf):
 
 
 @query
-def cluster_ml(spark, sf):
-    """M2 on customer totals via pyspark.ml KMeans, canonical labels."""
-    return km.kmeans_ml(_customer_features(spark, sf), K).select("country_region", "cluster")
+def cluster_customers(spark, sf):
+    """M2 + M3 on customer totals: Lloyd k-means at its fixed point, members and centre per label."""
+    labels, _ = km.lloyd(_customer_features(spark, sf), K)
+    return rounded(labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.round(F.avg("f0"), 6).alias("c0"),
+                                                 F.round(F.avg("f1"), 6).alias("c1")), 5)
 
 
 @query
@@ -501,9 +514,6 @@ def chart_forecast(spark, sf):
 # --- E1-E8 ----------------------------------------------------------------------------------
 
 
-TOP_VALUE_COLUMNS = ["country_region", "date", "deaths"]
-
-
 @query
 def profile_info(spark, sf):
     """E1 on X1: type and non-null count per column."""
@@ -524,8 +534,83 @@ def profile_numeric(spark, sf):
 
 @query
 def profile_top_values(spark, sf):
-    """E5 on P: most frequent values per column with distinct counts."""
-    return pf.top_values(fx.panel(spark, sf), TOP_VALUE_COLUMNS, 5)
+    """E5 on P: most frequent values of every column with distinct counts."""
+    panel = fx.panel(spark, sf)
+    return pf.top_values(panel, panel.columns, 5)
+
+
+@query
+def profile_report(spark, sf):
+    """E2 on P: every section of the report as (section, column_name, item, text, number)."""
+    return pf.flat_report(pf.report(fx.panel(spark, sf)))
+
+
+@query
+def profile_order_prices(spark, sf):
+    """E4 on all orders: moments, extremes and exact quantiles of the total price."""
+    return rounded(pf.numeric_summary(read_table(spark, sf, "orders"), ["o_totalprice"]), 4)
+
+
+@query
+def rank_orders(spark, sf):
+    """Global position and average rank of every order by total price (the ranks of E7 and of M2's seeds)."""
+    orders = read_table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"),
+                                                    F.lit(0).alias("k"))
+    placed = global_row_number(orders, ["price", "o_orderkey"], "position")
+    ranks = grouped_average_ranks(orders, "k", "price", "avg_rank")
+    return placed.join(ranks, ["k", "price"]).select("o_orderkey", "position", "avg_rank")
+
+
+@query
+def histogram_infinite(spark, sf):
+    """E6 on all orders with some infinite values: finite values binned, infinities counted apart."""
+    price = (F.when(F.col("o_orderkey") % 50 == 1, F.lit(float("inf"))).when(F.col("o_orderkey") % 50 == 2, F.lit(float("-inf")))
+             .when(F.col("o_orderkey") % 50 == 3, F.lit(None)).otherwise(F.col("o_totalprice").cast("double")))
+    return rounded(pf.histogram(read_table(spark, sf, "orders").select(price.alias("price"))), 4)
+
+
+@query
+def metric_labels(spark, sf):
+    """P22 on X1: two-decimal labels of cases per km2, NULL where the ratio is."""
+    return _enriched(spark, sf).select("country_region", pct_label(F.round("cases_per_km2", 2)).alias("label"))
+
+
+@query
+def panel_records(spark, sf):
+    """S20 on P: every row as a JSON record, NULL fields as null."""
+    return to_records(fx.panel(spark, sf))
+
+
+@query
+def enriched_csv(spark, sf):
+    """X1 from files (S2-S5, P4-P6): D and M written as CSV in the published
+    layout with bad, fractional and missing numbers, read by header name,
+    enriched, written as CSV, read back."""
+    root = work_dir(spark, "enriched_csv")
+    name, people, area = F.trim(F.upper("country")), F.col("population_2020"), F.col("area_km2")
+    text = (F.when(name == "NATION_5", "n/a").when(name == "NATION_6", F.lit(None))
+            .when(name == "NATION_7", F.concat(people.cast("string"), F.lit(".75")))
+            .when(name == "NATION_8", "1e6").otherwise(people.cast("string")))
+    published = {"Country/Territory": F.col("country"), "Continent": F.col("continent"), "2020 Population": text,
+                 "Area (km²)": F.concat(area.cast("string"), F.lit(".0"))}
+    dim = fx.dimension(spark, sf).select(*[published.get(f.name, F.lit(None).cast("string")).alias(f.name)
+                                           for f in reversed(schemas.POPULATION_CSV.fields)])
+    dim.write.option("header", True).csv(f"{root}/population")
+    mapping = spark.createDataFrame(fx.MAPPING_ROWS, schemas.MAPPING_CSV)
+    mapping.select("target_name", "source_name").coalesce(1).write.option("header", True).csv(f"{root}/mapping")
+    out = enrichment.enrich(fx.panel(spark, sf), read_population(spark, f"{root}/population"),
+                            read_mapping(spark, f"{root}/mapping"))
+    return rounded(read_enriched(spark, write_csv(out, f"{root}/enriched"), "csv"))
+
+
+@query
+def history_coerced(spark, sf):
+    """P5 + P6 + M6 on P as text: bad dates drop the row, bad and NULL values are 0."""
+    bad = F.col("date").cast("string")
+    text = fx.panel(spark, sf).select("country_region", F.when(F.dayofmonth("date") == 31, "31st").otherwise(bad).alias("date"),
+                                      F.when(F.dayofmonth("date") == 1, "n/a").when(F.dayofmonth("date") == 2, F.lit(None))
+                                      .otherwise(F.col("cases").cast("string")).alias("cases"))
+    return fc.history(text)
 
 
 @query
@@ -548,15 +633,31 @@ def profile_missing(spark, sf):
 
 @query
 def forecast_changepoints(spark, sf):
-    """M7 level 2 on P: changepoint trend + seasonality per country (applyInPandas)."""
-    return rounded(fc.forecast_changepoints(fc.history(fx.panel(spark, sf)), HORIZON))
+    """M7 level 2 on P: changepoint trend + seasonality per country, as what
+    must hold of each fit: its rows, its future rows, the order of the band,
+    residuals that sum to zero, and a band that widens with the horizon."""
+    hist = fc.history(fx.panel(spark, sf))
+    fit = fc.forecast_changepoints(hist, HORIZON).join(hist, ["country_region", "ds"], "left")
+    width = F.col("yhat_upper") - F.col("yhat_lower")
+    return fit.groupBy("country_region").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("is_future").alias("n_future"),
+        F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"),
+        F.bool_and((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("band_ordered"),
+        (F.abs(F.sum(F.when(~F.col("is_future"), F.col("y") - F.col("yhat")))) < 1e-6 * F.sum("y")).alias("residuals_cancel"),
+        (F.max_by(width, "ds") >= F.min_by(width, "ds") - F.lit(1e-6)).alias("band_widens"))
+
+
+#: The column whose sum stands for each built table's content.
+BUILT = {"panel_full": "cases", "panel_pruned": "cases_since_prev_day", "panel_active": "cases_since_prev_day",
+         "agg_daily_new_cases": "total_new_cases", "agg_total_deaths": "total_deaths", "agg_new_case_stats": "sum_new_cases"}
 
 
 @query
 def warehouse_build(spark, sf):
-    """Run the whole build and report each table with its row count."""
+    """Run the whole build; each table's columns, row count and sum."""
     tables = wh.build(fx.panel(spark, sf), work_dir(spark, "warehouse"))
-    parts = [t.select(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for n, t in tables.items()]
+    parts = [t.select(F.lit(n).alias("table_name"), F.lit(",".join(t.columns)).alias("columns"),
+                      F.count(F.lit(1)).alias("n_rows"), F.sum(BUILT[n]).cast("bigint").alias("total")) for n, t in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

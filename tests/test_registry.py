@@ -5,15 +5,18 @@ values)."""
 import datetime as dt
 import decimal
 import math
+import sys
 
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+import __spark_entry__
+from __spark_entry__ import entry
+from epiframe.oracles import ORACLES
+from epiframe.queries import QUERIES
 from tests.conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "orders", "events", "conversations"]
-ROWS_ONLY = {"cluster_ml", "forecast_changepoints"}
 
 
 def _canon(v):
@@ -44,9 +47,16 @@ def test_entry(spark):
     assert df.count() > 0 and "cases_per_million" in df.columns
 
 
-def test_every_query_has_an_oracle_or_is_rows_only():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert set(oracle_sql()) <= set(queries())
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_registry_without_the_training_data_subpackage(monkeypatch):
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(__spark_entry__.queries()) == set(QUERIES)
+    assert set(__spark_entry__.oracle_sql()) == set(ORACLES)
 
 
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
@@ -56,18 +66,15 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "stri
 PYTHON_ALLOWED = {"forecast_changepoints"}
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    sdf = queries()[name](spark, SF_SMALL)
+    sdf = QUERIES[name](spark, SF_SMALL)
     srows = [tuple(r) for r in sdf.collect()]
     plan = sdf._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     if name not in PYTHON_ALLOWED:
         assert not any(n in plan for n in ("BatchEvalPython", "ArrowEvalPython", "InPandas"))
-    if name in ROWS_ONLY:
-        assert len(srows) > 0
-        return
-    rel = duck.sql(oracle_sql()[name])
+    rel = duck.sql(ORACLES[name])
     dcols, dtypes = rel.columns, [str(t) for t in rel.types]
     assert sorted(sdf.columns) == sorted(dcols)
     spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
