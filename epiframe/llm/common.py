@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from epiframe.session import materialise as cut  # noqa: F401  (write under spark.checkpoint.dir, read back)
@@ -79,7 +81,19 @@ class WordCache:
         return flat, np.diff(np.concatenate(([0], ends))[cuts])
 
 
-def slices(texts: list[str], chars: int = 2_000_000) -> Iterable[tuple[int, int]]:
+def text_slices(column: pa.Array, size: int = 1_000_000) -> Iterable[tuple[int, int, list[str]]]:
+    """(first, last + 1, texts) of a string column, about ``size`` bytes at a
+    time (one text at least); null texts are empty."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start, have = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        have += n
+        if have >= size or i == len(sizes) - 1:
+            yield start, i + 1, [t or "" for t in column.slice(start, i + 1 - start).to_pylist()]
+            start, have = i + 1, 0
+
+
+def slices(texts: list[str], chars: int = 1_000_000) -> Iterable[tuple[int, int]]:
     """Ranges of ``texts`` of about ``chars`` characters each (one text at least)."""
     start, size = 0, 0
     for i, t in enumerate(texts):

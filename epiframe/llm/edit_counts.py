@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from epiframe.llm.common import cut, slices
+from epiframe.llm.common import cut, text_slices
 
 #: Characters of a leaf, at least, where a safe cut follows.
 LEAF = 512
@@ -117,9 +117,8 @@ def trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
     def run(batches):
         for batch in batches:
             enc = encoder(ranks_path, pattern)
-            texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
-                leaves = [cuts(t) for t in texts[a:b]]
+            for a, b, texts in text_slices(batch.column(2)):
+                leaves = [cuts(t) for t in texts]
                 tokens = [[len(enc.encode_ordinary(x)) for x in row] for row in leaves]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),

@@ -204,7 +204,7 @@ class Scorer:
     def __init__(self, model: LanguageModel):
         self.model, self.lattice = model, Lattice(model.pieces)
         self.width = len(model.languages) + 1
-        self.words = WordCache(self._words, np.float64, max_words=250_000)
+        self.words = WordCache(self._words, np.float64, max_words=150_000)
 
     def _words(self, words: list[str]):
         """Per word: the log-probability in each language, then its number of runs of letters."""

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from epiframe.llm.common import cut, slices
+from epiframe.llm.common import cut, text_slices
 from epiframe.llm.wordbpe import word_bpe
 
 #: Most runs of ranks a plan may hold; its size follows from ``size``, not from the data.
@@ -34,9 +34,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int =
     def run(batches):
         bpe = word_bpe(tokenizer_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                flat, counts = bpe.encode(texts[a:b])
+            for a, b, texts in text_slices(batch.column(1)):
+                flat, counts = bpe.encode(texts)
                 flat = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
                 counts = counts + 1
                 n = -(-counts // size)

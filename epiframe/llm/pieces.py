@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from epiframe.llm.common import WordCache, slices
+from epiframe.llm.common import WordCache, text_slices
 from epiframe.llm.merges import PairTable, merge_words
 
 SPACE = "▁"
@@ -173,22 +173,27 @@ def encode_texts(path: str, texts: list[str], end: bool = True) -> tuple[np.ndar
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-           end: bool = True) -> DataFrame:
-    """(id, ids: array<int>): the ids of every whole text, null as empty (the end id alone).
+           end: bool = True, with_decoded: bool = False) -> DataFrame:
+    """(id, ids: array<int> [, decoded]): the ids of every whole text, null as empty (the end id alone).
 
-    One row per input row, whatever its id; other columns are left out."""
+    ``with_decoded`` adds what the ids decode to, from the ids, while they are
+    at hand.  One row per input row, whatever its id; other columns are left out."""
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                flat, sizes = encode_texts(model_path, texts[a:b], end)
+            for a, b, texts in text_slices(batch.column(1)):
+                flat, sizes = encode_texts(model_path, texts, end)
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], names=["id", "ids"])
+                columns = {"id": batch.column(0).slice(a, b - a), "ids": ids}
+                if with_decoded:
+                    m = model(model_path)
+                    columns["decoded"] = pa.array([m.decode(flat[i:j].tolist()) for i, j in zip(offsets, offsets[1:])],
+                                                  pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = pairs.schema["id"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    schema = f"id {pairs.schema['id'].dataType.simpleString()}, ids array<int>" + (", decoded string" if with_decoded else "")
+    return pairs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

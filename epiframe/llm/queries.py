@@ -89,7 +89,7 @@ def op6_embedding_dedup(spark, sf_dir):
 def op7_pieces(spark, sf_dir):
     """SentencePiece ids of every document by merge rounds, an end id last, decoded again."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    back = pieces.encode(table(spark, sf_dir, "documents"), path, with_decoded=True)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from epiframe.llm.common import WordCache, cut, slices
+from epiframe.llm.common import WordCache, cut, slices, text_slices
 
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -82,10 +82,10 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(batches):
         """Partial document frequencies; y = 0 or 1, kind '' counts the rows."""
         for batch in batches:
-            ys, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(rows):
+            ys = batch.column(0).to_pylist()
+            for a, b, rows in text_slices(batch.column(1)):
                 tally: Counter = Counter()
-                for y, text in zip(ys[a:b], rows[a:b]):
+                for y, text in zip(ys[a:b], rows):
                     tally[y, "", ""] += 1
                     for kind, term in {t for w in set(LETTERS.findall(text.lower())) for t in terms(w)}:
                         tally[y, kind, term] += 1
@@ -130,7 +130,7 @@ class HitCounter:
     def __init__(self, lexicons: dict[str, frozenset[str]]):
         self.lexicons = lexicons
         self.width = len(VOTERS) + 1
-        self.words = WordCache(self._words, np.int32)
+        self.words = WordCache(self._words, np.int32, max_words=200_000)
 
     def _words(self, words: list[str]):
         out = np.zeros((len(words), self.width), np.int32)
