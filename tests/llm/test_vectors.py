@@ -51,6 +51,32 @@ def test_small_windows_never_count_a_pair_twice(spark):
     assert np.mean([r["component_id"] == c for r, c in zip(rows, label)]) > 0.95
 
 
+def test_runs_beyond_the_window_are_compared_whole(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(64) / 8
+    x = np.vstack([centre + 0.295 * rng.standard_normal((400, 64)) / 8, rng.standard_normal((800, 64)) / 8])
+    x = x.astype(np.float32).astype(float)
+    n, label = brute_links(x, 0.9)
+    assert n.sum() > 100_000
+    rows = sorted(D.near_duplicates(table(spark, x), window=64).collect())
+    got = np.array([r["n_links"] for r in rows])
+    assert (got <= n).all() and got.sum() >= 0.999 * n.sum()
+    assert [r["component_id"] for r in rows] == label.tolist()
+
+
+def test_passes_grow_with_the_table(spark):
+    assert [D.schedule(n, 0.9, 1024, 0.999) for n in (0, 1000, 20_000, 10**6)] == [(0, 1), (0, 1), (5, 12), (10, 29)]
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal((3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((3000, 64))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.905 * a + np.sqrt(1 - 0.905**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.vstack([a, b]).astype(np.float32).astype(float)
+    rows = D.near_duplicates(table(spark, x), window=128).where("vec_id >= 3000").collect()
+    assert np.mean([r["component_id"] == r["vec_id"] - 3000 for r in rows]) >= 0.997
+
+
 def test_dedup_edges(spark):
     a, b = [1.0, 0, 0, 0], [0, 1.0, 0, 0]
     vectors = [a, a, [2.0, 0, 0, 0], b, None, [], [0.0] * 4, [float("nan"), 1, 0, 0], [float("inf"), 1, 0, 0], [None, 1, 0, 0], [1.0, 0]]
