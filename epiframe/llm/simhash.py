@@ -139,13 +139,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The documents with the smallest id of their group, all columns unchanged.
-
-    Rows that repeat an id are one document: one of them stays.  Rows without
-    an id cannot be told apart and go."""
-    groups = simhash_groups(docs, id_col, text_col, shingle, max_bits)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    """One document of every group, all columns unchanged: the one with the smallest id.
+
+    Every row is grouped by its own text, whatever its id: rows that repeat an
+    id are told apart by a running number, written once with the rows, and rows
+    without an id come after those with one.  Of rows with the same id in a
+    group the first number stays."""
+    number = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_simhash_row").alias("row"))
+    stored = cut(docs.withColumn("_simhash_row", F.monotonically_increasing_id()), "numbered")
+    groups = simhash_groups(stored.select(number.alias("number"), F.col(text_col).alias("text")), "number", "text", shingle, max_bits)
+    kept = groups.where("number.row = component_id.row").select(F.col("number.row").alias("_simhash_row"))
+    return stored.join(kept, "_simhash_row", "left_semi").select(*docs.columns)
 
 
 def hex_fingerprint(fp):

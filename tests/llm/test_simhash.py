@@ -81,6 +81,17 @@ def test_groups_nulls_empty_texts_and_repeats(spark, make_docs):
     assert kept.columns == docs.columns
 
 
+def test_keep_one_judges_rows_by_their_text(spark, make_docs):
+    def words(k):
+        return " ".join(f"{k}{i}" for i in range(100))
+
+    base = make_docs([words("a"), words("b"), words("a"), words("b"), words("c"), words("d"), words("d"), words("e")])
+    ids = F.element_at(F.array(*[F.lit(x).cast("long") for x in (5, 5, 3, None, None, None, None, 5)]), (F.col("doc_id") + 1).cast("int"))
+    docs = base.withColumn("doc_id", ids)
+    kept = sorted(((r["doc_id"], r["text"][:1]) for r in S.keep_one(docs).collect()), key=str)
+    assert kept == [(3, "a"), (5, "b"), (5, "e"), (None, "c"), (None, "d")]
+
+
 def test_empty_table(make_docs):
     assert S.simhash_groups(make_docs([])).collect() == []
 
