@@ -7,6 +7,7 @@ the label model's posterior labels."""
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import uuid
@@ -52,10 +53,11 @@ def lexicon_of(kind: str, term: str) -> str:
     return f"words{sum(map(ord, term)) % WORD_LEXICONS}" if kind == "word" else kind
 
 
-def sketch(text: str) -> int:
-    """Least hash over pairs of neighbouring words: near copies mostly share it."""
+def sketch(text: str, size: int = 4) -> list[int]:
+    """The ``size`` least hashes over pairs of neighbouring words: near copies
+    mostly share them all, texts that share a passage or a frequent pair do not."""
     words = text.lower().split()
-    return min(map(zlib.crc32, map(str.encode, map(" ".join, zip(words, words[1:])))), default=zlib.crc32(text.encode()))
+    return heapq.nsmallest(size, set(map(zlib.crc32, map(str.encode, map(" ".join, zip(words, words[1:])))))) or [zlib.crc32(text.encode())]
 
 
 def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -74,7 +76,7 @@ def induce(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = [rated.where(F.col("y") == y).orderBy("h", "id").limit(max_rows) for y in (0, 1)]
     sample = cut(first[0].unionByName(first[1]).select("id", "y"), "labels")  # at most 2 x max_rows rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    sketched = F.pandas_udf(lambda t: t.map(sketch), "long")
+    sketched = F.pandas_udf(lambda t: t.map(sketch), "array<long>")
     single = (texts.join(F.broadcast(sample), "id").select("id", "y", sketched("text").alias("s"))
               .groupBy("y", "s").agg(F.min("id").alias("id")))
     texts = texts.join(F.broadcast(cut(single.select("id", "y"), "sample")), "id").select("y", "text")

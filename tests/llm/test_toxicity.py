@@ -58,6 +58,18 @@ def test_planted_words_are_caught_and_labels_of_held_rows_unused(spark, make_doc
     assert all((r["score"] >= 0.5) == bool(toxic[r["doc_id"]]) for r in rows)
 
 
+def test_texts_that_share_a_passage_are_not_copies():
+    rng = np.random.default_rng(4)
+    shared = " ".join(f"s{i}" for i in range(20))
+    own = [" ".join(f"w{k}" for k in rng.integers(0, 10**6, 60)) for _ in range(300)]
+    assert len({tuple(X.sketch(f"{t} {shared}")) for t in own}) >= 295
+    long = [f"w{k}" for k in rng.integers(0, 10**6, 2000)]
+    near = [" ".join([*long[:k], "changed", *long[k + 1:]]) for k in range(100, 2000, 100)]
+    same = [X.sketch(t) == X.sketch(" ".join(long)) for t in near]
+    assert np.mean(same) >= 0.9
+    assert X.sketch("a b") == X.sketch("A  b") and len(X.sketch("")) == 1
+
+
 def test_edges(spark, make_docs):
     docs = make_docs([None, "", "idiot moron idiot loser scum loser", "fine words here", "!" * 20000, "fine words here"])
     docs = docs.withColumn("score", F.lit("clash")).withColumn("y", F.lit(1)).withColumn("id", F.lit(2))
