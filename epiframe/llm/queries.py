@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epiframe.llm import (chat, edit_counts, hnsw, language, line_runs, packing, pieces, projection_dedup, simhash, toxicity,
-                          url_tree)
+from epiframe.llm import (chat, edit_counts, hnsw, language, line_runs, packing, pieces, projection_dedup, simhash, spelling,
+                          toxicity, url_tree)
 from epiframe.llm.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,9 @@ def op11_line_dedup(spark, sf_dir):
     """Lines that several documents hold stay only in the smallest doc_id, by sorted runs of line hashes."""
     rows = line_runs.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"), least=10)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    """Words one edit apart in all documents, by dense prefix-suffix tiles, and the form each is a variant of."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
