@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from epiframe.llm import (chat, edit_counts, hnsw, language, line_runs, packing, pieces, projection_dedup, simhash, spelling,
-                          toxicity, url_tree)
+                          stripes, toxicity, url_tree)
 from epiframe.llm.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,9 @@ def op11_line_dedup(spark, sf_dir):
 def op13_spelling_variants(spark, sf_dir):
     """Words one edit apart in all documents, by dense prefix-suffix tiles, and the form each is a variant of."""
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    """Per language the 2,000 best phrases of 2 to 5 words, counted by stripes of next words."""
+    return stripes.collocations(table(spark, sf_dir, "documents"))
