@@ -490,3 +490,18 @@ ORACLES.update({
         MIN(date) AS first_ds, CAST(MAX(date) + {HORIZON} AS DATE) AS last_ds, TRUE AS band_ordered, TRUE AS residuals_cancel,
         TRUE AS band_widens FROM p GROUP BY 1""",
 })
+
+
+_CHANGED_ROWS = """
+f0 AS (SELECT o_orderkey % 10 AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS d, CAST(round(o_totalprice * 100) AS BIGINT) AS v,
+              CASE WHEN o_orderstatus = 'F' THEN 1 END AS dead FROM orders),
+f AS (SELECT CAST(c AS VARCHAR) AS country_region, d AS date, v, dead FROM f0 WHERE k NOT IN (2, 3, 4, 5)
+      UNION ALL
+      SELECT CAST(c + 7 AS VARCHAR), CAST(d + 1 AS DATE), v - 10000000, CASE WHEN d < DATE '1998-01-01' THEN dead END FROM f0 WHERE k IN (2, 3))"""
+
+ORACLES.update({
+    "changed_daily_new": f"WITH {_CHANGED_ROWS} SELECT date, CAST(SUM(v) AS BIGINT) AS total_new_cases FROM f WHERE v > 0 GROUP BY 1",
+    "changed_deaths": f"WITH {_CHANGED_ROWS} SELECT country_region, CAST(SUM(dead) AS BIGINT) AS total_deaths FROM f GROUP BY 1",
+    "changed_new_stats": f"""WITH {_CHANGED_ROWS} SELECT country_region, CAST(SUM(v) AS BIGINT) AS sum_new_cases, COUNT(*) AS n_new_cases,
+        MAX(v) AS max_new_cases, MIN(v) AS min_new_cases FROM f WHERE v > 0 GROUP BY 1""",
+})

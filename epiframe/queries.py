@@ -30,6 +30,7 @@ from epiframe.plans import warehouse as wh
 from epiframe.session import materialise, work_dir
 from epiframe.sources.files import read_enriched, read_mapping, read_population, read_table, write_csv
 from epiframe.sources.records import to_records
+from epiframe.streaming import changes as ch
 from epiframe.streaming.comments import ingest
 from epiframe.streaming.upkeep import run_complete_aggregate
 
@@ -325,6 +326,61 @@ def stream_new_stats(spark, sf):
     return rounded(wh.new_stats_read(state))
 
 
+def _orders_as_facts(spark, sf):
+    """Orders as base rows: customer, day, the price in cents, and 1 where finished; and what picks their changes."""
+    o = read_table(spark, sf, "orders")
+    return o.select(F.col("o_custkey").cast("string").alias("country_region"), F.to_date("o_orderdate").alias("date"),
+                    F.round(F.col("o_totalprice") * 100).cast("long").alias("cases_since_prev_day"),
+                    F.when(F.col("o_orderstatus") == "F", F.lit(1).cast("long")).alias("deaths"),
+                    (F.col("o_orderkey") % 10).alias("k"))
+
+
+def _changed(spark, sf, name, view):
+    """T1 under changes: most orders come first; then the rest is inserted, some
+    rows move to another customer, day and value, and some are deleted, the files
+    in any order.  The job runs after each step and once more with nothing new,
+    and the last batch is applied again under its number."""
+    root = work_dir(spark, name)
+    facts = materialise(_orders_as_facts(spark, sf), name)
+    rows = lambda where: facts.where(where).drop("k")
+    moved = {"country_region": (F.col("country_region").cast("long") + 7).cast("string"), "date": F.date_add("date", 1),
+             "cases_since_prev_day": F.col("cases_since_prev_day") - 10_000_000, "deaths": F.when(F.col("date") < "1998-01-01", F.col("deaths"))}
+    base = rows("k < 8").schema
+    later = ch.deletions(rows("k in (4, 5)")).unionByName(ch.updates(rows("k in (2, 3)"), moved)).unionByName(ch.inserts(rows("k >= 8")))
+    run = lambda: ch.run_changes(spark, view, base, f"{root}/in", f"{root}/view", f"{root}/ckpt")
+    ch.inserts(rows("k < 8")).write.mode("append").parquet(f"{root}/in")
+    run()
+    later.write.mode("append").parquet(f"{root}/in")
+    run()
+    ch.apply_batch(view, later, f"{root}/view", epoch=1)
+    return run()
+
+
+_ACTIVE_VALUE = "cases_since_prev_day"
+
+
+@query
+def changed_daily_new(spark, sf):
+    """T1 on orders with inserts, updates and deletions: S14 kept current by signed rows."""
+    out = _changed(spark, sf, "changed_daily_new", ch.View(["date"], _ACTIVE_VALUE, flt.active_rows))
+    return out.select("date", F.col("total").alias("total_new_cases"))
+
+
+@query
+def changed_deaths(spark, sf):
+    """T1 on orders with inserts, updates and deletions: S15 kept current by signed rows."""
+    out = _changed(spark, sf, "changed_deaths", ch.View(["country_region"], "deaths"))
+    return out.select("country_region", F.col("total").alias("total_deaths"))
+
+
+@query
+def changed_new_stats(spark, sf):
+    """T1 on orders with inserts, updates and deletions: S16 with its least and greatest value from counts per value."""
+    out = _changed(spark, sf, "changed_new_stats", ch.View(["country_region"], _ACTIVE_VALUE, flt.active_rows, extremes=True))
+    return out.select("country_region", F.col("total").alias("sum_new_cases"), F.col("n").alias("n_new_cases"),
+                      F.col("max").alias("max_new_cases"), F.col("min").alias("min_new_cases"))
+
+
 @query
 def warehouse_active(spark, sf):
     """X4 + S17: the build run twice into one database (tables are replaced), the active table read by name."""
