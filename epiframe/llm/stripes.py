@@ -20,16 +20,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from epiframe.llm.common import cut, text_slices
 
-#: What ends a piece, each turned into SEP, and a stripe's entry for the end of a piece.
-BREAKS, SEP, END = b".,;:!?\n\x0b\x0c\r", b"\n", ""
+#: What ends a piece; all of it is turned into SEP, which no word holds.  END is a
+#: stripe's entry for the end of a piece.
+BREAKS, SEP, END = b".,;:!?\n\x0b\x0c\r", b".", ""
 _FOLD = bytes.maketrans(BREAKS + b"\t", SEP * len(BREAKS) + b" ")
 STRIPE = "lang string, prefix string, next array<string>, n array<long>"
 
 
 def words_of(text: str) -> list[bytes]:
-    """Words and SEP after every piece, A-Z lower-cased; empty strings between spaces."""
+    """Words, A-Z lower-cased, and SEP after every piece."""
     folded = text.encode("utf-8", "surrogatepass").lower().translate(_FOLD)
-    return folded.replace(SEP, b" \n ").split(b" ") + [SEP]
+    words = folded.replace(SEP, b" . ").split()
+    words.append(SEP)
+    return words
 
 
 class _Ids(dict):
@@ -46,25 +49,20 @@ class _Ids(dict):
 
 
 class _Held:
-    """Coded text of several languages: words, with the language and weight of each."""
+    """Coded text of several languages."""
 
     def __init__(self):
         self.ids, self.langs, self.parts, self.size = _Ids(), {}, [], 0
 
-    def add(self, lang: str, text: str, weight: int = 1) -> None:
-        tokens = words_of(text)
-        code = np.fromiter(map(self.ids.__getitem__, tokens), np.int32, len(tokens))
-        if (empty := self.ids.get(b"")) is not None:
-            code = code[code != empty]
-        self.parts.append((code, self.langs.setdefault(lang, len(self.langs)), weight))
-        self.size += len(code)
+    def add(self, lang: str, text: str) -> None:
+        words = words_of(text)
+        self.parts.append((np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)), self.langs.setdefault(lang, len(self.langs))))
+        self.size += len(words)
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word numbers, languages, weights) of all held text."""
-        sizes = [len(c) for c, _, _ in self.parts]
-        lang, weight = np.array([p[1] for p in self.parts], np.int32), np.array([p[2] for p in self.parts], np.int64)
-        code = np.concatenate([c for c, _, _ in self.parts])
-        return code, np.repeat(lang, sizes), np.repeat(weight, sizes)
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers, languages) of all held text."""
+        lang = np.array([x for _, x in self.parts], np.int32)
+        return np.concatenate([c for c, _ in self.parts]), np.repeat(lang, [len(c) for c, _ in self.parts])
 
 
 def _pack(words: list[bytes]) -> pa.Array:
@@ -74,7 +72,7 @@ def _pack(words: list[bytes]) -> pa.Array:
 def _stripes(held: _Held, length: int) -> Iterator[pa.RecordBatch]:
     """Stripes of the prefixes of ``length`` - 1 words in the held text.  One-word
     prefixes have the end of a piece as an entry, longer ones only words."""
-    code, lang, weight = held.arrays()
+    code, lang = held.arrays()
     n = len(code) - length + 1
     if n <= 0:
         return
@@ -88,8 +86,7 @@ def _stripes(held: _Held, length: int) -> Iterator[pa.RecordBatch]:
     at = np.flatnonzero(ok)
     first = np.zeros(len(seen), np.int64)
     first[prefix] = at  # a place where the prefix stands
-    entry, inverse = np.unique(prefix * base + inner[-1][ok], return_inverse=True)
-    count = np.bincount(inverse, weights=weight[:n][ok]).astype(np.int64)
+    entry, count = np.unique(prefix * base + inner[-1][ok], return_counts=True)
     owner, follow = entry // base, entry % base
     offsets = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
     names = held.ids.words
@@ -110,37 +107,46 @@ def _stripes(held: _Held, length: int) -> Iterator[pa.RecordBatch]:
              pa.ListArray.from_arrays(cuts, pa.array(count[lo:hi]))], ["lang", "prefix", "next", "n"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], long: int = 8_000_000) -> Iterator[tuple[str, str, int]]:
-    """(lang, text, weight) of the rows; texts of over ``long`` characters in
-    stretches that end where a piece does, so no phrase is cut."""
+def _texts(batches: Iterator[pa.RecordBatch], long: int = 8_000_000) -> Iterator[tuple[str, str]]:
+    """(lang, text): the texts of each language in a slice of rows, joined by the end
+    of a piece; one of over ``long`` characters is cut where pieces end."""
     for batch in batches:
-        langs, weights = batch.column(0), batch.column(2)
+        langs = batch.column(0)
         for start, end, texts in text_slices(batch.column(1)):
-            for lang, text, weight in zip(langs.slice(start, end - start).to_pylist(), texts, weights.slice(start, end - start).to_pylist()):
-                at = 0
+            by_lang: dict[str, list[str]] = {}
+            for lang, text in zip(langs.slice(start, end - start).to_pylist(), texts):
+                by_lang.setdefault(lang, []).append(text)
+            for lang, parts in by_lang.items():
+                text, at = "\n".join(parts), 0
                 while len(text) - at > long:
                     ends = [e for c in BREAKS.decode() if (e := text.find(c, at + long)) >= 0]
                     to = min(ends, default=len(text) - 1) + 1
-                    yield lang, text[at:to], weight
+                    yield lang, text[at:to]
                     at = to
-                yield lang, text[at:], weight
+                yield lang, text[at:]
 
 
-def stripes(texts: DataFrame, length: int, held_words: int = 2_000_000) -> DataFrame:
+def _held(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[_Held]:
+    """The text of a task, about ``words`` words at a time."""
+    held = _Held()
+    for lang, text in _texts(batches):
+        held.add(lang, text)
+        if held.size >= words:
+            yield held
+            held = _Held()
+    if held.parts:
+        yield held
+
+
+def stripes(texts: DataFrame, length: int, held_words: int = 1_500_000) -> DataFrame:
     """(lang, prefix, next, n): how often ``next`` follows the ``length`` - 1 words of
-    ``prefix`` within a piece, in ``texts`` (lang, text, weight).
+    ``prefix`` within a piece, in ``texts`` (lang, text).
 
     A task makes stripes of about ``held_words`` words at a time.  Their entries are
     summed per (prefix, next), so the stripe of a frequent prefix, however wide,
     is spread over all tasks."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held()
-        for lang, text, weight in _texts(batches):
-            held.add(lang, text, weight)
-            if held.size >= held_words:
-                yield from _stripes(held, length)
-                held = _Held()
-        if held.parts:
+        for held in _held(batches, held_words):
             yield from _stripes(held, length)
 
     rows = texts.mapInArrow(made, STRIPE)
@@ -171,10 +177,11 @@ def phrase_filter(phrases: DataFrame, size: int, bits: int = 26) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _runs(held: _Held, bits: np.ndarray, size: int) -> pa.RecordBatch:
+def _runs(held: _Held, bits: np.ndarray, size: int, words: int = 200_000) -> pa.RecordBatch:
     """The stretches of the held text in which two phrases of ``size`` words or more,
-    one after another, pass the filter."""
-    code, lang, weight = held.arrays()
+    one after another, pass the filter, as texts of about ``words`` words whose
+    pieces they are."""
+    code, lang = held.arrays()
     names, langs, base = held.ids.words, list(held.langs), len(held.ids.words)
     known, inverse = np.unique(lang.astype(np.int64) * base + code, return_inverse=True)
     heads = [f"{x}\n".encode() for x in langs]
@@ -190,38 +197,43 @@ def _runs(held: _Held, bits: np.ndarray, size: int) -> pa.RecordBatch:
         ok &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
     edge = np.diff(np.concatenate(([0], ok.astype(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    keep = ends - starts >= 2
-    count: dict[tuple[int, bytes], int] = {}
-    for a, b in zip(starts[keep].tolist(), ends[keep].tolist()):
-        key = (int(lang[a]), b" ".join([names[x] for x in code[a:b + size - 1].tolist()]))
-        count[key] = count.get(key, 0) + int(weight[a])
-    return pa.RecordBatch.from_arrays([pa.array([langs[x] for x, _ in count], pa.string()), _pack([t for _, t in count]),
-                                       pa.array(list(count.values()), pa.int64())], ["lang", "text", "weight"])
+    long = ends - starts >= 2
+    starts, ends = starts[long], ends[long] + size - 1
+    # the words of all stretches, each followed by a place for SEP
+    sizes = ends - starts + 1
+    after = np.cumsum(sizes)
+    source = np.arange(sizes.sum()) + np.repeat(starts - (after - sizes), sizes)
+    source[after - 1] = starts  # any place of the same language
+    out, of = code[source], lang[source]
+    out[after - 1] = 0
+    texts, owners = [], []
+    for x in range(len(langs)):
+        own = out[of == x].tolist()
+        at = 0
+        while at < len(own):
+            to = own.index(0, min(at + words, len(own) - 1)) + 1
+            texts.append(b" ".join([names[c] for c in own[at:to]]))
+            owners.append(langs[x])
+            at = to
+    return pa.RecordBatch.from_arrays([pa.array(owners, pa.string()), _pack(texts)], ["lang", "text"])
 
 
 def frequent_runs(texts: DataFrame, bits: np.ndarray, size: int, held_words: int = 1_000_000) -> DataFrame:
-    """(lang, text, weight): what of ``texts`` can hold a frequent phrase of ``size`` + 1
-    words, given the filter of those of ``size``; equal stretches of a task are one row."""
+    """(lang, text): what of ``texts`` can hold a frequent phrase of ``size`` + 1 words,
+    given the filter of those of ``size``."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held()
-        for lang, text, weight in _texts(batches):
-            held.add(lang, text, weight)
-            if held.size >= held_words:
-                yield _runs(held, shared.value, size)
-                held = _Held()
-        if held.parts:
+        for held in _held(batches, held_words):
             yield _runs(held, shared.value, size)
 
-    return texts.mapInArrow(made, "lang string, text string, weight long")
+    return texts.mapInArrow(made, "lang string, text string")
 
 
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = 5, least: int = 100) -> DataFrame:
     """(lang, phrase, size, a, prefix): every phrase of 1 to ``longest`` words found
     ``least`` times, and per lang a row of size 0 with the number of all words in a."""
-    texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"),
-                        F.lit(1).cast("long").alias("weight"))
+    texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     pairs = stripes(texts, 2)
     # an entry that cannot be a phrase only adds to its prefix: folded into one
     frequent = F.when((F.col("next") != END) & (F.col("n") >= least), F.col("next"))

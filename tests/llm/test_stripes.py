@@ -67,7 +67,7 @@ def test_matches_a_plain_count(spark, share, top):
 
 
 def test_flushes_do_not_change_counts(spark):
-    texts = spark.createDataFrame([("en", "a b c. a b", 1), ("fr", "a b", 2), ("en", "b c a", 1)], "lang string, text string, weight long").coalesce(1)
+    texts = spark.createDataFrame([("en", "a b c. a b"), ("fr", "a b"), ("fr", "a b"), ("en", "b c a")], "lang string, text string").coalesce(1)
     for held in (1, 100):
         got = {tuple(r) for r in stripes.stripes(texts, 2, held_words=held).collect()}
         assert got == {("en", "a", "b", 2), ("en", "b", "c", 2), ("en", "c", "", 1), ("en", "b", "", 1), ("en", "c", "a", 1),
@@ -79,7 +79,7 @@ def test_a_saturated_filter_changes_nothing(spark):
     """With one cell for all phrases everything passes; the counts decide."""
     rows = [("en", "p q r s t u. " * 12 + " ".join(f"w{i}" for i in range(400)))]
     docs = spark.createDataFrame(rows, SCHEMA)
-    texts = docs.select("lang", "text", F.lit(1).cast("long").alias("weight"))
+    texts = docs.select("lang", "text")
     level = stripes.stripes(texts, 2).where("next <> '' and n >= 10").select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"))
     wide = stripes.frequent_runs(texts, stripes.phrase_filter(level, 2, bits=6), 2)
     tight = stripes.frequent_runs(texts, stripes.phrase_filter(level, 2), 2)
@@ -91,8 +91,8 @@ def test_a_saturated_filter_changes_nothing(spark):
 def test_very_long_texts_are_cut_between_pieces_only():
     import pyarrow as pa
     text = "ab cd. " * 50 + "x" * 30
-    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text]), pa.array([1])], ["lang", "text", "weight"])
-    parts = [t for _, t, _ in stripes._texts(iter([batch]), long=10) if t]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], ["lang", "text"])
+    parts = [t for _, t in stripes._texts(iter([batch]), long=10) if t]
     assert "".join(parts) == text and len(parts) > 10 and all(p.rstrip().endswith(".") or p == parts[-1] for p in parts)
 
 
