@@ -1,21 +1,25 @@
 """Table profiling (E1, E3-E8) — the content of an exploratory report.
 
-Column-wise profiles (E4, E6, E5, E7) unpivot the values with ``inline``
-inside the scan stage and run one small grouped aggregate keyed by column
-(or column pair), so a profile is a single pass with map-side partial
-aggregation and the expanded rows are never shuffled.  Table-wide counts
-(E1, E3, E8) are one aggregate reshaped to one row per column.  Quantiles
-are exact at any size (the value at rank ceil(p * n), from stored counts),
-skewness and kurtosis are the population (moment) forms, the
+Column-wise profiles (E4, E6, E5) unpivot the values with ``inline`` inside
+the scan stage and run one small grouped aggregate keyed by column, so a
+profile is a single pass with map-side partial aggregation and the expanded
+rows are never shuffled.  Table-wide counts (E1, E3, E8) are one aggregate
+reshaped to one row per column.  Quantiles are exact at any size (the value at
+rank ceil(p * n), by ``radix``), correlations come from sums per column pair
+(``comoments``), skewness and kurtosis are the population (moment) forms, the
 standard deviation is the sample one.  NaN counts as missing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from epiframe.functions.numeric import finite, pearson
-from epiframe.operators.ranking import grouped_average_ranks, grouped_quantiles
+from epiframe.functions.numeric import finite
+from epiframe.operators.comoments import correlation, pair_sums
+from epiframe.operators.radix import order_statistics
+from epiframe.operators.ranking import row_average_ranks
 from epiframe.session import materialise
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -80,8 +84,10 @@ def _name(columns: list[str], idx: str = "_k"):
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per numeric column — count, missing, zeros, negatives, min, max,
     mean, std, p25, p50, p75, skewness, kurtosis (excess).  One grouped
-    aggregate over the unpivoted values, one group per column; the exact
-    quantiles come from the counts per value (NaN counts as missing)."""
+    aggregate over the unpivoted values, one group per column, and exact
+    quantiles by radix selection (``radix``), which counts instead of moving
+    values (NaN counts as missing).  The numeric columns are written once, as
+    every pass reads them."""
     columns = columns or numeric_columns(df)
     df = materialise(df.select(*[_num(c).alias(c) for c in columns]), "profile_numeric")
     x = F.col("_x")
@@ -91,14 +97,12 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
         F.sum(F.when(x < 0, 1).otherwise(0)).cast("bigint").alias("n_negative"),
         F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis")))
-    quantiles = grouped_quantiles(_long(df, columns), "_k", "_x", QUANTILES)
-    # every column gets a row, also on an empty input (the key list is
-    # bounded by the number of columns)
-    keys = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("_k"))
+    # one row per column, also on an empty input
+    quantiles = [(k, c, *q.values()) for k, (c, q) in enumerate(zip(columns, order_statistics(df, columns, QUANTILES)))]
+    quantiles = df.sparkSession.createDataFrame(quantiles, f"_k int, column_name string, {', '.join(f'{q} double' for q in QUANTILES)}")
     counts = {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in ("n", "n_missing", "n_zeros", "n_negative")}
-    return (F.broadcast(keys).join(stats, "_k", "left").join(F.broadcast(quantiles), "_k", "left")
-            .select(_name(columns).alias("column_name"), *counts.values(), "min", "max",
-                    "mean", "std", "p25", "p50", "p75", "skewness", "kurtosis"))
+    return (F.broadcast(quantiles).join(stats, "_k", "left")
+            .select("column_name", *counts.values(), "min", "max", "mean", "std", *QUANTILES, "skewness", "kurtosis"))
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
@@ -143,35 +147,30 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -
                     F.coalesce(edge, lo + (F.col("bin") + 1) * w).alias("hi"), "freq"))
 
 
-def _pairs_long(df: DataFrame, prefix: str, pairs: list[tuple[int, int]]) -> DataFrame:
-    structs = [F.struct(F.lit(n).alias("_pair"), F.col(f"{prefix}{i}").alias("_a"), F.col(f"{prefix}{j}").alias("_b"))
-               for n, (i, j) in enumerate(pairs)]
-    return df.select(F.inline(F.array(*structs)))
-
-
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Every column pair (a before b): Pearson over pairwise-complete rows,
     Spearman (Pearson of average ranks) over rows complete in all columns.
-    Each is one grouped aggregate over (pair, a, b) rows, one group per pair;
-    the two 1-row-per-pair results meet in a join on the pair id."""
+    Both come from sums per pair that each task adds up over its rows
+    (``comoments``).  Ranks come from one range sort of all (column, value, row)
+    and travel back to their rows by the row number, so a frequent value is
+    neither a join key nor one task's work."""
     columns = columns or numeric_columns(df)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    # The numeric projection feeds both aggregates: materialise it once in
-    # the shared checkpoint folder instead of recomputing the upstream plan.
+    p = len(columns)
+    # The numeric projection is read several times: written once in the shared
+    # checkpoint folder instead of recomputing the upstream plan.
     num = materialise(df.select(*[_num(c).alias(f"c{i}") for i, c in enumerate(columns)])
                       .withColumn("_row", F.monotonically_increasing_id()), "profile_corr")
-    linear = _pairs_long(num, "c", pairs).groupBy("_pair").agg(pearson("_a", "_b").alias("pearson"))
-    # Ranks of all columns at once, over the rows complete in every column.
-    long = num.dropna().select("_row", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_k"), F.col(f"c{i}").alias("_v")) for i in range(len(columns))])))
-    ranks = grouped_average_ranks(long, "_k", "_v", "_r")
-    per_row = (long.join(ranks, ["_k", "_v"]).groupBy("_row")
-               .agg(*[F.max(F.when(F.col("_k") == i, F.col("_r"))).alias(f"r{i}") for i in range(len(columns))]))
-    ranked = _pairs_long(per_row, "r", pairs).groupBy("_pair").agg(pearson("_a", "_b").alias("spearman"))
-    names = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b")) for i, j in pairs])
-    return (linear.join(ranked, "_pair", "left")
-            .select(F.element_at(names, F.col("_pair") + 1)["a"].alias("column_a"),
-                    F.element_at(names, F.col("_pair") + 1)["b"].alias("column_b"), "pearson", "spearman"))
+    values = [F.col(f"c{i}") for i in range(p)]
+    *means, complete = num.agg(*[F.coalesce(F.avg(finite(v)), F.lit(0.0)) for v in values],
+                               F.count_if(reduce(lambda a, b: a & b, [v.isNotNull() for v in values]))).first()
+    linear = pair_sums(num.select(F.array(*values)), means).select("i", "j", correlation().alias("pearson"))
+    long = num.dropna().select("_row", F.inline(F.array(*[F.struct(F.lit(i).alias("_k"), v.alias("_v")) for i, v in enumerate(values)])))
+    ranks = row_average_ranks(long, "_k", "_v", "_row", "_r")
+    per_row = ranks.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_k", "_r"))).alias("ranks"))
+    ranked = pair_sums(per_row.select(F.col("ranks._r").alias("ranks")), [(complete + 1) / 2] * p).select("i", "j", correlation().alias("spearman"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return (linear.join(ranked, ["i", "j"], "left")
+            .select(F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"), "pearson", "spearman"))
 
 
 def missing(df: DataFrame) -> DataFrame:
@@ -189,10 +188,11 @@ def missing(df: DataFrame) -> DataFrame:
 def report(df: DataFrame, top_columns: list[str] | None = None, k: int = 5,
            bins: int = 10) -> dict[str, DataFrame | None]:
     """The full exploratory profile of a table, section by section.
-    Sections are DataFrames; all are lazy except ``correlations``, which
-    writes its numeric input once to the checkpoint folder, and which is
-    None when the table has fewer than two numeric columns."""
+    The table is written once and every section reads that copy, in a number of
+    scans that does not depend on its size.  Sections are DataFrames;
+    ``correlations`` is None when the table has fewer than two numeric columns."""
     numeric = numeric_columns(df)
+    df = materialise(df, "profile")
     non_numeric = [f.name for f in df.schema.fields if f.name not in numeric]
     return {
         "info": column_info(df),
