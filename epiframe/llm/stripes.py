@@ -138,20 +138,21 @@ def _held(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[_Held]:
         yield held
 
 
-def stripes(texts: DataFrame, length: int, held_words: int = 1_500_000) -> DataFrame:
+def stripes(texts: DataFrame, length: int, held_words: int = 1_000_000) -> DataFrame:
     """(lang, prefix, next, n): how often ``next`` follows the ``length`` - 1 words of
     ``prefix`` within a piece, in ``texts`` (lang, text).
 
-    A task makes stripes of about ``held_words`` words at a time.  Their entries are
-    summed per (prefix, next), so the stripe of a frequent prefix, however wide,
-    is spread over all tasks."""
+    A task makes stripes of about ``held_words`` words at a time, which is all that
+    can be combined before the shuffle: a second partial sum there would only
+    hold the same rows once more.  Their entries are summed per (prefix, next), so
+    the stripe of a frequent prefix, however wide, is spread over all tasks."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _held(batches, held_words):
             yield from _stripes(held, length)
 
     rows = texts.mapInArrow(made, STRIPE)
     flat = rows.select("lang", "prefix", F.inline(F.arrays_zip("next", "n")).alias("next", "n"))
-    return flat.groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n"))
+    return flat.repartition("lang", "prefix", "next").groupBy("lang", "prefix", "next").agg(F.sum("n").alias("n"))
 
 
 def _turn(h: Column, by: int) -> Column:
