@@ -161,6 +161,8 @@ ORACLES.update({
         FROM p WINDOW w AS (PARTITION BY country_region ORDER BY date)""",
     "waves_country": f"WITH {P}, px AS (SELECT country_region, date, {_NEW} AS x FROM p), {_waves_sql('px')}",
     "waves_user": f"WITH {U}, ux AS (SELECT country_region, date, {_NEW} AS x FROM u), {_waves_sql('ux')}",
+    "waves_events": f"""WITH ex AS (SELECT event_type AS country_region, event_id AS date, CAST(floor(value) AS BIGINT) AS x FROM events),
+        {_waves_sql('ex')}""",
 })
 
 

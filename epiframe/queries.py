@@ -219,6 +219,14 @@ def waves_user(spark, sf):
     return wv.waves(fx.user_panel(spark, sf))
 
 
+@query
+def waves_events(spark, sf):
+    """W2 + W3 on single events, one series per event type in the order of their ids: series cut over several tasks."""
+    events = read_table(spark, sf, "events").select(F.col("event_type").alias("country_region"), F.col("event_id").alias("date"),
+                                                    F.floor("value").cast("long").alias("cases_since_prev_day"))
+    return wv.long_waves(events)
+
+
 # --- S10-S19, T1: tables, layout, materialised aggregates, streaming upkeep ---------
 
 

@@ -4,7 +4,9 @@ import re
 
 import pytest
 
-from epiframe.operators.waves import assert_unique_order, direction_class, waves
+from pyspark.sql import functions as F
+
+from epiframe.operators.waves import assert_unique_order, direction_class, long_waves, waves
 
 DDL = "country_region string, date date, cases_since_prev_day long"
 
@@ -101,3 +103,47 @@ def test_user_panel_against_regex(spark):
     got = {(r.country_region, r.wave_start_date, r.wave_end_date, r.total_cases_in_wave, r.peak_cases_in_wave)
            for r in waves(u).collect()}
     assert got == want and len(got) > 0
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 40])
+def test_series_cut_anywhere_have_the_same_waves(spark, parts):
+    """Long runs that cross several cuts, short ones, nulls, and many small entities between."""
+    rnd = random.Random(parts)
+    series = {"A": [], "B": [], None: [], "z": [1, 2, 1]}
+    for name in ("A", "B", None):
+        v = 0
+        while len(series[name]) < 2000:
+            step, n = rnd.choice([1, 0, -1, 1, -1, None]), rnd.choice([1, 1, 2, 3, 25, 60])
+            for _ in range(n):
+                v += step or 0
+                series[name].append(None if step is None else v)
+    for i in range(30):
+        series[f"m{i:02d}"] = [rnd.choice([0, 1, 2, None]) for _ in range(rnd.randint(1, 6))]
+    rows = [(name, i, v) for name, vs in series.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "country_region string, date int, cases_since_prev_day long").repartition(5)
+    got = sorted((tuple(r) for r in long_waves(df, partitions=parts).collect()), key=repr)
+    want = sorted(((name, *w) for name, vs in series.items() for w in _brute(vs)), key=repr)
+    assert got == want and len(want) > 20
+
+
+def test_one_hot_series_is_spread_over_tasks(spark):
+    n = 60_000
+    df = spark.range(0, n, 1, 4).select(F.lit("hot").alias("country_region"), F.col("id").alias("date"),
+                                        F.pmod(F.xxhash64("id"), F.lit(7)).alias("cases_since_prev_day"))
+    got = long_waves(df, partitions=12)
+    values = [r[0] for r in df.orderBy("date").select("cases_since_prev_day").collect()]
+    assert sorted(tuple(r)[1:] for r in got.collect()) == sorted(_brute(values))
+    sizes = [r[0] for r in spark.read.parquet(_stored(spark, "wave_rows")).groupBy("_pid").count().select("count").collect()]
+    assert len(sizes) == 12 and max(sizes) < n / 6
+
+
+def _stored(spark, name):
+    """The newest folder that ``materialise`` wrote under that name."""
+    import glob
+    import os
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return max(glob.glob(f"{base}/epiframe/{name}-*"), key=os.path.getmtime)
+
+
+def test_long_waves_of_an_empty_table(spark):
+    assert long_waves(spark.createDataFrame([], DDL)).collect() == []
