@@ -507,3 +507,21 @@ ORACLES.update({
     "changed_new_stats": f"""WITH {_CHANGED_ROWS} SELECT country_region, CAST(SUM(v) AS BIGINT) AS sum_new_cases, COUNT(*) AS n_new_cases,
         MAX(v) AS max_new_cases, MIN(v) AS min_new_cases FROM f WHERE v > 0 GROUP BY 1""",
 })
+
+
+_LOGGED = f"""s AS ({_CM} UNION ALL SELECT lower(trim(k.c)), comment_text, "user", source, additional_notes
+          FROM cm, (VALUES {", ".join("(" + _lit(c) + ")" for c in [*FANOUT, FANOUT[0]])}) k(c))"""
+_SENT = """
+sent AS (SELECT conv_id % 10 = 0 AS cut, conv_id % 11 = 0 AS bare, 'nation_' || (conv_id % 25) AS country_key, text AS comment_text, role AS "user",
+                conv_id || '-' || turn AS id FROM conversations)"""
+
+ORACLES.update({
+    "comment_log_key": f"""WITH {C}, {_LOGGED} SELECT *, COUNT(*) OVER () AS count FROM s WHERE country_key = lower(trim({_lit(FANOUT[0])}))""",
+    "comment_log_selected": f"""WITH {C}, {_LOGGED}
+        SELECT * FROM s WHERE country_key IN ({", ".join("lower(trim(" + _lit(k) + "))" for k in FETCH_KEYS)})""",
+    "stream_comments_checked": f"""WITH {_SENT} SELECT country_key, comment_text, "user" FROM sent
+        WHERE NOT cut AND NOT bare AND comment_text IS NOT NULL AND "user" IS NOT NULL""",
+    "stream_comment_rejects": f"""WITH {_SENT}, r AS (SELECT id, CASE WHEN cut THEN 'unreadable' WHEN comment_text IS NULL THEN 'missing comment_text'
+          WHEN bare OR "user" IS NULL THEN 'missing user' END AS reason FROM sent)
+        SELECT reason, 2 * COUNT(*) AS n_lines, COUNT(DISTINCT id) AS n_different FROM r WHERE reason IS NOT NULL GROUP BY 1""",
+})

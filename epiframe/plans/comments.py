@@ -3,6 +3,8 @@
 The store is an append-only Parquet table in directories by a hash of the key,
 so a lookup opens only its keys' directories.  Keys are normalised on write
 (lower + strip), stamped with the current UTC time and given a random id.
+``comment_log`` is the store for many appends: sorted segments, merged as they
+become many, with an index of keys and kept counts.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ def prepare(df: DataFrame) -> DataFrame:
 
 
 def add_comments(df: DataFrame, store_path: str) -> DataFrame:
-    """Append comments; returns the store read back."""
-    prepare(df).write.mode("append").partitionBy(BUCKET).parquet(store_path)
+    """Append comments; returns the store read back.  Rows are dealt by directory
+    first (a large one over several tasks), so an append writes few files each."""
+    prepare(df).hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).parquet(store_path)
     return read_store(df.sparkSession, store_path)
 
 

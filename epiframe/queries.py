@@ -26,12 +26,13 @@ from epiframe.operators.ranking import global_row_number, grouped_average_ranks
 from epiframe.plans import charts
 from epiframe.plans import comments as cm
 from epiframe.plans import enrichment
+from epiframe.plans.comment_log import CommentLog
 from epiframe.plans import warehouse as wh
 from epiframe.session import materialise, work_dir
 from epiframe.sources.files import read_enriched, read_mapping, read_population, read_table, write_csv
 from epiframe.sources.records import to_records
 from epiframe.streaming import changes as ch
-from epiframe.streaming.comments import ingest
+from epiframe.streaming.comments import checked_ingest, ingest
 from epiframe.streaming.upkeep import run_complete_aggregate
 
 # Parameters of the registered queries (fixed inputs of the checks).
@@ -451,6 +452,52 @@ def stream_comments(spark, sf):
     return ingest(spark, f"{root}/in", f"{root}/store", f"{root}/ckpt").select(*_COMMENT_OUT)
 
 
+def _log(spark, sf, name):
+    """The comment log after three appends (all comments, then two fan-outs), merged two by two."""
+    posted = materialise(fx.comments(spark, sf).drop("timestamp"), name)
+    log = CommentLog(spark, f"{work_dir(spark, name)}/log", fanout=2)
+    return log.append(posted).append(cm.fan_out(posted, FANOUT)).append(cm.fan_out(posted, FANOUT[:1]))
+
+
+@query
+def comment_log_key(spark, sf):
+    """S6, S7, S8 + A16 on C: comments of one key after appends and merges, files by key range, the count from kept counts."""
+    return _log(spark, sf, "comment_log_key").for_key(FANOUT[0]).select(*_COMMENT_OUT, "count")
+
+
+@query
+def comment_log_selected(spark, sf):
+    """S9 on C: comments of several keys from the merged segments that hold them."""
+    return _log(spark, sf, "comment_log_selected").for_keys(FETCH_KEYS).select(*_COMMENT_OUT)
+
+
+def _checked(spark, sf, name):
+    """C as JSON lines with client ids, every tenth line cut short, every eleventh
+    without its user, sent once, then once more with the job run after each."""
+    root = work_dir(spark, name)
+    conv = read_table(spark, sf, "conversations")
+    number = F.concat_ws("-", "conv_id", "turn")
+    fields = F.struct(F.concat(F.lit(" Nation_"), F.col("conv_id") % 25).alias("country_key"), F.col("text").alias("comment_text"),
+                      F.when(F.col("conv_id") % 11 != 0, F.col("role")).alias("user"), number.alias("client_id"))
+    line = F.when(F.col("conv_id") % 10 == 0, F.concat(F.lit('{"country_key": "Nation, turn '), number)).otherwise(F.to_json(fields))
+    for _ in range(2):
+        conv.select(line.alias("value")).write.mode("append").text(f"{root}/in")
+        found = checked_ingest(spark, f"{root}/in", f"{root}/log", f"{root}/rejects", f"{root}/ckpt")
+    return found
+
+
+@query
+def stream_comments_checked(spark, sf):
+    """T2 on C as JSON lines sent twice: each comment is stored once."""
+    return _checked(spark, sf, "stream_checked")[0].read().select("country_key", "comment_text", "user")
+
+
+@query
+def stream_comment_rejects(spark, sf):
+    """T2 on C as JSON lines sent twice: the lines that are no comment, with the reason, as often as they came."""
+    return _checked(spark, sf, "stream_rejects")[1].groupBy("reason").agg(F.count("*").alias("n_lines"), F.count_distinct("line").alias("n_different"))
+
+
 # --- M1-M5, F1-F3, F5 -------------------------------------------------------------------
 
 

@@ -21,11 +21,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from epiframe.session import materialise
+from epiframe.sources.manifest import read_manifest, write_manifest
 
 SIGN, BUCKET, SLOT, EPOCH = "_sign", "_bucket", "_slot", "_epoch"
 SUM, VALUES, ROWS = "_sum", "_values", "_rows"
@@ -94,24 +94,17 @@ def _sum_type(kind: T.DataType) -> T.DataType:
     return T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else T.LongType()
 
 
-def _manifest(spark: SparkSession, path: str, before: int | None = None) -> tuple[int, dict[int, tuple[int, int]], int]:
-    """(epoch, bucket -> (slot, epoch it was written in), number of buckets) of the
-    newest manifest, or of the newest before an epoch; (-1, {}, 0) if there is none.
-    It has a row per bucket in use and one more (bucket -1) for the number of buckets."""
-    schema = T.StructType([T.StructField(c, T.IntegerType()) for c in (BUCKET, SLOT)]
-                          + [T.StructField(c, T.LongType()) for c in ("written", EPOCH)] + [T.StructField("half", T.IntegerType())])
-    try:
-        found = spark.read.schema(schema).parquet(f"{path}/manifest").collect()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        found = []
-    epochs = [r[EPOCH] for r in found if before is None or r[EPOCH] < before]
-    if not epochs:
-        return -1, {}, 0
-    newest = [r for r in found if r[EPOCH] == max(epochs)]
-    return (max(epochs), {r[BUCKET]: (r[SLOT], r["written"]) for r in newest if r[BUCKET] >= 0},
-            next(r[SLOT] for r in newest if r[BUCKET] < 0))
+#: A row per bucket in use: its slot and the epoch it was written in; bucket -1 holds
+#: the number of buckets as its slot.
+MANIFEST = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("slot", T.IntegerType()), T.StructField("written", T.LongType())])
+
+
+def _manifest(spark: SparkSession, path: str, before: int | None = None) -> tuple[dict[int, tuple[int, int]], int]:
+    """(bucket -> (slot, epoch it was written in), number of buckets), the newest or
+    the newest before an epoch; ({}, 0) if there is none."""
+    _, rows = read_manifest(spark, f"{path}/manifest", MANIFEST, before)
+    return ({r["bucket"]: (r["slot"], r["written"]) for r in rows if r["bucket"] >= 0},
+            next((r["slot"] for r in rows if r["bucket"] < 0), 0))
 
 
 def _state(spark: SparkSession, path: str, schema: T.StructType, current: dict[int, tuple[int, int]], buckets: list[int] | None = None) -> DataFrame:
@@ -134,7 +127,7 @@ def apply_batch(view: View, changes: DataFrame, path: str, epoch: int, buckets:
     ``buckets`` counts when the state begins; later the number stored with it
     holds.  A batch that changes no group still gets its manifest."""
     spark = changes.sparkSession
-    _, current, known = _manifest(spark, path, before=epoch)
+    current, known = _manifest(spark, path, before=epoch)
     buckets = known or buckets
     added = materialise(delta(view, changes, buckets), "delta")
     touched = sorted(r[0] for r in added.select(BUCKET).distinct().collect())  # at most one per bucket
@@ -148,9 +141,7 @@ def apply_batch(view: View, changes: DataFrame, path: str, epoch: int, buckets:
         (merged.withColumn(EPOCH, F.lit(epoch).cast("long")).withColumn(SLOT, slot).hint("rebalance", BUCKET)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, SLOT).parquet(f"{path}/state"))
         current = current | {b: (int(b in turned), epoch) for b in touched}
-    rows = [(b, s, e, epoch, epoch % 2) for b, (s, e) in current.items()] + [(-1, buckets, epoch, epoch, epoch % 2)]
-    (spark.createDataFrame(rows, f"{BUCKET} int, {SLOT} int, written long, {EPOCH} long, half int").coalesce(1)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("half").parquet(f"{path}/manifest"))
+    write_manifest(spark, f"{path}/manifest", MANIFEST, epoch, [(b, *v) for b, v in current.items()] + [(-1, buckets, epoch)])
     return touched
 
 
@@ -163,7 +154,7 @@ def read_view(spark: SparkSession, view: View, base: T.StructType, path: str) ->
     """The view as of the newest manifest: (keys, total, n) and with ``extremes``
     (max, min).  total is NULL where a group has no value, n counts its values;
     groups without rows are gone.  Empty before the first batch."""
-    state = _state(spark, path, state_schema(view, base), _manifest(spark, path)[1])
+    state = _state(spark, path, state_schema(view, base), _manifest(spark, path)[0])
     if view.extremes:
         there = F.when(F.col(VALUES) > 0, F.col(view.value))
         state = state.groupBy(*view.keys).agg(F.sum(SUM).alias(SUM), F.sum(VALUES).alias(VALUES), F.sum(ROWS).alias(ROWS),
