@@ -1,10 +1,11 @@
 """Table profiling (E1, E3-E8) — the content of an exploratory report.
 
-Column-wise profiles (E4, E6, E5) unpivot the values with ``inline`` inside
-the scan stage and run one small grouped aggregate keyed by column, so a
-profile is a single pass with map-side partial aggregation and the expanded
-rows are never shuffled.  Table-wide counts (E1, E3, E8) are one aggregate
-reshaped to one row per column.  Quantiles are exact at any size (the value at
+Column-wise profiles (E4, E6) unpivot the values with ``inline`` inside the
+scan stage and run one small grouped aggregate keyed by column, so a profile is
+a single pass with map-side partial aggregation and the expanded rows are never
+shuffled.  Table-wide counts (E1, E8) are one aggregate reshaped to one row per
+column.  Duplicate rows (E3) are found by fingerprints, frequent values (E5) by
+summaries whose completeness a second scan proves.  Quantiles are exact at any size (the value at
 rank ceil(p * n), by ``radix``), correlations come from sums per column pair
 (``comoments``), skewness and kurtosis are the population (moment) forms, the
 standard deviation is the sample one.  NaN counts as missing.
@@ -54,19 +55,35 @@ def column_info(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*structs)))
 
 
+def _prints(df: DataFrame) -> list:
+    """Two 64-bit hashes of a row.  Rows that are equal (NULL equal to NULL) have equal ones."""
+    cells = [x for f in df.schema.fields for x in (F.col(f"`{f.name}`").isNull(), F.col(f"`{f.name}`"))]
+    return [F.xxhash64(F.lit(seed), *cells).alias(f"_h{seed}") for seed in (1, 2)]
+
+
 def overview(df: DataFrame) -> DataFrame:
-    """n_rows, n_columns, missing_cells, duplicate_rows — one pass.
-    Rows are grouped by all columns (NULLs group together, so each group key
-    keeps its row's missing pattern; partial aggregation runs map-side):
-    rows = sum(c), duplicates = sum(c - 1), missing = sum(c * missing in key)."""
-    cols = [F.col(f"`{c}`") for c in df.columns]
+    """n_rows, n_columns, missing_cells, duplicate_rows.
+
+    Rows are counted by a 128-bit fingerprint, so whole rows stay where they are:
+    the shuffle has 16 bytes and two counts per different row of a task.  Rows
+    that are alone with their fingerprint are different from all others.  Only
+    where several share one does a second scan compare those rows as a whole
+    (they are copies unless fingerprints collide)."""
     missing_in_row = sum((F.when(_missing(f), 1).otherwise(0) for f in df.schema.fields), F.lit(0))
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
-    return groups.agg(
-        F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("n_rows"),
-        F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
-        F.coalesce(F.sum(F.col("_c") * missing_in_row), F.lit(0)).cast("bigint").alias("missing_cells"),
-        F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    groups = df.select(*_prints(df), missing_in_row.alias("_m")).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.sum("_m").alias("_m"))
+    shared = F.col("_n") > 1
+    folded = groups.groupBy(F.when(shared, F.col("_h1")).alias("_h1"), F.when(shared, F.col("_h2")).alias("_h2")).agg(
+        F.sum("_n").alias("_n"), F.sum("_m").alias("_m"))
+    prints = materialise(folded, "profile_prints")  # a row for all that are alone, one per shared fingerprint
+    counts = prints.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n_rows"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
+                        F.coalesce(F.sum("_m"), F.lit(0)).cast("bigint").alias("missing_cells"))
+    again = prints.where("_h1 is not null").select("_h1", "_h2")
+    if again.isEmpty():
+        return counts.withColumn("duplicate_rows", F.lit(0).cast("bigint"))
+    copies = df.select("*", *_prints(df)).join(again, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
+    copies = copies.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg((F.count(F.lit(1)) - 1).alias("_more"))
+    more = copies.agg(F.coalesce(F.sum("_more"), F.lit(0)).cast("bigint").alias("n"))
+    return counts.withColumn("duplicate_rows", more.scalar())
 
 
 def _long(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -81,15 +98,16 @@ def _name(columns: list[str], idx: str = "_k"):
     return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(idx) + 1)
 
 
-def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: list[str] | None = None, stored: bool = False) -> DataFrame:
     """Per numeric column — count, missing, zeros, negatives, min, max,
     mean, std, p25, p50, p75, skewness, kurtosis (excess).  One grouped
     aggregate over the unpivoted values, one group per column, and exact
     quantiles by radix selection (``radix``), which counts instead of moving
     values (NaN counts as missing).  The numeric columns are written once, as
-    every pass reads them."""
+    every pass reads them, unless ``df`` is ``stored`` already."""
     columns = columns or numeric_columns(df)
-    df = materialise(df.select(*[_num(c).alias(c) for c in columns]), "profile_numeric")
+    df = df.select(*[_num(c).alias(c) for c in columns])
+    df = df if stored else materialise(df, "profile_numeric")
     x = F.col("_x")
     stats = (_long(df, columns).groupBy("_k").agg(
         F.count(x).alias("n"), F.sum(F.when(x.isNull(), 1).otherwise(0)).cast("bigint").alias("n_missing"),
@@ -105,24 +123,49 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
             .select("column_name", *counts.values(), "min", "max", "mean", "std", *QUANTILES, "skewness", "kurtosis"))
 
 
-def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
+def top_values(df: DataFrame, columns: list[str], k: int = 5, tracked: int = 10_000, buckets: int = 1 << 16,
+               stored: bool = False) -> DataFrame:
     """E5: per column, the k most frequent non-null values (ties by value),
-    with their rank, the column's distinct count and its non-null count.  One pass: values are
-    unpivoted to (column, value) and counted; ``row_number() <= k`` per
-    column is planned with a partial ``WindowGroupLimit`` before the
-    shuffle, so each task ships at most k rows per column."""
-    structs = [F.struct(F.lit(i).alias("_k"), F.col(f"`{c}`").cast("string").alias("value"))
-               for i, c in enumerate(columns)]
-    counts = (df.select(F.inline(F.array(*structs))).filter(F.col("value").isNotNull())
-              .groupBy("_k", "value").agg(F.count(F.lit(1)).alias("freq")))
+    with their rank, the column's distinct count and its non-null count; exact.
+
+    A mergeable summary of ``tracked`` counters per column names candidates.  A
+    second scan counts these exactly and all other values by ``buckets`` hash
+    buckets.  No value is more frequent than its bucket, so a bucket below the
+    k-th candidate proves that nothing is missing there; the values of other
+    buckets, if any, are counted in a third scan.  The shuffles of the first two
+    hold columns x (tracked + buckets) counts per task at most, whatever the
+    number of values.  Distinct values beyond the candidates are counted by
+    128-bit fingerprints (two different values share one with a chance of
+    n^2 / 2^129).  The columns are written once, unless ``df`` is ``stored`` already."""
+    df = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    df, names = df if stored else materialise(df, "profile_values"), range(len(columns))
+    summary = df.agg(*[F.expr(f"approx_top_k(c{i}, {tracked}, {tracked})").alias(f"c{i}") for i in names])
+    named = summary.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_k"), F.col(f"c{i}.item").alias("items")) for i in names])))
+    named = materialise(named.select("_k", F.explode("items").alias("value")).where("value is not null").withColumn("_known", F.lit(True)), "profile_named")
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_k"), F.col(f"c{i}").alias("value")) for i in names]))).where("value is not null")
+    marked = (long.join(F.broadcast(named), ["_k", "value"], "left")
+              .withColumn("_bucket", F.when(F.col("_known").isNull(), F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int"))))
+    counts = materialise(marked.groupBy("_k", F.when(F.col("_known"), F.col("value")).alias("value"), "_bucket")
+                         .agg(F.count(F.lit(1)).alias("freq")), "profile_counts")
     order = Window.partitionBy("_k").orderBy(F.desc("freq"), F.asc("value"))
-    top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    # Both branches read ``freq`` (n_values), so column pruning leaves them
-    # with the same counts subplan, whose exchange is computed once and reused.
-    distinct = counts.groupBy("_k").agg(F.count(F.lit(1)).alias("n_distinct"),
-                                        F.sum("freq").cast("bigint").alias("n_values"))
-    return (top.join(F.broadcast(distinct), "_k")
-            .select(_name(columns).alias("column_name"), "value", "freq", "rank", "n_distinct", "n_values"))
+    found = counts.where("value is not null").select("_k", "value", "freq")
+    # the k-th candidate of each column: one number per column
+    least = {r["_k"]: r["freq"] for r in found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).collect()}
+    floor = F.coalesce(F.get(F.array(*[F.lit(least.get(i, 0)) for i in names]), F.col("_k")), F.lit(0))
+    open_ = counts.where(F.col("_bucket").isNotNull() & (F.col("freq") >= floor)).select("_k", "_bucket")
+    if not open_.isEmpty():
+        more = marked.where("_bucket is not null").join(F.broadcast(open_), ["_k", "_bucket"]).groupBy("_k", "value").agg(F.count(F.lit(1)).alias("freq"))
+        found = found.unionByName(more)
+    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    totals = counts.groupBy("_k").agg(F.sum("freq").cast("bigint").alias("n_values"), F.count("value").alias("_named"),
+                                      F.max("_bucket").isNotNull().alias("_more"))
+    rest = [r["_k"] for r in totals.where("_more").collect()]
+    if rest:
+        prints = long.where(F.col("_k").isin(rest)).select("_k", F.xxhash64("value").alias("_h1"), F.xxhash64(F.lit(1), "value").alias("_h2"))
+        distinct = prints.groupBy("_k", "_h1", "_h2").agg(F.lit(1)).groupBy("_k").agg(F.count(F.lit(1)).alias("_distinct"))
+        totals = totals.join(distinct, "_k", "left").withColumn("_named", F.coalesce("_distinct", "_named"))
+    return (top.join(F.broadcast(totals), "_k")
+            .select(_name(columns).alias("column_name"), "value", "freq", "rank", F.col("_named").alias("n_distinct"), "n_values"))
 
 
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:
@@ -147,7 +190,7 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -
                     F.coalesce(edge, lo + (F.col("bin") + 1) * w).alias("hi"), "freq"))
 
 
-def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def correlations(df: DataFrame, columns: list[str] | None = None, stored: bool = False) -> DataFrame:
     """Every column pair (a before b): Pearson over pairwise-complete rows,
     Spearman (Pearson of average ranks) over rows complete in all columns.
     Both come from sums per pair that each task adds up over its rows
@@ -158,8 +201,8 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     p = len(columns)
     # The numeric projection is read several times: written once in the shared
     # checkpoint folder instead of recomputing the upstream plan.
-    num = materialise(df.select(*[_num(c).alias(f"c{i}") for i, c in enumerate(columns)])
-                      .withColumn("_row", F.monotonically_increasing_id()), "profile_corr")
+    num = df.select(*[_num(c).alias(f"c{i}") for i, c in enumerate(columns)]).withColumn("_row", F.monotonically_increasing_id())
+    num = num if stored else materialise(num, "profile_corr")
     values = [F.col(f"c{i}") for i in range(p)]
     *means, complete = num.agg(*[F.coalesce(F.avg(finite(v)), F.lit(0.0)) for v in values],
                                F.count_if(reduce(lambda a, b: a & b, [v.isNotNull() for v in values]))).first()
@@ -197,11 +240,11 @@ def report(df: DataFrame, top_columns: list[str] | None = None, k: int = 5,
     return {
         "info": column_info(df),
         "overview": overview(df),
-        "numeric": numeric_summary(df, numeric),
-        "top_values": top_values(df, top_columns or non_numeric or df.columns, k),
+        "numeric": numeric_summary(df, numeric, stored=True),
+        "top_values": top_values(df, top_columns or non_numeric or df.columns, k, stored=True),
         "histogram": histogram(df, numeric, bins),
         "missing": missing(df),
-        "correlations": correlations(df, numeric) if len(numeric) >= 2 else None,
+        "correlations": correlations(df, numeric, stored=True) if len(numeric) >= 2 else None,
     }
 
 

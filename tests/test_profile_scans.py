@@ -1,0 +1,76 @@
+"""Duplicate rows by fingerprints and frequent values by summaries, against plain counts."""
+
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from epiframe.operators import profile as pf
+
+
+def overview(df):
+    return tuple(pf.overview(df).first())
+
+
+def test_duplicates_of_every_kind_of_value(spark):
+    rows = [(1, None, 0.0, "a"), (1, None, -0.0, "a"), (None, 1, 0.0, "a"), (1, None, float("nan"), "a"), (1, None, float("nan"), "a"),
+            (2, 2, 1.0, None), (2, 2, 1.0, ""), (3, 3, 1.0, "x"), (3, 3, 1.0, "x"), (3, 3, 1.0, "x")]
+    df = spark.createDataFrame(rows, "a int, b int, c double, d string").repartition(4)
+    want = df.groupBy(*df.columns).count().agg(F.sum(F.col("count") - 1)).first()[0]
+    assert overview(df) == (10, 4, sum(x is None or x != x for r in rows for x in r), want) and want == 4
+    assert overview(df.limit(0)) == (0, 4, 0, 0)
+
+
+def test_colliding_fingerprints_are_compared_as_whole_rows(spark, monkeypatch):
+    df = spark.range(300).select((F.col("id") % 200).alias("a"), F.lit("same").alias("b"))
+    assert overview(df)[3] == 100
+    monkeypatch.setattr(pf, "_prints", lambda df: [F.lit(7).cast("long").alias("_h1"), F.col("a").bitwiseAND(1).alias("_h2")])
+    assert overview(df)[3] == 100
+
+
+def test_whole_rows_are_not_shuffled_where_all_differ(spark):
+    df = spark.range(5000).select("id", F.repeat(F.lit("long text "), 50).alias("text"))
+    out = pf.overview(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan and tuple(out.first()) == (5000, 2, 0, 0)
+
+
+def top(df, columns, **kw):
+    out = {}
+    for r in pf.top_values(df, columns, **kw).orderBy("rank").collect():
+        out.setdefault(r["column_name"], []).append((r["value"], r["freq"], r["rank"], r["n_distinct"], r["n_values"]))
+    return out
+
+
+def expected(values, k=5):
+    c = Counter(str(v) for v in values if v is not None)
+    best = sorted(c.items(), key=lambda x: (-x[1], x[0]))[:k]
+    return [(v, n, i, len(c), sum(c.values())) for i, (v, n) in enumerate(best, 1)]
+
+
+@pytest.mark.parametrize("tracked,buckets", [(10_000, 1 << 16), (20, 8), (8, 1 << 12), (50, 1)])
+def test_frequent_values_with_any_size_of_summary(spark, tracked, buckets):
+    """Few values, a heavy tail, a near-unique column, ties at the k-th place, nulls only."""
+    rng = random.Random(tracked)
+    n = 4000
+    cols = {"few": [i % 7 for i in range(n)], "tail": [int(rng.paretovariate(0.7)) for _ in range(n)],
+            "unique": [f"u{i // 2 if i < 20 else i}" for i in range(n)], "ties": [i % 900 for i in range(n)],
+            "hot": ["x" if rng.random() < 0.4 else f"v{rng.randrange(3000)}" for _ in range(n)], "none": [None] * n}
+    df = spark.createDataFrame(list(zip(*cols.values())), "few int, tail long, unique string, ties int, hot string, none string").repartition(6)
+    got = top(df, list(cols), tracked=tracked, buckets=buckets)
+    assert got == {c: expected(v) for c, v in cols.items() if c != "none"}
+
+
+def test_values_below_the_kth_candidate_are_not_counted_one_by_one(spark, tmp_dir):
+    """Buckets of a long tail under the k-th place prove it complete: no third scan by value."""
+    df = spark.range(0, 200_000, 1, 4).select(F.when(F.col("id") % 4 < 3, F.col("id") % 5).otherwise(F.col("id")).cast("string").alias("v"))
+    out = pf.top_values(df, ["v"], tracked=100)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_k#" in plan and not any("Exchange" in x and "value#" in x for x in plan.split("\n"))
+    assert [(r["value"], r["n_values"]) for r in out.orderBy("rank").collect()][0][1] == 200_000
+    assert out.first()["n_distinct"] == 50_000 + 5 - sum(1 for i in range(5) if i % 4 == 3)
+
+
+def test_empty_table(spark):
+    assert pf.top_values(spark.createDataFrame([], "a string, b int"), ["a", "b"]).collect() == []
