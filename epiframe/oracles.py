@@ -525,3 +525,9 @@ ORACLES.update({
           WHEN bare OR "user" IS NULL THEN 'missing user' END AS reason FROM sent)
         SELECT reason, 2 * COUNT(*) AS n_lines, COUNT(DISTINCT id) AS n_different FROM r WHERE reason IS NOT NULL GROUP BY 1""",
 })
+
+
+ORACLES.update({
+    "curved_country": f"WITH {P} SELECT * FROM p WHERE country_region = {_lit(SELECTION[2])}",
+    "curved_window": ORACLES["clustered_window"],
+})

@@ -7,6 +7,7 @@ Doubles are rounded to 6 places here, never inside operators.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -27,6 +28,7 @@ from epiframe.plans import charts
 from epiframe.plans import comments as cm
 from epiframe.plans import enrichment
 from epiframe.plans.comment_log import CommentLog
+from epiframe.plans.curve import CurvedTable
 from epiframe.plans import warehouse as wh
 from epiframe.session import materialise, work_dir
 from epiframe.sources.files import read_enriched, read_mapping, read_population, read_table, write_csv
@@ -265,6 +267,28 @@ def clustered_window(spark, sf):
     return agg.daily_sum_window(laid_out, WINDOW_START, WINDOW_END, month_directory=wh.MONTH)
 
 
+def _curved(spark, sf, name):
+    """P laid out by cells of (date, country): the rows up to 1997 first, then the later
+    ones appended in two parts, cells with several files merged."""
+    panel = materialise(fx.panel(spark, sf), name)
+    table = CurvedTable.create(panel.where("date < '1998-01-01'"), f"{work_dir(spark, name)}/table", ["date", "country_region"])
+    table.append(panel.where("date >= '1998-01-01' and cases > 1")).append(panel.where("date >= '1998-01-01' and not cases > 1")).merge()
+    return table
+
+
+@query
+def curved_country(spark, sf):
+    """S13 on P: one country's rows from a layout clustered on date and country, after appends and merges."""
+    return _curved(spark, sf, "curved_country").read(country_region=(SELECTION[2], SELECTION[2]))
+
+
+@query
+def curved_window(spark, sf):
+    """S13 + A13 on P: the date-window query from the same layout."""
+    window = _curved(spark, sf, "curved_window").read(date=(dt.date.fromisoformat(WINDOW_START), dt.date.fromisoformat(WINDOW_END)))
+    return agg.daily_sum_window(window, WINDOW_START, WINDOW_END)
+
+
 @query
 def view_daily_new(spark, sf):
     """S14 on P: stored daily-new-cases aggregate over active rows."""
