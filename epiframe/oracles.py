@@ -531,3 +531,15 @@ ORACLES.update({
     "curved_country": f"WITH {P} SELECT * FROM p WHERE country_region = {_lit(SELECTION[2])}",
     "curved_window": ORACLES["clustered_window"],
 })
+
+
+ORACLES.update({
+    "rebuild_changed_month": f"""WITH w AS ({ORACLES["warehouse_build"]})
+        SELECT table_name, n_rows, total, '1996-03' AS months_written FROM w""",
+    "nearest_countries": f"""WITH {P}, {D}, pairs AS (
+          SELECT l.name, r.name AS nearest, levenshtein(l.name, r.name) AS distance
+          FROM (SELECT DISTINCT lower(trim(country_region)) AS name FROM p) l LEFT JOIN (SELECT DISTINCT lower(trim(country)) AS name FROM d) r
+               ON levenshtein(l.name, r.name) <= 3)
+        SELECT name, nearest, CAST(distance AS INTEGER) AS distance FROM pairs
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY name ORDER BY distance, nearest) = 1""",
+})
