@@ -143,9 +143,31 @@ def search(layers: list[np.ndarray], x: np.ndarray, queries: np.ndarray, ef: int
     return beam(layers[-1], x, queries, entry, ef)
 
 
+def tuned(layers: list[np.ndarray], x: np.ndarray, k: int, recall: float = 0.97, efs: tuple = (128, 256, 512), probes: int = 256) -> int:
+    """The least of ``efs`` at which the graph finds what a comparison with all vectors
+    does: of the ``k`` best of evenly picked members a share of ``recall`` on the
+    whole, and of 0.9 over the tenth of them that fares worst (a small group
+    that the graph does not lead to shows there).  0 if none does."""
+    n = len(x)
+    q = x[np.unique(np.linspace(0, n - 1, min(n, probes)).astype(int))]
+    k = min(k, n)
+    best = -np.sort(-(q @ x.T), axis=1)[:, :k]
+    least = best[:, -1] - 1e-5 * np.abs(best).max(axis=1)  # equally near ones are as good
+    for ef in efs:
+        _, score = search(layers, x, q, max(ef, k))
+        share = np.sort((score[:, :k] >= least[:, None]).mean(axis=1))
+        if share.mean() >= recall and share[:max(1, len(share) // 10)].mean() >= 0.9:
+            return ef
+    return 0
+
+
 def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 8192, k: int = 20,
           m: int = 16, ef: int = 64) -> DataFrame:
-    """The stored index, a row per shard: (dim, shard, members, vectors, layers).
+    """The stored index, a row per shard: (dim, shard, members, vectors, layers, breadth).
+
+    breadth is how many vectors a search of the shard keeps (see ``tuned``): as few
+    as its own self-check allows, and 0 where none was enough, as in a shard that
+    a group of near copies fills: such a shard is compared whole.
 
     Equal vectors are one entry that keeps its ``k`` + 1 smallest ids, which is
     all that a search for k can return.  Rows without an id, and vectors that
@@ -168,21 +190,24 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         layers = build(x.astype(np.float32), m, ef)
         return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "shard": [int(group["shard"].iloc[0])],
                              "members": [[list(i) for i in group["ids"]]], "vectors": [x.tobytes()],
-                             "layers": [[y.tobytes() for y in layers]], "widths": [[y.shape[1] for y in layers]]})
+                             "layers": [[y.tobytes() for y in layers]], "widths": [[y.shape[1] for y in layers]],
+                             "breadth": [tuned(layers, x.astype(np.float32), k + 1)]})
 
     return entries.groupBy("dim", "shard").applyInPandas(
-        make, "dim int, shard int, members array<array<long>>, vectors binary, layers array<binary>, widths array<int>")
+        make, "dim int, shard int, members array<array<long>>, vectors binary, layers array<binary>, widths array<int>, breadth int")
 
 
 def nearest(index_rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-            ef: int = 128, block_rows: int = 1024) -> DataFrame:
+            block_rows: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found by inner product, a query's own id left out.
 
     Scores are double-precision inner products of the original vectors, ties
-    go to the smaller id.  Blocks of ``block_rows`` queries meet every shard;
-    a shard returns k rows per query, so what is merged grows with queries
-    times shards, not with the table.  A repeated query id is searched once
-    per distinct vector.  Fewer candidates than k: all of them."""
+    go to the smaller id.  A shard is sent to one task once; blocks of
+    ``block_rows`` queries follow it there and are searched one after another.
+    A shard returns k rows per query, so what is merged grows with queries times
+    shards, not with the table: for large tables raise ``shard_rows`` of the index.
+    A repeated query id is searched once per distinct vector.  Fewer candidates
+    than k: all of them."""
     rows = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).distinct()
     rows = rows.withColumn("dim", F.size("vector"))
@@ -190,38 +215,50 @@ def nearest(index_rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     # A block holds about block_rows queries, by a hash of the id.
     packs = rows.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
-    places = index_rows.select("dim", "shard").join(packs.select("dim", "block"), "dim")
-    pairs = places.join(index_rows, ["dim", "shard"]).join(packs, ["dim", "block"])
+    shards = index_rows.groupBy("dim").agg(F.max("shard").alias("last"))
+    sent = packs.join(shards, "dim").select("dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), "block", "queries")
+    both = index_rows.withColumn("block", F.lit(-1)).unionByName(sent, allowMissingColumns=True)
+    both = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "block")
 
     def look(batches):
+        shard = None  # (dim, number, vectors, layers, members, breadth)
         for frame in batches:
             for r in frame.itertuples(index=False):
-                x = np.frombuffer(r.vectors, np.float64).reshape(-1, r.dim)
-                layers = [np.frombuffer(y, np.int32).reshape(-1, w) for y, w in zip(r.layers, r.widths)]
-                q = np.array([row["vector"] for row in r.queries], np.float64)
-                mine = np.array([row["id"] for row in r.queries], np.int64)
-                yield from _look(x, layers, r.members, q, mine, k, ef)
+                if r.block < 0:
+                    layers = [np.frombuffer(y, np.int32).reshape(-1, int(w)) for y, w in zip(r.layers, r.widths)]
+                    shard = r.dim, r.shard, np.frombuffer(r.vectors, np.float64).reshape(-1, r.dim), layers, r.members, int(r.breadth)
+                elif shard is not None and shard[:2] == (r.dim, r.shard):  # else no vector fell into the shard
+                    q = np.array([row["vector"] for row in r.queries], np.float64)
+                    mine = np.array([row["id"] for row in r.queries], np.int64)
+                    yield from _look(*shard[2:], q, mine, k)
 
-    found = pairs.select("dim", "members", "vectors", "layers", "widths", "queries").mapInPandas(
+    found = both.select("dim", "shard", "block", "members", "vectors", "layers", "widths", "breadth", "queries").mapInPandas(
         look, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _look(x, layers, members, q, mine, k, ef, some: int = 256):
+def _look(x, layers, members, breadth, q, mine, k, some: int = 256):
     """The best ``k`` rows of one shard for each query, some queries at a time."""
     full = x.astype(np.float32)
     first = np.array([len(i) for i in members], np.int64)
     flat = np.concatenate([np.asarray(i, np.int64) for i in members])
     start = np.cumsum(first) - first
+    want = min(k + 1, len(x))
     for a in range(0, len(q), some):
         part = q[a:a + some].astype(np.float32)
-        ids, _ = search(layers, full, part, max(ef, k + 1))
-        want = min(k + 1, len(x))
-        short = (ids >= 0).sum(axis=1) < want
-        if short.any():  # a part of the graph that the search did not reach: compare with all
-            ids[short, :want] = np.argsort(-(part[short] @ full.T), axis=1, kind="stable")[:, :want]
+        if breadth:
+            ids, _ = search(layers, full, part, max(breadth, k + 1))
+            short = (ids >= 0).sum(axis=1) < want
+        else:
+            ids, short = np.full((len(part), want), -1, np.int32), np.ones(len(part), bool)
+        if short.any():  # compared with all: the shard as its self-check says, or a part of the graph not reached
+            near = part[short] @ full.T
+            # a few more than wanted, as scores are compared in double precision below
+            more = min(len(x), 3 * k)
+            ids = np.hstack([ids, np.full((len(ids), max(0, more - ids.shape[1])), -1, ids.dtype)])
+            ids[short, :more] = np.argsort(-near, axis=1, kind="stable")[:, :more]
         ids = ids[:, :max(want, min(ids.shape[1], 3 * k))]
         r, c = np.nonzero(ids >= 0)
         entry = ids[r, c]

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from epiframe.llm.common import cut
 from epiframe.llm import hnsw as H, projection_dedup as D
 
 ROWS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
@@ -153,3 +154,34 @@ def test_nearest_edges(spark):
     assert [tuple(r)[2] for r in H.nearest(H.index(twice), few.where("vec_id = 0")).orderBy("rank").collect()] == [2, 1]
     empty = table(spark, [])
     assert H.nearest(H.index(empty), empty).collect() == []
+
+
+@pytest.mark.parametrize("share,noise,dim", [(0.6, 0.03, 64), (1 / 3, 0.2, 64), (0.1, 0.03, 64), (0.0, 0.0, 256)])
+def test_recall_of_the_hot_group_and_of_the_rest(spark, share, noise, dim):
+    """Production parameters on two shards: a group of near copies hides nothing."""
+    rng = np.random.default_rng(int(share * 100) + dim)
+    n, k = 12_000, 20
+    x, hot = rng.standard_normal((n, dim)), rng.random(n) < share
+    x[hot] = rng.standard_normal(dim) + noise * rng.standard_normal((hot.sum(), dim))
+    x = x.astype(np.float32).astype(float)
+    df = table(spark, x).repartition(4)
+    stored = cut(H.index(df, k=k), "hnsw")
+    found = {}
+    for r in H.nearest(stored, df.where("vec_id % 40 = 0"), k=k).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    share_found = np.array([len(set(brute_nearest(x, np.arange(n), q, k)) & found[q]) / k for q in range(0, n, 40)])
+    groups = [hot[::40], ~hot[::40]]
+    assert all(share_found[g].mean() >= 0.95 for g in groups if g.any())
+
+
+def test_a_shard_whose_graph_misses_is_compared_whole():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((600, 16)).astype(np.float32)
+    layers = H.build(x)
+    assert H.tuned(layers, x, 20) in (128, 256, 512)
+    lost = [np.full_like(layer, -1) for layer in layers]  # no links: only the entry is found
+    assert H.tuned(lost, x, 20) == 0
+    members = [[i] for i in range(len(x))]
+    rows = list(H._look(x.astype(float), lost, members, 0, x[:5].astype(float), np.arange(5), 20))[0]
+    for q in range(5):
+        assert rows[rows["query_id"] == q]["vec_id"].tolist() == brute_nearest(x.astype(float), np.arange(600), q, 20)
