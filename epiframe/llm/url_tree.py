@@ -72,80 +72,97 @@ def similar(a: dict[str, float], b: dict[str, float], z: float = 2.0) -> bool:
     return g <= df * (1 - 2 / (9 * df) + z * math.sqrt(2 / (9 * df))) ** 3
 
 
-def merge_siblings(rows: list[tuple[str, str, float]]) -> dict[str, str]:
-    """(branch, feature, count) rows of one parent -> branch: merged name.
-
-    Largest branch first, each joins the first cluster it is similar to.
-    Merged names list their members in order."""
-    vectors: dict[str, dict[str, float]] = {}
-    for branch, feature, n in rows:
-        vectors.setdefault(branch, {})[feature] = vectors.get(branch, {}).get(feature, 0) + n
-    clusters: list[tuple[dict[str, float], list[str]]] = []
-    for branch in sorted(vectors, key=lambda b: (-sum(vectors[b].values()), b)):
+def merge_siblings(rows: list[tuple[str, str, str, float]]) -> dict[str, str]:
+    """(branch, "next" or "label", feature, count) rows of one parent -> branch: merged name.
+
+    Largest branch first, each joins the first cluster it is similar to: in what
+    comes next on the paths and, where both have labelled urls, in their labels.
+    A branch without labels is known by its paths alone, so labels pass to it
+    from branches it looks like.  Merged names list their members in order."""
+    vectors: dict[str, dict[str, dict[str, float]]] = {}
+    for branch, kind, feature, n in rows:
+        counts = vectors.setdefault(branch, {"next": {}, "label": {}})[kind]
+        counts[feature] = counts.get(feature, 0) + n
+    clusters: list[tuple[dict[str, dict[str, float]], list[str]]] = []
+    for branch in sorted(vectors, key=lambda b: (-sum(vectors[b]["next"].values()), b)):
         v = vectors[branch]
         for total, members in clusters:
-            if similar(total, v):
-                for k, n in v.items():
-                    total[k] = total.get(k, 0) + n
+            if similar(total["next"], v["next"]) and (not total["label"] or not v["label"] or similar(total["label"], v["label"])):
+                for kind, counts in v.items():
+                    for k, n in counts.items():
+                        total[kind][k] = total[kind].get(k, 0) + n
                 members.append(branch)
                 break
         else:
-            clusters.append((dict(v), [branch]))
+            clusters.append(({kind: dict(counts) for kind, counts in v.items()}, [branch]))
     return {b: "|".join(sorted(members)) for _, members in clusters for b in members}
 
 
-def templates(labelled: DataFrame, share: float = 0.02, least: int = 3, max_depth: int = 8) -> DataFrame:
+def templates(labelled: DataFrame, share: float = 0.02, least: int = 3) -> DataFrame:
     """(host, shape, template, block, allow, none): the template of every host and path shape.
 
     ``labelled`` holds host, shape (array of segments) and outcome (block,
-    allow or none).  Level by level from the root of each host: a literal
-    segment with fewer than ``least`` urls or less than ``share`` of its
-    parent's becomes {word}, so a parent has at most 1 / share literal
-    branches; then branches whose distributions of outcomes and next segments
-    are similar are merged.  Segments beyond ``max_depth`` form one branch.
-    Everything runs on counts per host and shape, aggregated before shuffles."""
-    shape = F.when(F.size("shape") > max_depth, F.concat(F.slice("shape", 1, max_depth - 1), F.array(F.lit("{deep}"))))
-    rows = labelled.select("host", "shape", shape.otherwise(F.col("shape")).alias("path"), "outcome")
+    allow or none).  From the root of each host, wherever the paths of a node
+    part: a literal segment with fewer than ``least`` urls or less than ``share``
+    of its node's becomes {word}, so a node has at most 1 / share literal
+    branches; then similar branches (``merge_siblings``) are merged.  Segments
+    that all paths of a node share are passed in one step, and a node with one
+    shape is done, so there are as many rounds as a path has forks, however
+    long it is.  Everything runs on counts per host and shape, aggregated before
+    shuffles; each round is written and only has the shapes still undecided."""
     counts = [F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES]
-    rows = cut(rows.groupBy("host", "shape", "path").agg(*counts).withColumn("prefix", F.lit("")), "shapes")
-    depth = rows.agg(F.max(F.size("path"))).first()[0] or 0
+    rows = cut(labelled.groupBy("host", "shape").agg(*counts).withColumn("prefix", F.lit("")).withColumn("rest", F.col("shape")), "shapes")
     n = reduce(lambda a, b: a + b, map(F.col, OUTCOMES))
-    for d in range(depth):
-        here = rows.withColumn("seg", F.when(F.size("path") > d, F.element_at("path", d + 1)))
-        parent = here.where("seg is not null").groupBy("host", "prefix").agg(F.sum(n).alias("parent_n"))
-        child = here.where("seg is not null").groupBy("host", "prefix", "seg").agg(F.sum(n).alias("child_n"))
+    out = []
+    while True:
+        node = rows.groupBy("host", "prefix").agg(F.count("*").alias("shapes"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        # arrays are ordered by segments: what the least and the greatest share, all share
+        parts = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), False)
+        node = node.select("host", "prefix", "shapes", F.greatest(parts - 1, F.lit(0)).cast("int").alias("same"))
+        here = cut(rows.join(node, ["host", "prefix"]), "nodes")
+        out.append(here.where("shapes = 1").select("host", "shape", F.col("prefix").alias("template"), *OUTCOMES))
+        here = here.where("shapes > 1")
+        if here.isEmpty():
+            break
+        here = here.select("host", "shape", *OUTCOMES, "prefix", F.concat_ws("/", F.col("prefix"), F.slice("rest", F.lit(1), F.col("same"))).alias("stem"),
+                           F.get("rest", F.col("same")).alias("seg"), F.slice("rest", F.col("same") + 2, F.size("rest")).alias("rest"))
+        # a path that ends where others go on is a template of its own
+        out.append(here.where("seg is null").select("host", "shape", F.concat("stem", F.lit("/$")).alias("template"), *OUTCOMES))
+        here = here.where("seg is not null")
+        parent = here.groupBy("host", "prefix").agg(F.sum(n).alias("parent_n"))
+        child = here.groupBy("host", "prefix", "seg").agg(F.sum(n).alias("child_n"))
         few = (F.col("child_n") < least) | (F.col("child_n") < share * F.col("parent_n"))
         wild = F.when(few & ~F.col("seg").startswith("{") & (F.col("seg") != ""), "{word}").otherwise(F.col("seg"))
         branch = child.join(parent, ["host", "prefix"]).select("host", "prefix", "seg", wild.alias("branch"))
-        here = cut(here.join(branch, ["host", "prefix", "seg"], "left"), "level")
-        after = F.when(F.size("path") == d + 1, "end").when(F.element_at("path", F.least(F.size("path"), F.lit(d + 2)))
-                                                           .startswith("{"), F.element_at("path", F.least(F.size("path"), F.lit(d + 2)))).otherwise("word")
-        outcome = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.col(o).alias("n")) for o in OUTCOMES]))
-        seen = (here.where("branch is not null").select("host", "prefix", "branch", after.alias("next"), outcome.alias("x"))
-                .where("x.n > 0").groupBy("host", "prefix", "branch", F.concat("x.o", F.lit(" "), "next").alias("feature"))
-                .agg(F.sum("x.n").cast("double").alias("n")))
+        here = cut(here.join(branch, ["host", "prefix", "seg"]), "level")
+        after = F.get("rest", F.lit(0))
+        after = F.when(after.isNull(), "end").when(after.startswith("{"), after).otherwise("word")
+        features = [F.struct(F.lit("next").alias("kind"), after.alias("feature"), n.alias("n"))]
+        features += [F.struct(F.lit("label").alias("kind"), F.lit(o).alias("feature"), F.col(o).alias("n")) for o in OUTCOMES[:2]]
+        seen = (here.select("host", "prefix", "branch", F.inline(F.array(*features))).where("n > 0")
+                .groupBy("host", "prefix", "branch", "kind", "feature").agg(F.sum("n").cast("double").alias("n")))
 
         def merge(group: pd.DataFrame) -> pd.DataFrame:
-            named = merge_siblings(list(group[["branch", "feature", "n"]].itertuples(index=False, name=None)))
+            named = merge_siblings(list(group[["branch", "kind", "feature", "n"]].itertuples(index=False, name=None)))
             return pd.DataFrame({"host": group["host"].iloc[0], "prefix": group["prefix"].iloc[0],
                                  "branch": list(named), "name": list(named.values())})
 
-        # A group holds one parent's branches: at most 1 / share literals and the wildcards.
+        # A group holds one node's branches: at most 1 / share literals and the wildcards.
         names = seen.groupBy("host", "prefix").applyInPandas(merge, "host string, prefix string, branch string, name string")
-        rows = here.join(names, ["host", "prefix", "branch"], "left")
-        rows = cut(rows.select("host", "shape", "path", *OUTCOMES, F.when(
-            F.col("name").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "name")).alias("prefix")), "shapes")
-    return rows.select("host", "shape", F.col("prefix").alias("template"), *OUTCOMES)
+        rows = here.join(names, ["host", "prefix", "branch"])
+        rows = cut(rows.select("host", "shape", *OUTCOMES, F.concat("stem", F.lit("/"), "name").alias("prefix"), "rest"), "shapes")
+    return reduce(DataFrame.unionByName, out)
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", threshold: float = 0.8,
-          strength: float = 5.0, least: int = 10) -> DataFrame:
+          strength: float = 5.0) -> DataFrame:
     """(id, host, path, rule, verdict): a row per row of ``pages``.
 
     Where a rule fits, its verdict.  Elsewhere the url's template decides: the
-    urls with a rule are its labels, and it is blocked if at least ``least``
-    are and its smoothed purity (block + strength * p) / (labels + strength)
-    reaches ``threshold``, p being the share of block among all labels.  Null
+    urls with a rule are its labels, and it is blocked if some are blocked and its
+    smoothed purity (block + strength * p) / (labels + strength) reaches
+    ``threshold``, p being the share of block among all labels: a template with
+    few labels leans on p.  Null
     urls, and those without ``://``, have an empty host and path."""
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     urls = pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path"))
@@ -156,7 +173,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     sums = tree.groupBy("host", "template").agg(F.sum("block").alias("b"), F.sum("allow").alias("a"))
     share = tree.agg((F.sum("block") / F.nullif(F.sum("block") + F.sum("allow"), F.lit(0))).alias("p")).first()["p"] or 0.0
     purity = (F.col("b") + strength * share) / (F.col("a") + F.col("b") + strength)
-    bad = sums.where((F.col("b") >= least) & (purity >= threshold)).select("host", "template")
+    bad = sums.where((F.col("b") > 0) & (purity >= threshold)).select("host", "template")
     bad = tree.join(bad, ["host", "template"], "left_semi").select("host", F.col("shape").alias("_shape"), F.lit(True).alias("_bad"))
     out = urls.join(bad, ["host", "_shape"], "left")
     verdict = F.coalesce("_hit.verdict", F.when(F.col("_bad"), "block"), F.lit("allow"))

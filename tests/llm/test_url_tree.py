@@ -27,33 +27,48 @@ def brute_rule(host, path, rules):
 
 def brute_templates(rows, share=0.02, least=3):
     """rows: (host, segments tuple, outcome) -> (host, segments): template."""
-    count = defaultdict(Counter)
+    count, out = defaultdict(Counter), {}
     for host, segs, outcome in rows:
         count[host, segs][outcome] += 1
-    prefix = {k: "" for k in count}
-    for d in range(max((len(s) for _, s in count), default=0)):
-        here = [k for k in count if len(k[1]) > d]
-        child, parent = Counter(), Counter()
-        for k in here:
-            child[k[0], prefix[k], k[1][d]] += sum(count[k].values())
-            parent[k[0], prefix[k]] += sum(count[k].values())
-        branch, seen = {}, defaultdict(Counter)
-        for k in here:
-            seg, n = k[1][d], child[k[0], prefix[k], k[1][d]]
-            few = n < least or n < share * parent[k[0], prefix[k]]
-            branch[k] = "{word}" if few and seg and not seg.startswith("{") else seg
-            after = "end" if len(k[1]) == d + 1 else k[1][d + 1] if k[1][d + 1].startswith("{") else "word"
-            for o, n in count[k].items():
-                seen[k[0], prefix[k]][branch[k], f"{o} {after}"] += n
-        for k in here:
-            names = U.merge_siblings([(b, f, n) for (b, f), n in sorted(seen[k[0], prefix[k]].items())])
-            branch[k] = names[branch[k]]
-        for k in here:
-            prefix[k] += "/" + branch[k]
-    return prefix, count
-
-
-def brute_judge(pages, rules, shapes, threshold=0.8, strength=5.0, least=10):
+
+    def walk(host, prefix, shapes):
+        """shapes: whole -> what is left of it."""
+        if len(shapes) == 1:
+            out[host, next(iter(shapes))] = prefix
+            return
+        same = 0
+        while all(len(r) > same for r in shapes.values()) and len({r[same] for r in shapes.values()}) == 1:
+            same += 1
+        stem = "/".join([prefix, *next(iter(shapes.values()))[:same]])
+        for s in [s for s, r in shapes.items() if len(r) == same]:
+            out[host, s] = stem + "/$"
+        left = {s: r[same:] for s, r in shapes.items() if len(r) > same}
+        size = {s: sum(count[host, s].values()) for s in left}
+        child, total = Counter(), sum(size.values())
+        for s, r in left.items():
+            child[r[0]] += size[s]
+        branch, seen = {}, Counter()
+        for s, r in left.items():
+            few = child[r[0]] < least or child[r[0]] < share * total
+            branch[s] = "{word}" if few and r[0] and not r[0].startswith("{") else r[0]
+            after = "end" if len(r) == 1 else r[1] if r[1].startswith("{") else "word"
+            seen[branch[s], "next", after] += size[s]
+            for o in ("block", "allow"):
+                if count[host, s][o]:
+                    seen[branch[s], "label", o] += count[host, s][o]
+        names = U.merge_siblings([(*k, n) for k, n in sorted(seen.items())])
+        for name in set(names.values()):
+            walk(host, f"{stem}/{name}", {s: r[1:] for s, r in left.items() if names[branch[s]] == name})
+
+    hosts = defaultdict(dict)
+    for host, segs in count:
+        hosts[host][segs] = segs
+    for host, shapes in hosts.items():
+        walk(host, "", shapes)
+    return out, count
+
+
+def brute_judge(pages, rules, shapes, threshold=0.8, strength=5.0):
     parts = {i: brute_parts(u) for i, u in pages.items()}
     rule = {i: brute_rule(*p, rules) for i, p in parts.items()}
     rows = {i: (parts[i][0], shapes[i], rule[i].verdict if rule[i] else "none") for i in pages}
@@ -66,7 +81,7 @@ def brute_judge(pages, rules, shapes, threshold=0.8, strength=5.0, least=10):
     out = {}
     for i, (host, segs, _) in rows.items():
         t = host, prefix[host, segs]
-        bad = b[t] >= least and (b[t] + strength * p) / (a[t] + b[t] + strength) >= threshold
+        bad = b[t] > 0 and (b[t] + strength * p) / (a[t] + b[t] + strength) >= threshold
         out[i] = (*parts[i], rule[i].host + rule[i].path if rule[i] else None,
                   rule[i].verdict if rule[i] else "block" if bad else "allow")
     return out
@@ -104,8 +119,46 @@ def test_learned_templates_reject_and_spare(spark):
 
 
 def test_similar_branches_merge_and_others_do_not():
-    merged = U.merge_siblings([("en", "none {num}", 500), ("de", "none {num}", 90), ("es", "block {num}", 80), ("fr", "block {num}", 70)])
-    assert merged == {"en": "de|en", "de": "de|en", "es": "es|fr", "fr": "es|fr"}
+    def merged(*rows):
+        return U.merge_siblings([r for branch, n, label in rows for r in
+                                 [(branch, "next", "{num}", n)] + ([(branch, "label", label, n)] if label else [])])
+    assert merged(("es", 80, "block"), ("fr", 70, "block"), ("en", 90, "allow")) == {"es": "es|fr", "fr": "es|fr", "en": "en"}
+    # a branch without labels goes with the largest it looks like
+    assert merged(("en", 500, None), ("es", 80, "block"), ("fr", 70, "block")) == dict.fromkeys(["en", "es", "fr"], "en|es|fr")
+    other = U.merge_siblings([("a", "next", "{num}", 50.0), ("b", "next", "word", 50.0)])
+    assert other == {"a": "a", "b": "b"}
+
+
+def test_siblings_of_blocked_branches_are_rejected_where_they_look_alike(spark):
+    """On a host whose labelled branches are all blocked, an unlabelled one of the same
+    form goes too; one of another form, or beside allowed branches, stays."""
+    urls = [f"x://a.net/{lang}/{i}" for lang in ("es", "fr", "en") for i in range(40)]
+    urls += [f"x://a.net/about/us/{c}" for c in "abcdefgh" for _ in range(5)]
+    urls += [f"x://b.com/{lang}/{i}" for lang in ("en", "de") for i in range(40)]
+    urls += [f"x://c.net/{lang}/{i}" for lang in ("es", "en") for i in range(2)]  # too few labels
+    rules = [U.Rule("block", "net", "/es/"), U.Rule("block", "net", "/fr/"), U.Rule("allow", "com", "/")]
+    pages = dict(enumerate(urls))
+    got = {r["page_id"]: tuple(r)[1:] for r in U.judge(spark.createDataFrame(list(pages.items()), "page_id long, url string"), rules).collect()}
+    assert got == brute_judge(pages, rules, shapes_of(spark, pages))
+    verdict = {u: got[i][3] for i, u in pages.items()}
+    assert all(v == "block" for u, v in verdict.items() if "a.net/en/" in u)
+    assert all(v == "allow" for u, v in verdict.items() if "/about/" in u or "b.com" in u or "c.net/en" in u)
+
+
+def test_deep_paths_part_below_any_depth(spark):
+    deep = "/".join(["s"] * 40)
+    urls = [f"x://h.net/{deep}/{leaf}/{i}" for leaf in ("bad", "good") for i in range(30)] + [f"x://h.net/{deep}/more/x/y/z/{c}" for c in "abc" * 5]
+    rules = [U.Rule("block", "h.net", f"/{deep}/bad/1"), U.Rule("allow", "h.net", f"/{deep}/good/1"), U.Rule("block", "h.net", f"/{deep}/bad/2")]
+    pages = dict(enumerate(urls))
+    got = {r["page_id"]: tuple(r)[1:] for r in U.judge(spark.createDataFrame(list(pages.items()), "page_id long, url string"), rules).collect()}
+    assert got == brute_judge(pages, rules, shapes_of(spark, pages))
+    free = {u: got[i][3] for i, u in pages.items() if got[i][2] is None}
+    assert {v for u, v in free.items() if "/bad/" in u} == {"block"} and {v for u, v in free.items() if "/bad/" not in u} == {"allow"}
+
+
+def test_the_tree_rejects_some_urls_of_the_given_pages(spark):
+    rows = QUERIES["op10_url_filter"](spark, "/root/testdata/sf0.01").where("rule is null").groupBy("verdict").count().collect()
+    assert dict((r["verdict"], r["count"]) for r in rows).get("block", 0) > 0
 
 
 def test_edges(spark):
