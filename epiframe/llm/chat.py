@@ -15,6 +15,7 @@ from itertools import chain, combinations
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from epiframe.llm.common import slices
 
@@ -220,8 +221,8 @@ def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
             yield _batch([row()], kind)
 
     rows = formatted.select(F.col(id_col).alias("id"), "formatted", "loss_start", "loss_stop", "turn", "role")
-    kind = pa.string() if rows.schema["id"].dataType.simpleString() == "string" else pa.int64()
     name = rows.schema["id"].dataType.simpleString()
+    kind = to_arrow_type(rows.schema["id"].dataType)
     rows = rows.repartition("id").sortWithinPartitions("id", "turn", "role", "formatted")
     return rows.mapInArrow(run, f"id {name}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
                                 "formatted_chars long").withColumnRenamed("id", id_col)

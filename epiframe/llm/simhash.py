@@ -145,11 +145,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id are told apart by a running number, written once with the rows, and rows
     without an id come after those with one.  Of rows with the same id in a
     group the first number stays."""
-    number = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_simhash_row").alias("row"))
-    stored = cut(docs.withColumn("_simhash_row", F.monotonically_increasing_id()), "numbered")
-    groups = simhash_groups(stored.select(number.alias("number"), F.col(text_col).alias("text")), "number", "text", shingle, max_bits)
-    kept = groups.where("number.row = component_id.row").select(F.col("number.row").alias("_simhash_row"))
-    return stored.join(kept, "_simhash_row", "left_semi").select(*docs.columns)
+    # the input's columns travel as one struct, so none can clash with the number
+    stored = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    doc_id, text = F.col("doc").getField(id_col), F.col("doc").getField(text_col)
+    number = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.col("row").alias("row"))
+    groups = simhash_groups(stored.select(number.alias("number"), text.alias("text")), "number", "text", shingle, max_bits)
+    kept = groups.where("number.row = component_id.row").select(F.col("number.row").alias("row"))
+    return stored.join(kept, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def hex_fingerprint(fp):

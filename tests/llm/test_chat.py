@@ -77,3 +77,13 @@ def test_edges(spark):
     assert got[4]["n_turns"] == 1 and got[4]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest()
     assert got[None]["n_turns"] == 2 and got[None]["loss_chars"] == 1
     assert C.digests(C.format_records(records.where("false"))).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string", "smallint"])
+def test_digests_keep_the_type_of_the_ids(spark, kind):
+    turns = [("1", "user", "hi"), ("1", "assistant", "yes"), ("2", "user", "no")]
+    records = spark.createDataFrame([(i, json.dumps({"turn": n, "role": r, "text": t})) for n, (i, r, t) in enumerate(turns)], "conv_id string, record string")
+    records = records.withColumn("conv_id", F.col("conv_id").cast(kind))
+    got = C.digests(C.format_records(records))
+    assert dict(got.dtypes)["conv_id"] == {"long": "bigint"}.get(kind, kind)
+    assert sorted((str(r["conv_id"]), r["n_turns"], r["loss_chars"]) for r in got.collect()) == [("1", 2, 3), ("2", 1, 0)]

@@ -47,6 +47,16 @@ def test_components_of_a_long_path(spark):
 def test_registered():
     from __spark_entry__ import oracle_sql, queries
 
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert "op9_chat_format" in oracle_sql()
+
+
+def test_stages_return_columns_of_any_name_unchanged(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(60)
+    for c in ("_toxicity", "_hits", "_language", "_lang_pred", "score", "held_out", "row"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    for stage in (P.clean, P.known_language):
+        got = stage(spark, docs, SF_SMALL)
+        assert got.columns == docs.columns and got.select("_toxicity", "_hits", "_language", "_lang_pred", "score", "held_out", "row").distinct().count() == 1
+        assert got.count() > 40

@@ -108,3 +108,10 @@ def test_whole_table_against_brute_force(spark):
     fp = {i: int(f, 16) for i, f in zip(got.doc_id, got.fingerprint)}
     assert dict(zip(got.doc_id, got.component_id)) == brute_components(fp, 2)
     assert np.all(got.component_id <= got.doc_id)
+
+
+def test_keep_one_returns_columns_of_any_name_unchanged(spark):
+    rows = [(1, "one two three four", 7, "x", 5), (2, "one two three four", 8, "y", 6), (3, "else", 9, "z", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _simhash_row long, doc string, row int")
+    got = S.keep_one(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
