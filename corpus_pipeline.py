@@ -13,20 +13,29 @@ from epiframe.llm.common import cut
 from epiframe.llm.queries import folds, table
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """Rows as one struct beside what a stage reads, so no column of theirs clashes with a stage's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents whose score is 0.5 or more go."""
     labels = folds(table(spark, sf_dir, "labels"), 5, 0).where("not held_out")
-    scored = toxicity.score_documents(docs, labels, keep=docs.columns, out_col="_toxicity")
-    return scored.where("_toxicity < 0.5").select(*docs.columns)
+    scored = toxicity.score_documents(carried(docs), labels, keep=["row"])
+    return unpacked(scored.where("score < 0.5"), docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or whose best language has a posterior under one half, go."""
-    learn = folds(docs, 3, 1).where("not held_out")
+    learn = folds(docs.select("doc_id", "text", "lang"), 3, 1).where("not held_out")
     model = language.train(learn, public_tokenizers.path("piece_bpe_32k.model"))
-    found = language.identify(docs, model, lang_out="_lang_pred", score_out="_lang_score")
-    kept = (F.col("_lang_pred") != language.UNDETERMINED) & (F.col("_lang_score") >= 0.5)
-    return found.where(kept).select(*docs.columns)
+    found = language.identify(carried(docs), model)
+    kept = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= 0.5)
+    return unpacked(found.where(kept), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
