@@ -62,7 +62,7 @@ def random_batches(seed, n_batches):
 @pytest.mark.parametrize("view", [STATS, TOTALS])
 def test_equal_to_recomputation_after_every_batch_and_replay(spark, tmp_dir, view):
     path = os.path.join(tmp_dir, "view")
-    for epoch, (batch, rows) in enumerate(random_batches(5, 7)):
+    for epoch, (batch, rows) in enumerate(random_batches(5, 5)):
         changes = change_rows(spark, batch)
         ch.apply_batch(view, changes, path, epoch, buckets=3)
         assert state(spark, view, path) == expected(rows, view)

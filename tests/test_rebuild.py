@@ -16,7 +16,7 @@ from tests.conftest import SF_SMALL
 
 @pytest.fixture(scope="module")
 def panel(spark):
-    return materialise(fx.panel(spark, SF_SMALL), "panel")
+    return materialise(fx.panel(spark, SF_SMALL).where("date between '1996-01-01' and '1996-08-31'"), "panel")
 
 
 def rows(tables):
