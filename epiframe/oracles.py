@@ -543,3 +543,12 @@ ORACLES.update({
         SELECT name, nearest, CAST(distance AS INTEGER) AS distance FROM pairs
         QUALIFY ROW_NUMBER() OVER (PARTITION BY name ORDER BY distance, nearest) = 1""",
 })
+
+
+ORACLES.update({
+    "comments_stamped": f"""WITH {C} SELECT COUNT(*) AS n_rows, COUNT(*) AS n_stamped, COUNT(*) AS n_ids, CAST(1 AS BIGINT) AS n_times, TRUE AS fresh FROM cm""",
+    "guarded_operators": f"""WITH {P}, px AS (SELECT country_region, date, {_NEW} AS x FROM p), w AS (WITH {_waves_sql('px')}),
+        n AS (SELECT 'direction_class' AS operator, COUNT(*) AS n_rows FROM p UNION ALL SELECT 'waves', COUNT(*) FROM w
+              UNION ALL SELECT 'history', COUNT(*) FROM p)
+        SELECT operator, n_rows, CAST(0 AS BIGINT) AS n_rows_empty, TRUE AS refuses FROM n""",
+})

@@ -479,6 +479,16 @@ def stream_comments(spark, sf):
     return ingest(spark, f"{root}/in", f"{root}/store", f"{root}/ckpt").select(*_COMMENT_OUT)
 
 
+@query
+def comments_stamped(spark, sf):
+    """P24 on C: the appended comments, how many have a time and an id of their own,
+    the number of times (one per append), and whether it is the session's UTC time now."""
+    store = _store(spark, sf, "comments_stamped")
+    age = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("timestamp"))
+    return store.agg(F.count(F.lit(1)).alias("n_rows"), F.count("timestamp").alias("n_stamped"), F.count_distinct("comment_id").alias("n_ids"),
+                     F.count_distinct("timestamp").alias("n_times"), F.bool_and(age < 3600).alias("fresh"))
+
+
 def _log(spark, sf, name):
     """The comment log after three appends (all comments, then two fan-outs), merged two by two."""
     posted = materialise(fx.comments(spark, sf).drop("timestamp"), name)
@@ -785,6 +795,26 @@ def forecast_changepoints(spark, sf):
         (F.max_by(width, "ds") >= F.min_by(width, "ds") - F.lit(1e-6)).alias("band_widens"))
 
 
+@query
+def guarded_operators(spark, sf):
+    """P23 on P: per operator its rows, its rows for an empty input, and whether it
+    refuses an input without a required column before anything runs."""
+    panel = fx.panel(spark, sf)
+    operators = {"direction_class": (wv.direction_class, _ACTIVE_VALUE), "waves": (wv.waves, _ACTIVE_VALUE), "history": (fc.history, "cases")}
+
+    def refuses(operator, column):
+        try:
+            operator(panel.drop(column))
+        except ValueError:
+            return True
+        return False
+
+    parts = [operator(panel).agg(F.lit(name).alias("operator"), F.count(F.lit(1)).alias("n_rows"))
+             .withColumn("n_rows_empty", operator(panel.where("false")).agg(F.count(F.lit(1)).alias("n")).scalar())
+             .withColumn("refuses", F.lit(refuses(operator, column))) for name, (operator, column) in operators.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 #: The column whose sum stands for each built table's content.
 BUILT = {"panel_full": "cases", "panel_pruned": "cases_since_prev_day", "panel_active": "cases_since_prev_day",
          "agg_daily_new_cases": "total_new_cases", "agg_total_deaths": "total_deaths", "agg_new_case_stats": "sum_new_cases"}
