@@ -118,12 +118,17 @@ def _batch(docs: DataFrame, id_col: str, batches: int) -> Column:
     return F.when(F.col("doc.none"), F.lit(batches - 1)).otherwise(above)
 
 
-def _kept(split: Column, drops: Column) -> Column:
-    """``split`` without the positions ``drops`` (ascending): the slices between
-    them, so the work grows with the number of lines, not with its square."""
-    ends = F.concat(F.array(F.lit(-1)), drops, F.array(F.size(split)))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(drops)), lambda i: F.slice(
-        split, F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1)))
+def _with_mask(rows: DataFrame) -> DataFrame:
+    """``rows`` plus mask: a byte per line up to the last one to go, 1 for those of
+    ``drops`` (ascending positions), null without any.
+
+    What a lambda refers to is a column that is used twice, so it is computed once
+    per row and not per element; a byte is found without reading those before
+    it.  So the work grows with the number of lines, not with its square."""
+    rows = rows.withColumn("ends", F.when(F.col("drops").isNotNull(), F.concat(F.array(F.lit(-1)), F.col("drops"))))
+    marks = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda i: F.concat(
+        F.repeat(F.lit("0"), F.get("ends", i) - F.get("ends", i - 1) - 1), F.lit("1")))
+    return rows.withColumn("mask", F.when(F.col("drops").isNotNull(), F.array_join(marks, "").cast("binary")))
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10,
@@ -157,8 +162,8 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"),
                        document(F.col(id_col), F.col(text_col)).alias("doc"))
     split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    done = rows.join(drops, "doc", "left").withColumn("split", split)
-    kept = F.when(F.col("drops").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(
-        F.array_join(_kept(F.col("split"), F.col("drops")), "\n"))
+    done = _with_mask(rows.join(drops, "doc", "left").withColumn("split", split))
+    stay = F.filter("split", lambda _, i: F.substring(F.col("mask"), i + 1, F.lit(1)) != F.lit(b"1"))
+    kept = F.when(F.col("mask").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(stay, "\n"))
     new = {"n_lines": F.size("split").cast("long"), "n_dropped": F.coalesce(F.size("drops"), F.lit(0)).cast("long"), "kept": kept}
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new], *[c.alias(k) for k, c in new.items()])

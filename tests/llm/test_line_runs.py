@@ -111,7 +111,7 @@ def test_text_ids_empty_table_and_many_lines(spark):
     docs = spark.createDataFrame([("b", "one long line of text"), ("a", "ONE long line of text ")], "doc_id string, text string")
     assert result(line_runs.dedupe(docs)) == {"a": (1, 0, "ONE long line of text "), "b": (1, 1, "")}
     assert line_runs.dedupe(spark.createDataFrame([], SCHEMA)).count() == 0
-    n = 60_000
-    docs = spark.range(2).select((F.col("id") + 1).alias("doc_id"), F.expr(f"array_join(transform(sequence(1, {n}), i -> concat('line of number ', i % 50000, if(id = 1 and i % 2 = 0, 'x', ''))), '\\n')").alias("text"))
+    n = 30_000
+    docs = spark.range(2).select((F.col("id") + 1).alias("doc_id"), F.expr(f"array_join(transform(sequence(1, {n}), i -> concat('line of number ', i % 25000, if(id = 1 and i % 2 = 0, 'x', ''))), '\\n')").alias("text"))
     got = result(line_runs.dedupe(docs, batches=2))
     assert got[1][:2] == (n, 0) and got[2][:2] == (n, n // 2)
